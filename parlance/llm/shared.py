@@ -56,8 +56,9 @@ def sweep() -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts have no length limit, so Arrow batches hold few rows."""
+    """Texts have no length limit, so Arrow batches are bounded by bytes as well as rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def fold(doc_id: Column | str, parts: int) -> Column:
