@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kd_shards, line_dedup, mixing
+from . import kd_shards, line_dedup, minhash, mixing
 from .shared import table
 
 
@@ -14,6 +14,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_line_count").alias("n_lines"), F.col("_line_drops").alias("n_removed"), "text")
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -26,5 +30,5 @@ def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op6_source_mixing, op7_kd_sharding)}
+QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_minhash_dedup, op6_source_mixing, op7_kd_sharding)}
 ORACLES = {"op6_source_mixing": mixing.ORACLE}
