@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kd_shards, line_dedup, minhash, mixing
+from . import decontaminate, kd_shards, line_dedup, minhash, mixing, quality, toxicity
 from .shared import table
 
 
+def op1_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_line_count").alias("n_lines"), F.col("_line_drops").alias("n_removed"), "text")
@@ -30,5 +38,12 @@ def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_minhash_dedup, op6_source_mixing, op7_kd_sharding)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_compression, op3_decontamination, op4_line_dedup, op5_minhash_dedup, op6_source_mixing,
+    op7_kd_sharding, op10_toxicity,
+)}
 ORACLES = {"op6_source_mixing": mixing.ORACLE}
