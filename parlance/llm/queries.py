@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kd_shards, line_dedup, minhash, mixing, quality, toxicity
+from . import decontaminate, kd_shards, line_dedup, minhash, mixing, quality, token_store, toxicity
 from .shared import table
 
 
@@ -13,6 +13,11 @@ def op1_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """``vocabulary``: the path of a tokenizer file; by default the installed byte-level one of 50k ids."""
+    return token_store.round_trip(table(spark, sf_dir, "documents"), vocabulary or token_store.public_vocabulary(), end=0)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,7 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_compression, op3_decontamination, op4_line_dedup, op5_minhash_dedup, op6_source_mixing,
+    op1_quality_compression, op2_token_store, op3_decontamination, op4_line_dedup, op5_minhash_dedup, op6_source_mixing,
     op7_kd_sharding, op10_toxicity,
 )}
 ORACLES = {"op6_source_mixing": mixing.ORACLE}
