@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kd_shards, line_dedup, minhash, mixing, quality, token_store, toxicity
+from . import cross_polytope, decontaminate, kd_shards, line_dedup, minhash, mixing, quality, token_store, toxicity
 from .shared import table
 
 
@@ -24,7 +24,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_line_count").alias("n_lines"), F.col("_line_drops").alias("n_removed"), "text")
+    return out.select("doc_id", F.col("_line_drops").alias("n_removed"), "text")
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,12 +43,16 @@ def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_compression, op2_token_store, op3_decontamination, op4_line_dedup, op5_minhash_dedup, op6_source_mixing,
-    op7_kd_sharding, op10_toxicity,
+    op7_kd_sharding, op9_cross_polytope, op10_toxicity,
 )}
 ORACLES = {"op6_source_mixing": mixing.ORACLE}
