@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_polytope, decontaminate, kd_shards, line_dedup, minhash, mixing, quality, token_store, toxicity
+from . import cross_polytope, decontaminate, html_crf, kd_shards, line_dedup, minhash, mixing, quality, token_store, toxicity
 from .shared import table
 
 
@@ -43,6 +43,10 @@ def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -53,6 +57,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_compression, op2_token_store, op3_decontamination, op4_line_dedup, op5_minhash_dedup, op6_source_mixing,
-    op7_kd_sharding, op9_cross_polytope, op10_toxicity,
+    op7_kd_sharding, op8_html_crf, op9_cross_polytope, op10_toxicity,
 )}
 ORACLES = {"op6_source_mixing": mixing.ORACLE}
