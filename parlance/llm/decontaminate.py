@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from .shared import small_batches
 #: Benchmark text searched for in one pass over the documents; a larger benchmark takes several passes.
 BLOCK_BYTES = 8 << 20
 _SPLIT = re.compile(r"[\W_]+")
-_automata: dict[int, tuple] = {}
+_automata: dict[str, tuple] = {}
 
 
 def normal(text: str | None) -> str:
@@ -129,18 +130,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, least
     for block in range(blocks):
         part = [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).sort("item_id", "text").collect()]
         found = docs.select("doc_id", "text").mapInPandas(
-            _search(spark.sparkContext.broadcast(part), rate, least_words), "doc_id long, item_id long, distance int, end_word long"
+            _search(uuid.uuid4().hex, spark.sparkContext.broadcast(part), rate, least_words), "doc_id long, item_id long, distance int, end_word long"
         )
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(items, rate: float, least: int):
+def _search(name: str, items, rate: float, least: int):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if items.id not in _automata:
+        if name not in _automata:  # once per process
             _automata.clear()
-            _automata[items.id] = _automaton(items.value, rate, least)
-        machine, split = _automata[items.id]
+            _automata[name] = _automaton(items.value, rate, least)
+        machine, split = _automata[name]
         for batch in batches:
             rows = [(i, *hit) for i, t in zip(batch["doc_id"], batch["text"], strict=True) for hit in hits_in(t, machine, split)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "end_word"])
