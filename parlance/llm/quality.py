@@ -71,8 +71,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, longest: in
     part = lambda y: min(1_000_000, sample * 1_000_000 // max(1, counts.get(y, 0)))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     known = known.filter(chance < F.when(F.col("y") == 1, part(1)).otherwise(part(0)))
+    # About twice ``sample`` ids; the same hash keeps other documents out before the join.
     rows = (
-        docs.select("doc_id", "text").join(known, "doc_id").filter(F.octet_length("text") <= longest)
+        docs.select("doc_id", "text").filter((chance < max(part(0), part(1))) & (F.octet_length("text") <= longest)).join(F.broadcast(known), "doc_id")
         .select("y", "text", (F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 0).alias("build")).toPandas()
     )
     rows = rows.sort_values(["y", "text"], kind="stable")
