@@ -56,14 +56,37 @@ def swapped(bag: set[str], turn: int) -> set[str] | None:
     return (bag - set(own)) | {_OTHERS[w][turn % len(_OTHERS[w])] for w in own}
 
 
-def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many texts of a partition each feature occurs, and in how many toxic ones; -1 stands for any text."""
+    n, bad = np.zeros((2, (1 << _BITS) + 1), np.int64)
     for batch in batches:
-        bags = [words(t) for t in batch["text"]]
-        other = [swapped(bag, int(i)) for bag, i in zip(bags, batch["doc_id"], strict=True)]
-        yield pd.DataFrame({
-            "y": batch["y"], "x": [indices(b).tobytes() for b in bags],
-            "z": [None if o is None else indices(o).tobytes() for o in other],
-        })
+        for text, y in zip(batch["text"], batch["y"], strict=True):
+            f = np.append(np.unique(indices(words(text))), -1)
+            n[f] += 1
+            bad[f] += int(y == 1)
+    f = np.flatnonzero(n)
+    yield pd.DataFrame({"f": np.where(f == 1 << _BITS, -1, f), "n": n[f], "bad": bad[f]})
+
+
+def _encode(chosen):
+    """The chosen features of each text, by their places among all that were chosen, and those of its twin."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = np.full(1 << _BITS, -1, np.int32)
+        place[chosen.value] = np.arange(len(chosen.value))
+
+        def placed(bag: set[str] | None) -> bytes | None:
+            if bag is None:
+                return None
+            at = place[indices(bag)]
+            return at[at >= 0].tobytes()
+
+        for batch in batches:
+            bags = [words(t) for t in batch["text"]]
+            other = [swapped(bag, int(i)) for bag, i in zip(bags, batch["doc_id"], strict=True)]
+            yield pd.DataFrame({"y": batch["y"], "x": [placed(b) for b in bags], "z": [placed(o) for o in other]})
+
+    return encode
 
 
 def _entries(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,36 +126,28 @@ def train(
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("y"))
     n = known.count()
     part = min(1_000_000, sample * 1_000_000 // max(1, n))
-    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part)
-    rows = docs.select("doc_id", "text").join(known, "doc_id").mapInPandas(_encode, "y int, x binary, z binary").toPandas()
-    y = rows["y"].to_numpy(np.float64)
-    xs = [np.frombuffer(x, np.int32) for x in rows["x"]]
-    r, c = _entries(xs)
-    if len(y) == 0 or y.min() == y.max():
-        share = (y.sum() + 0.5) / (len(y) + 1)
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part
+    # About ``sample`` ids; the same hash keeps other documents out before the join.
+    texts = docs.select("doc_id", "text").filter(chosen).join(F.broadcast(known.filter(chosen)), "doc_id")
+    counts = texts.mapInPandas(_count, "f int, n long, bad long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    every = counts.filter("f = -1").first()
+    rows, bad = (every["n"], every["bad"]) if every else (0, 0)
+    if bad in (0, rows):
+        share = (bad + 0.5) / (rows + 1)
         return Model(np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share))))
-    once = np.unique(r * np.int64(1 << _BITS) + c)
-    r1, c1 = once >> _BITS, once & ((1 << _BITS) - 1)
-    in_bad, in_all = np.bincount(c1, y[r1], 1 << _BITS), np.bincount(c1, minlength=1 << _BITS)
-    rest, base = in_all - in_bad, y.mean()
-    gain = (in_bad - in_all * base) ** 2 / (in_all * base * (1 - base) + 1.0)
-    gain[(in_all < 2) | (rest + in_bad == 0)] = 0
-    chosen = np.sort(np.argsort(-gain, kind="stable")[: min(keep, max(200, len(y) // 2))])
-    place = np.full(1 << _BITS, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-
-    def placed(arrays):
-        rr, cc = _entries(arrays)
-        ok = place[cc] >= 0
-        return rr[ok], place[cc[ok]]
-
-    r, c = placed(xs)
-    twins = rows["z"].notna().to_numpy()
-    pairs = None
-    if twins.any():
-        pairs = (*placed([x for x, t in zip(xs, twins, strict=True) if t]), *placed([np.frombuffer(z, np.int32) for z in rows["z"][twins]]))
-    w, b = fit_sparse(r, c, y, len(chosen), pairs, pull)
-    return Model(chosen, w, b)
+    base = bad / rows
+    gain = (F.col("bad") - F.col("n") * base) ** 2 / (F.col("n") * (base * (1 - base)) + 1.0)
+    best = counts.filter("f >= 0 AND n > 1").sort(gain.desc(), "f").limit(min(keep, max(200, rows // 2))).select("f").collect()
+    index = np.array(sorted(r["f"] for r in best), np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    found = texts.select("doc_id", "text", "y").mapInPandas(_encode(shared), "y int, x binary, z binary").toPandas()
+    y = found["y"].to_numpy(np.float64)
+    arrays = lambda c: _entries([np.frombuffer(x, np.int32) for x in c])
+    r, c = arrays(found["x"])
+    twins = found["z"].notna()
+    pairs = (*arrays(found["x"][twins]), *arrays(found["z"][twins])) if twins.any() else None
+    w, b = fit_sparse(r, c, y, len(index), pairs, pull)
+    return Model(index, w, b)
 
 
 def _scores(model):
