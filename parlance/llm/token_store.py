@@ -26,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +35,7 @@ from .shared import shared_dir, small_batches
 BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
 _DICTIONARY = 64 << 10
 _tokenizers: dict[str, object] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -55,22 +55,26 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-class Encoder:
+#: Letters of plain Latin text: all of U+00C0 to U+024F but the two signs among them.
+_LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+
+
+class Encoder(dict):
     """Ids of whole texts by the tokenizer at ``path``, with the end id behind each, serialized.
 
     The tokenizer cuts a text into pieces before it merges bytes, and merges never cross pieces, so a piece has the
-    same ids wherever it stands. Pieces of plain Latin text are therefore encoded once and then looked up; any text
-    with other characters, and any tokenizer that cuts in another way, goes to the library whole.
+    same ids wherever it stands. Pieces of plain Latin text are therefore encoded by the library once and then looked
+    up here; a text with any other character, and any tokenizer that cuts in another way, goes to the library whole.
     """
 
-    _PLAIN = re.compile(r"[^\t\n\r -~\xc0-\u024f]")
-    _PIECE = regex.compile(r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-    _MOST = 1_000_000  # about 200 MB
+    _OTHER = re.compile(r"[^\t\n\r -~\xc0-\u024f]")
+    _PIECE = re.compile(rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
+    _MOST = 1_000_000  # pieces kept, about 200 MB
 
     def __init__(self, path: str, end: int, width: int):
+        super().__init__()
         self.coder, self.code = tokenizer(path), {2: "H", 4: "I"}[width]
         self.end = array(self.code, [end]).tobytes()
-        self.known: dict[str, bytes] = {}
         cutter = self.coder.pre_tokenizer
         state = json.loads(cutter.__getstate__()) if cutter is not None else {}
         self.by_piece = (
@@ -78,24 +82,29 @@ class Encoder:
             and state.get("type") == "ByteLevel" and state.get("use_regex", True) and not state.get("add_prefix_space", True)
         )
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.coder.encode_batch_fast(texts, add_special_tokens=False)
-        return [array(self.code, e.ids).tobytes() for e in found]
-
-    def __call__(self, texts) -> Iterator[bytes]:
-        for at in range(0, len(texts), 64):
-            part = ["" if t is None else t for t in texts[at : at + 64]]
-            cut = [self._PIECE.findall(t) if self.by_piece and not self._PLAIN.search(t) else None for t in part]
-            new = list(set().union(*(c for c in cut if c is not None)) - self.known.keys())
-            if len(self.known) + len(new) > self._MOST:
-                self.known.clear()
-                new = list(set().union(*(c for c in cut if c is not None)))
-            self.known.update(zip(new, self._library(new), strict=True))
-            for t, pieces in zip(part, cut, strict=True):
-                ids = self._library([t])[0] if pieces is None else b"".join(map(self.known.__getitem__, pieces))
-                yield ids + self.end
-            for long in [p for p in new if len(p) > 64]:
-                del self.known[long]
+    def _library(self, text: str) -> bytes:
+        return array(self.code, self.coder.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._library(piece)
+        if len(piece) <= 64:
+            if len(self) >= self._MOST:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        text = text or ""
+        if not self.by_piece or self._OTHER.search(text):
+            return self._library(text) + self.end
+        return b"".join(map(self.__getitem__, self._PIECE.findall(text))) + self.end
+
+
+def encoder(path: str, end: int, width: int) -> Encoder:
+    """One per process, so that what it has looked up serves all tasks there."""
+    if (path, end, width) not in _encoders:
+        _encoders[path, end, width] = Encoder(path, end, width)
+    return _encoders[path, end, width]
 
 
 def train_dictionary(docs: DataFrame, path: str, end: int, width: int, sample: int = 1000, longest: int = 64 << 10) -> bytes:
@@ -109,7 +118,7 @@ def train_dictionary(docs: DataFrame, path: str, end: int, width: int, sample: i
         docs.filter((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part) & (F.octet_length("text") <= longest))
         .select("text").toPandas()
     )
-    ids = list(Encoder(path, end, width)(sorted(rows["text"])))
+    ids = [encoder(path, end, width).encode(t) for t in sorted(rows["text"])]
     try:
         return zstandard.train_dictionary(_DICTIONARY, ids).as_bytes()
     except zstandard.ZstdError:  # too little text; it serves as it is
@@ -142,9 +151,10 @@ def _pack(path: str, end: int, width: int, dictionary):
                 "entries": [[{"doc_id": i, "at": int(a), "length": len(f), "n_tokens": n, "ahead": b} for (i, f, n, b), a in zip(held, at, strict=False)]],
             })
 
-        encode = Encoder(path, end, width)
+        encode = encoder(path, end, width).encode
         for batch in batches:
-            for i, ids in zip(batch["doc_id"], encode(list(batch["text"])), strict=True):
+            for i, text in zip(batch["doc_id"], batch["text"], strict=True):
+                ids = encode(text)
                 frame = coder.compress(ids)
                 if held and (len(held) >= BLOCK_DOCS or size + len(frame) > BLOCK_BYTES):
                     yield flush()
