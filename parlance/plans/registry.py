@@ -1,4 +1,433 @@
 """The registered queries of the conversation operators, and the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import body, identity, spans, text
+from ..operators import conversations, detect, extract, reactions, redact, store
+from ..schema import Scope, TrimOptions
+from ..sources import adapter
+from . import export, render
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _conversations(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """The store of ``conversations``, its people, and the labels of its handles."""
+    s = adapter.conversation_store(spark, sf_dir)
+    labels = store.handle_labels(s)
+    contacts = spark.createDataFrame([], "handle string, name string")
+    return s, conversations.people(store.summaries(s), contacts, labels), labels
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(*_conversations(spark, sf_dir))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the messages of their sources."""
+    d = adapter.table(spark, sf_dir, "documents")
+    none = F.array().cast("array<struct<by:string,emoji:string>>")
+    return d.select(
+        F.col("source").alias("conversation_id"), F.col("doc_id").alias("message_rowid"), F.col("doc_id").cast("string").alias("guid"), (F.lit(adapter.BASE) + F.col("doc_id") * 60).alias("date"),
+        F.when(F.col("doc_id") % 2 == 0, "Me").otherwise("Them").alias("speaker"), (F.col("doc_id") % 2 == 1).alias("is_target"), F.lit("iMessage").alias("service"), "text",
+        F.lit(False).alias("had_attachment"), none.alias("reactions"),
+    )
+
+
+#: The store of ``conversations`` in SQL, as the adapter makes it.
+_STORE = """
+WITH c AS (SELECT *, conv_id * 1000 + turn AS row,
+    (1700000000 - 978307200 + conv_id * 3600 + turn * 60) * 1000000000 AS ns,
+    CASE WHEN conv_id % 3 = 0 THEN 'SMS' ELSE 'iMessage' END AS svc FROM conversations),
+message AS (
+  SELECT row AS rid, 'm' || row AS guid, ns AS date, role = 'user' AS mine, CASE WHEN role = 'user' THEN 0 ELSE conv_id END AS handle, svc,
+         text, role = 'system' AS sys, 0 AS amt, NULL AS target, conv_id, turn FROM c
+  UNION ALL
+  SELECT 1000000000000 + row * 2 + CASE WHEN k >= 3000 THEN 1 ELSE 0 END, 'r' || row || '-' || k, ns + 1 + CASE WHEN k >= 3000 THEN 1 ELSE 0 END, role <> 'user',
+         CASE WHEN role = 'user' THEN conv_id ELSE 0 END, svc, NULL, false, k + turn % 6, 'm' || row, conv_id, turn
+  FROM c, (SELECT unnest([2000, 3000]) AS k) WHERE row % 10 = 0 OR (row % 5 = 0 AND k = 2000)),
+link AS (SELECT conv_id AS chat, rid FROM message UNION ALL SELECT conv_id + 40, rid FROM message WHERE conv_id % 9 = 0),
+chat AS (SELECT DISTINCT conv_id AS chat, '+1555' || lpad(CAST(conv_id % 40 AS VARCHAR), 7, '0') AS num FROM conversations),
+summary AS (SELECT chat, num, max(date) AS last, count(*) AS n FROM chat JOIN link USING (chat) JOIN message USING (rid) WHERE NOT sys AND amt = 0 GROUP BY chat, num),
+person AS (SELECT num FROM summary GROUP BY num),
+inside AS (SELECT DISTINCT num, rid FROM person JOIN summary USING (num) JOIN link USING (chat)),
+record AS (
+  SELECT num AS conversation_id, rid AS message_rowid, guid, CAST(floor(CAST(date AS DOUBLE) / 1e9 + 978307200) AS BIGINT) AS date,
+         CASE WHEN mine THEN 'Me' ELSE 'Them' END AS speaker, NOT mine AS is_target, svc AS service,
+         array_to_string(list_transform(string_split(text || CASE WHEN rid % 7 = 0 THEN ' ' || ['[photo]', '[gif]', '[video]', '[pdf]', '[audio]'][CAST(rid % 5 + 1 AS INTEGER)] ELSE '' END, chr(10)),
+           lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), chr(10)) AS text, rid % 7 = 0 AS had_attachment
+  FROM inside JOIN message USING (rid) WHERE amt = 0 AND NOT sys),
+netted AS (
+  SELECT num AS conversation_id, target AS guid, CASE WHEN mine THEN 'Me' ELSE 'Them' END AS by,
+         ['❤️', '👍', '👎', '😂', '‼️', '❓'][CAST(arg_max(amt, rid) % 1000 + 1 AS INTEGER)] AS emoji
+  FROM inside JOIN message USING (rid) WHERE amt > 0 GROUP BY num, target, mine HAVING max(amt) < 3000)
+"""
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT conv_id FROM conversations) ) + (SELECT count(*) FROM conversations WHERE (conv_id * 1000 + turn) % 5 = 0) + (SELECT count(*) FROM conversations WHERE (conv_id * 1000 + turn) % 10 = 0) AS messages, (SELECT count(DISTINCT conv_id) FROM conversations) AS handles, (SELECT count(DISTINCT conv_id) FROM conversations) AS chats")
+def counts(spark, sf_dir):
+    return store.counts(adapter.conversation_store(spark, sf_dir))
+
+
+@query(_STORE + "SELECT min(date) AS first, max(date) AS last FROM message WHERE date > 0")
+def date_bounds(spark, sf_dir):
+    return store.date_bounds(adapter.conversation_store(spark, sf_dir)["message"])
+
+
+@query(_STORE + "SELECT coalesce(max(rid), 0) AS watermark FROM message")
+def watermark(spark, sf_dir):
+    return store.watermark(adapter.conversation_store(spark, sf_dir)["message"])
+
+
+@query("SELECT DISTINCT conv_id AS handle_id, '+1555' || lpad(CAST(conv_id % 40 AS VARCHAR), 7, '0') AS label FROM conversations")
+def handle_labels(spark, sf_dir):
+    return store.handle_labels(adapter.conversation_store(spark, sf_dir))
+
+
+@query(_STORE + "SELECT chat AS chat_id, num AS identifier, CASE WHEN chat % 3 = 0 THEN 'SMS' ELSE 'iMessage' END AS service, chat AS handle_id, CAST(last AS DOUBLE) / 1e9 + 978307200 AS last_message_date, n AS message_count FROM summary")
+def conversation_summaries(spark, sf_dir):
+    return store.summaries(adapter.conversation_store(spark, sf_dir))
+
+
+@query(_STORE + "SELECT chat AS chat_id, num AS identifier, CASE WHEN chat % 3 = 0 THEN 'SMS' ELSE 'iMessage' END AS service, chat AS handle_id FROM chat WHERE chat % 2 = 0")
+def one_to_one_chats(spark, sf_dir):
+    """Chats with handles of even number, the set of handles that is asked for here."""
+    s = adapter.conversation_store(spark, sf_dir)
+    return store.one_to_one_chats(s, store.handle_labels(s).filter("handle_id % 2 = 0").select("handle_id"))
+
+
+@query(_STORE + """SELECT num AS id, num AS display_name, array_to_string(list_sort(list(chat)), ',') AS chat_ids, h.hs AS target_handles, CAST(max(last) AS DOUBLE) / 1e9 + 978307200 AS last_message_date, CAST(sum(n) AS BIGINT) AS message_count, num AS primary_identifier
+FROM summary JOIN (SELECT num, array_to_string(list_sort(list(chat)), ',') AS hs FROM chat GROUP BY num) h USING (num) GROUP BY num, h.hs""")
+def people_fold(spark, sf_dir):
+    _, people, _ = _conversations(spark, sf_dir)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return people.select("id", "display_name", joined("chat_ids"), joined("target_handles"), "last_message_date", "message_count", "primary_identifier")
+
+
+@query(_STORE + "SELECT count(*) AS links, count(DISTINCT (conversation_id, message_rowid)) AS messages FROM (SELECT num AS conversation_id, rid AS message_rowid FROM person JOIN summary USING (num) JOIN link USING (chat))")
+def message_union_dedupe(spark, sf_dir):
+    s, people, _ = _conversations(spark, sf_dir)
+    links = s["chat_message_join"].join(extract.bridge(people), "chat_id")
+    return links.agg(F.count("*").alias("links"), F.count_distinct("conversation_id", "message_id").alias("messages"))
+
+
+@query(_STORE + "SELECT r.conversation_id, message_rowid, r.guid, date, speaker, is_target, service, text, had_attachment, coalesce(emoji, '') AS reaction FROM record r LEFT JOIN netted n ON n.conversation_id = r.conversation_id AND n.guid = r.guid WHERE text <> ''")
+def extract_records(spark, sf_dir):
+    one = F.coalesce(F.get("reactions", F.lit(0))["emoji"], F.lit(""))
+    return _records(spark, sf_dir).withColumn("reaction", one).drop("reactions")
+
+
+@query(_STORE + "SELECT num AS conversation_id, rid AS message_rowid, CAST(floor(CAST(date AS DOUBLE) / 1e9 + 978307200) AS BIGINT) AS date, '(555) ' || substr(num, 6, 3) || '-' || substr(num, 9, 4) || CASE WHEN trim(substr(text, 1, 20)) <> '' THEN ' named the group \"' || regexp_replace(substr(text, 1, 20), '^\\s+|\\s+$', '', 'g') || '\"' ELSE ' cleared the group name' END AS line FROM inside JOIN message USING (rid) WHERE sys")
+def system_event_lines(spark, sf_dir):
+    return extract.system_events(*_conversations(spark, sf_dir))
+
+
+@query(_STORE + "SELECT conversation_id, count(*) AS messages, CAST(sum(CASE WHEN emoji IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS reactions, count_if(had_attachment) AS with_attachments FROM (SELECT r.*, n.emoji FROM record r LEFT JOIN netted n ON n.conversation_id = r.conversation_id AND n.guid = r.guid) WHERE text <> '' GROUP BY conversation_id")
+def transcript_stats(spark, sf_dir):
+    return extract.stats(_records(spark, sf_dir))
+
+
+@query(_STORE + "SELECT conversation_id, service, count(*) AS messages FROM record WHERE text <> '' GROUP BY ALL")
+def service_counts(spark, sf_dir):
+    return extract.by_service(_records(spark, sf_dir))
+
+
+@query(_STORE + """, mine AS (SELECT num AS conversation_id, chat AS chat_id, count(*) AS messages FROM summary JOIN link USING (chat) JOIN record ON record.conversation_id = num AND record.message_rowid = link.rid WHERE text <> '' GROUP BY num, chat),
+whole AS (SELECT conversation_id, count(*) AS messages FROM record WHERE text <> '' GROUP BY 1)
+SELECT w.conversation_id, w.messages, CAST(sum(m.messages) AS BIGINT) AS sum_per_chat, CAST(sum(m.messages) - w.messages AS BIGINT) AS duplicates, arg_max(m.chat_id, m.messages * 1000000 - m.chat_id) AS largest_chat, w.messages - max(m.messages) AS recovered
+FROM whole w JOIN mine m USING (conversation_id) GROUP BY w.conversation_id, w.messages""")
+def union_report(spark, sf_dir):
+    s, people, labels = _conversations(spark, sf_dir)
+    records = extract.extract(s, people, labels)
+    links = extract.bridge(people).join(s["chat_message_join"].withColumnRenamed("message_id", "message_rowid"), "chat_id")
+    per_chat = links.join(records.select("conversation_id", "message_rowid"), ["conversation_id", "message_rowid"]).groupBy("conversation_id", "chat_id").agg(F.count("*").alias("messages"))
+    return extract.union_report(records, per_chat)
+
+
+_ESCAPED = "'\"' || replace(replace(replace(replace(replace(%s, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '\"'"
+
+
+@query(_STORE + f"""SELECT r.conversation_id, message_rowid, date, '{{"d": "' || strftime(make_timestamp(date * 1000000), '%Y-%m-%d %H:%M:%S') || '", "s": "' || speaker || '", "m": ' || {_ESCAPED % "text"}
+ || CASE WHEN service <> 'iMessage' THEN ', "svc": "' || service || '"' ELSE '' END
+ || CASE WHEN emoji IS NOT NULL THEN ', "reacts": [{{"by": "' || n.by || '", "r": "' || emoji || '"}}]' ELSE '' END || '}}' AS json
+FROM record r LEFT JOIN netted n ON n.conversation_id = r.conversation_id AND n.guid = r.guid WHERE text <> ''""")
+def render_jsonl(spark, sf_dir):
+    return render.json_lines(_records(spark, sf_dir))
+
+
+@query(_STORE + """, shown AS (SELECT r.*, n.by AS who, n.emoji FROM record r LEFT JOIN netted n ON n.conversation_id = r.conversation_id AND n.guid = r.guid WHERE text <> ''),
+line AS (SELECT *, row_number() OVER w AS seq, strftime(make_timestamp(date * 1000000), '%Y-%m-%d') AS day, lag(strftime(make_timestamp(date * 1000000), '%Y-%m-%d')) OVER w AS before FROM shown WINDOW w AS (PARTITION BY conversation_id ORDER BY date, message_rowid)),
+head AS (SELECT conversation_id, count(*) AS n, count(emoji) AS r, count_if(had_attachment) AS a, strftime(make_timestamp(min(date) * 1000000), '%Y-%m-%d') AS lo, strftime(make_timestamp(max(date) * 1000000), '%Y-%m-%d') AS hi FROM shown GROUP BY 1)
+SELECT conversation_id, seq, CASE WHEN day IS DISTINCT FROM before THEN chr(10) || '## ' || day || ' (' || strftime(make_timestamp(date * 1000000), '%a') || ')' || chr(10) ELSE '' END
+ || strftime(make_timestamp(date * 1000000), '%H:%M') || ' ' || speaker || ': ' || replace(text, chr(10), chr(10) || '        ') || CASE WHEN emoji IS NOT NULL THEN '  [' || who || ': ' || emoji || ']' ELSE '' END || chr(10) AS text FROM line
+UNION ALL SELECT conversation_id, 0, '# iMessage transcript with ' || conversation_id || chr(10) || '# ' || lo || ' → ' || hi || ' · ' || format('{:,}', n) || ' messages · ' || format('{:,}', r) || ' reactions · ' || format('{:,}', a) || ' with attachments' || chr(10)
+ || '# Speakers: Me = the account owner, Them = ' || conversation_id || chr(10) || '# Reactions shown as [Them: ❤️] after the message they target.' || chr(10)
+ || '# Attachments shown as typed placeholders: [photo] [video] [gif] [audio] [pdf] [contact] [shared location].' || chr(10) || '# Times are local, 24h. Section headers are calendar days.' || chr(10) || chr(10) FROM head""")
+def render_txt_lines(spark, sf_dir):
+    s, people, labels = _conversations(spark, sf_dir)
+    return render.transcript(extract.extract(s, people, labels), conversations.render_info(people)).lines
+
+
+@query(_STORE + """SELECT conversation_id, label, 'P' || row_number() OVER (PARTITION BY conversation_id ORDER BY label <> 'Me') AS alias FROM (SELECT DISTINCT conversation_id, speaker AS label FROM record WHERE text <> ''
+ UNION SELECT n.conversation_id, n.by FROM netted n JOIN record r ON r.conversation_id = n.conversation_id AND r.guid = n.guid WHERE text <> '')""")
+def anonymize_map(spark, sf_dir):
+    return redact.anonymization_map(_records(spark, sf_dir))
+
+
+@query("""SELECT k AS target_guid, user_id, emoji FROM (SELECT CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, user_id, arg_max(struct_pack(e := event_type), (ts, event_id)).e AS emoji FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2) WHERE emoji = 'click'""")
+def reaction_netting(spark, sf_dir):
+    """A click is a reaction to ``props.k``, a view takes it back."""
+    e = adapter.table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view"))
+    raw = e.select(
+        F.lit("all").alias("conversation_id"), F.get_json_object("props", "$.k").alias("target_guid"), F.col("user_id").cast("string").alias("reactor"), F.col("user_id").cast("string").alias("by"),
+        F.col("event_type").alias("emoji"), (F.col("event_type") == "view").alias("is_remove"), F.col("ts").alias("date"), F.col("event_id").alias("seq"),
+    )
+    return reactions.net(raw).select("target_guid", F.col("reactor").cast("long").alias("user_id"), "emoji")
+
+
+_ORDERS = """
+WITH line AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_shipdate) AS l_shipdate, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2),
+msg AS (SELECT l_orderkey AS chat, l_suppkey AS handle, l_orderkey * 10 + l_linenumber AS rid, epoch(l_shipdate) AS last, (l_orderkey * 10 + l_linenumber) % 3 = 0 AS mine FROM line WHERE l_returnflag <> 'R'),
+roster AS (SELECT chat, array_to_string(list_sort(list(h)), ',') AS r, list_sort(list(h)) AS hs FROM (SELECT DISTINCT l_orderkey AS chat, l_suppkey AS h FROM lineitem) GROUP BY chat),
+summ AS (SELECT o_orderkey AS chat, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS name, max(last) AS last, count(*) AS n FROM orders JOIN msg ON chat = o_orderkey GROUP BY 1, 2)
+"""
+
+
+@query(_ORDERS + "SELECT chat AS chat_id, 'chat' || chat AS identifier, 'iMessage' AS service, name AS display_name, r AS participant_handles, CAST(last AS DOUBLE) AS last_message_date, n AS message_count FROM summ JOIN roster USING (chat)")
+def group_summaries(spark, sf_dir):
+    out = store.group_summaries(adapter.order_store(spark, sf_dir))
+    return out.withColumn("participant_handles", F.array_join(F.transform("participant_handles", lambda x: x.cast("string")), ","))
+
+
+@query(_ORDERS + "SELECT chat AS chat_id, handle AS handle_id, count(*) AS message_count FROM msg WHERE NOT mine GROUP BY ALL")
+def participant_volume(spark, sf_dir):
+    return store.participant_counts(adapter.order_store(spark, sf_dir))
+
+
+@query(_ORDERS + "SELECT 'group:' || r AS id, array_to_string(list_sort(list(chat)), ',') AS chat_ids, CAST(sum(n) AS BIGINT) AS message_count, CAST(max(last) AS DOUBLE) AS last_message_date, arg_min(name, chat) FILTER (name IS NOT NULL) AS group_name, 'chat' || arg_max(chat, last * 100000000 + chat) AS primary_identifier FROM summ JOIN roster USING (chat) GROUP BY r")
+def exact_roster_stitch(spark, sf_dir):
+    s = adapter.order_store(spark, sf_dir)
+    out = conversations.groups(store.group_summaries(s), store.handle_labels(s), store.participant_counts(s))
+    return out.select("id", F.array_join(F.transform("chat_ids", lambda x: x.cast("string")), ",").alias("chat_ids"), "message_count", "last_message_date", "group_name", "primary_identifier")
+
+
+_TEAMS = """WITH team AS (SELECT user_id AS id, list_sort(list_distinct(list(day(ts)))) AS h, 'team' || user_id % 3 AS name FROM events GROUP BY user_id HAVING count(DISTINCT day(ts)) >= 3)"""
+
+
+@query(_TEAMS + """ SELECT CAST(least(CAST(x.id AS VARCHAR), CAST(y.id AS VARCHAR)) AS VARCHAR) AS a, greatest(CAST(x.id AS VARCHAR), CAST(y.id AS VARCHAR)) AS b FROM team x JOIN team y ON x.id < y.id
+WHERE (len(list_intersect(x.h, y.h)) = least(len(x.h), len(y.h)) AND abs(len(x.h) - len(y.h)) <= 3 AND least(len(x.h), len(y.h)) / greatest(len(x.h), len(y.h)) >= 0.6)
+ OR (len(list_intersect(x.h, y.h)) / len(list_distinct(list_concat(x.h, y.h))) >= 0.8 AND x.name = y.name)""")
+def fuzzy_pairs(spark, sf_dir):
+    """Users as groups, the days they were active on as members."""
+    e = adapter.table(spark, sf_dir, "events")
+    teams = e.groupBy(F.col("user_id").cast("string").alias("id"), F.concat(F.lit("team"), (F.col("user_id") % 3).cast("string")).alias("group_name")).agg(
+        F.sort_array(F.collect_set(F.dayofmonth("ts").cast("long"))).alias("target_handles")
+    )
+    return conversations.fuzzy_pairs(teams.withColumn("is_group", F.lit(True)))
+
+
+@query("""WITH member AS (SELECT c_nationkey AS id, c_custkey AS handle_id, split_part(c_mktsegment, ' ', 1) || ' ' || chr(65 + CAST(c_custkey % 26 AS INTEGER)) || 'x' AS name FROM customer),
+parts AS (SELECT *, split_part(name, ' ', 1) AS f, substr(split_part(name, ' ', 2), 1, 1) AS i FROM member)
+SELECT CAST(id AS VARCHAR) AS id, handle_id, CASE WHEN count(*) OVER (PARTITION BY id, f) < 2 THEN f WHEN count(*) OVER (PARTITION BY id, f, i) < 2 THEN f || ' ' || i || '.' ELSE name END AS label FROM parts""")
+def speaker_labels(spark, sf_dir):
+    c = adapter.table(spark, sf_dir, "customer")
+    name = F.concat(F.split_part("c_mktsegment", F.lit(" "), F.lit(1)), F.lit(" "), F.char(F.lit(65) + F.col("c_custkey") % 26), F.lit("x"))
+    roster = c.select(F.col("c_nationkey").cast("string").alias("id"), F.col("c_custkey").alias("handle_id"), F.col("c_custkey").cast("string").alias("identifier"))
+    return conversations.speaker_labels(roster, c.select(F.col("c_custkey").cast("string").alias("handle"), name.alias("name"))).select("id", "handle_id", "label")
+
+
+_RAW_PHONE = "CASE c_custkey % 5 WHEN 0 THEN '+1 (816) ' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') WHEN 1 THEN '0' || lpad(CAST(c_custkey AS VARCHAR), 9, '2') WHEN 2 THEN '1816' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') WHEN 3 THEN c_name || '@Example.com' ELSE CAST(c_custkey % 1000 AS VARCHAR) END"
+
+
+def _raw_phone() -> F.Column:
+    return F.expr(_RAW_PHONE.replace("VARCHAR", "STRING"))
+
+
+@query(f"""WITH r AS (SELECT c_custkey, {_RAW_PHONE} AS raw, regexp_replace({_RAW_PHONE}, '[^0-9]', '', 'g') AS d FROM customer)
+SELECT c_custkey, raw, CASE WHEN contains(raw, '@') THEN lower(raw) WHEN length(d) < 7 THEN raw WHEN contains(raw, '+') OR (length(d) = 11 AND d LIKE '1%') THEN '+' || d ELSE '+44' || regexp_replace(d, '^0', '') END AS handle,
+ CASE WHEN contains(raw, '@') THEN raw WHEN length(d) = 11 AND d LIKE '1%' THEN '(' || substr(d, 2, 3) || ') ' || substr(d, 5, 3) || '-' || substr(d, 8, 4) WHEN length(d) = 10 THEN '(' || substr(d, 1, 3) || ') ' || substr(d, 4, 3) || '-' || substr(d, 7, 4) ELSE raw END AS shown FROM r""")
+def normalize_handles(spark, sf_dir):
+    c = adapter.table(spark, sf_dir, "customer").withColumn("raw", _raw_phone())
+    return c.select("c_custkey", "raw", identity.normalize_handle(F.col("raw"), "GB").alias("handle"), identity.display_number(F.col("raw")).alias("shown"))
+
+
+_KINDS = "['image/gif', 'IMAGE/heic', 'video/mp4', 'application/pdf', 'text/vcard', 'audio/amr', 'application/zip', '']"
+
+
+@query(f"""SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 8 = 0 THEN '[gif]' WHEN p_partkey % 8 = 1 OR p_partkey % 8 = 7 AND p_partkey % 3 = 0 THEN '[photo]' WHEN p_partkey % 8 = 2 THEN '[video]' WHEN p_partkey % 8 = 3 THEN '[pdf]' WHEN p_partkey % 8 = 4 THEN '[contact]' WHEN p_partkey % 8 = 5 THEN '[audio]' ELSE '[attachment]' END AS placeholder, {_KINDS}[CAST(p_partkey % 8 + 1 AS INTEGER)] AS mime FROM part""")
+def attachment_placeholder(spark, sf_dir):
+    p = adapter.table(spark, sf_dir, "part")
+    mime = F.element_at(F.array(*[F.lit(x) for x in ("image/gif", "IMAGE/heic", "video/mp4", "application/pdf", "text/vcard", "audio/amr", "application/zip", "")]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    uti = F.when((F.col("p_partkey") % 8 == 7) & (F.col("p_partkey") % 3 == 0), "public.heic")
+    name = F.when(F.col("p_partkey") % 11 == 0, "x.pluginPayloadAttachment")
+    return p.withColumn("mime", mime).select("p_partkey", body.placeholder(F.col("mime"), uti, name).alias("placeholder"), "mime")
+
+
+@query("""SELECT p_partkey, trim(regexp_replace(replace(p_name, ' ', '  ') || CASE WHEN p_partkey % 3 > 0 THEN ' [photo] ' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END || CASE WHEN p_partkey % 3 = 2 THEN ' [pdf]' ELSE '' END, '[ \t]+', ' ', 'g')) AS body, p_partkey % 3 > 0 AS had FROM part""")
+def body_splice(spark, sf_dir):
+    """A mark behind the name of a part, with no attachment, one, or one more than marks."""
+    p = adapter.table(spark, sf_dir, "part")
+    raw = F.concat(F.replace("p_name", F.lit(" "), F.lit("  ")), F.lit("￼"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(""))
+    held = F.slice(F.array(F.lit("[photo]"), F.lit("[pdf]")), F.lit(1), (F.col("p_partkey") % 3).cast("int"))
+    shown, had = body.render_text(raw, held, F.lit(None).cast("string"))
+    return p.select("p_partkey", shown.alias("body"), had.alias("had"))
+
+
+@query("SELECT event_id, CASE WHEN lag(CAST(ts AS DATE)) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM CAST(ts AS DATE) THEN '## ' || strftime(ts, '%Y-%m-%d (%a)') ELSE '' END AS header FROM events")
+def day_sections(spark, sf_dir):
+    e = adapter.table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    head = F.concat(F.lit("## "), day, F.lit(" ("), F.date_format("ts", "EEE"), F.lit(")"))
+    return e.withColumn("day", day).select("event_id", F.when(F.coalesce(F.lag("day").over(w) == F.col("day"), F.lit(False)), "").otherwise(head).alias("header"))
+
+
+@query("""WITH r AS (SELECT *, conv_id * 1000 + turn AS rid, role = 'assistant' AND (conv_id + turn) % 3 > 0 AS gone FROM conversations WHERE role <> 'system'),
+s AS (SELECT *, sum(CASE WHEN gone AND coalesce(lag(gone) OVER w, false) THEN 0 ELSE 1 END) OVER w AS run FROM (SELECT *, lag(gone) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM r) WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT 1 AS x WHERE false""".replace("SELECT 1 AS x WHERE false", "SELECT CAST(conv_id AS VARCHAR) AS conversation_id, CASE WHEN count(*) >= 2 THEN '[' || count(*) || ' messages removed]' ELSE '[redacted message]' END AS token, 'm' || min(rid) AS guid FROM s WHERE gone GROUP BY conv_id, run").replace("sum(CASE WHEN gone AND coalesce(lag(gone) OVER w, false) THEN 0 ELSE 1 END) OVER w", "sum(CASE WHEN gone AND coalesce(b, false) THEN 0 ELSE 1 END) OVER w"))
+def tombstone_runs(spark, sf_dir):
+    """Two thirds of what the assistant says is redacted as a whole, in transcripts of user and assistant turns."""
+    c = adapter.table(spark, sf_dir, "conversations").filter("role <> 'system'").withColumn("rid", F.col("conv_id") * 1000 + F.col("turn"))
+    none = F.array().cast("array<struct<by:string,emoji:string>>")
+    records = c.select(
+        F.col("conv_id").cast("string").alias("conversation_id"), F.col("rid").alias("message_rowid"), F.concat(F.lit("m"), F.col("rid").cast("string")).alias("guid"), (F.lit(adapter.BASE - 80_000) + F.col("turn")).alias("date"),
+        F.when(F.col("role") == "user", "Me").otherwise("Them").alias("speaker"), F.lit(True).alias("is_target"), F.lit("iMessage").alias("service"), "text", F.lit(False).alias("had_attachment"), none.alias("reactions"), "role", "turn", "conv_id",
+    )
+    whole = F.lit(None).cast("int")
+    gone = records.filter((F.col("role") == "assistant") & ((F.col("conv_id") + F.col("turn")) % 3 > 0)).select("conversation_id", "guid", whole.alias("start"), whole.alias("end"))
+    info = records.select("conversation_id", F.col("conversation_id").alias("number"), F.lit(None).cast("string").alias("group_name"), F.lit(None).cast("array<string>").alias("participant_labels")).distinct()
+    made = render.transcript(records.drop("role", "turn", "conv_id"), info, redactions=gone)
+    size = F.col("end") - F.col("start")
+    marks = made.marks.filter("kind = 'redacted'").withColumn("size", size)
+    # The transcript says what the mark covers.
+    whole_text = made.text().withColumnRenamed("text", "all")
+    return marks.join(whole_text, "conversation_id").select("conversation_id", text.utf16_slice(F.col("all"), F.col("start"), F.col("end")).alias("token"), "guid")
+
+
+@query(r"""WITH hits AS (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS m FROM documents)
+SELECT doc_id, len(m) AS numbers, CAST(coalesce(list_sum(list_transform(m, lambda x: length(x))), 0) AS BIGINT) AS digits FROM hits""")
+def span_find(spark, sf_dir):
+    d = adapter.table(spark, sf_dir, "documents").select("doc_id", spans.find_spans(F.col("text"), "[0-9]+").alias("s"))
+    return d.select("doc_id", F.size("s").alias("numbers").cast("long").alias("numbers"), F.aggregate("s", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("digits"))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_partkey % 60 AS INTEGER) AS a, CAST(l_partkey % 60 + l_quantity % 7 AS INTEGER) AS b FROM lineitem),
+v AS (SELECT * FROM s WHERE b <= 60 AND a < b),
+g AS (SELECT *, max(b) OVER (PARTITION BY k ORDER BY a, b, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hi FROM v),
+i AS (SELECT *, sum(CASE WHEN hi IS NULL OR a > hi THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY a, b, n) AS island FROM g)
+SELECT k AS l_orderkey, CAST(min(a) AS INTEGER) AS start, CAST(max(b) AS INTEGER) AS "end" FROM i GROUP BY k, island""")
+def span_merge(spark, sf_dir):
+    li = adapter.table(spark, sf_dir, "lineitem")
+    a = (F.col("l_partkey") % 60).cast("int")
+    s = li.groupBy("l_orderkey").agg(F.collect_list(F.struct(a.alias("start"), (F.col("l_partkey") % 60 + F.col("l_quantity") % 7).cast("int").alias("end"))).alias("s"))
+    return s.select("l_orderkey", F.explode(spans.merge_spans(F.col("s"), F.lit(60))).alias("x")).select("l_orderkey", "x.start", "x.end")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS guid, e AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\\.){1,8}[A-Za-z]{2,24}')) AS e FROM documents)""".replace("\\\\", "\\"))
+def scrub_email(spark, sf_dir):
+    r = _documents(spark, sf_dir)
+    return _values(r, detect.scrub(r, ["email"]))
+
+
+@query(r"""SELECT CAST(doc_id AS VARCHAR) AS guid, e AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:api_?key|secret|token)\s{0,3}[=:]\s{0,3}["'']([0-9A-Za-z_-]{32,})', 1)) AS e FROM documents)""")
+def detect_token(spark, sf_dir):
+    r = _documents(spark, sf_dir)
+    only = detect.Registry()
+    only.rules = [x for x in only.rules if x.category == "apiKey" and "api_?key" in x.pattern]
+    return _values(r, detect.detect(r, ["apiKey"], only))
+
+
+def _values(records: DataFrame, found: DataFrame) -> DataFrame:
+    hit = found.join(records.select("conversation_id", "guid", "text"), ["conversation_id", "guid"])
+    return hit.select("guid", text.utf16_slice(F.col("text"), F.col("start"), F.col("end")).alias("value"))
+
+
+@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(' ' || text || ' ', '[^0-9-]([0-9](?:[ -]?[0-9]){12,18})[^0-9-]', 1)) AS v FROM documents),
+d AS (SELECT doc_id, v, regexp_replace(v, '[^0-9]', '', 'g') AS n FROM m)
+SELECT CAST(doc_id AS VARCHAR) AS guid, v AS value FROM d WHERE length(n) BETWEEN 13 AND 19 AND length(replace(n, n[1], '')) > 0
+AND list_sum(list_transform(range(1, length(n) + 1), lambda i: CASE WHEN (length(n) - i) % 2 = 0 THEN CAST(n[i] AS INTEGER) WHEN CAST(n[i] AS INTEGER) * 2 > 9 THEN CAST(n[i] AS INTEGER) * 2 - 9 ELSE CAST(n[i] AS INTEGER) * 2 END)) % 10 = 0""")
+def detect_card(spark, sf_dir):
+    r = _documents(spark, sf_dir)
+    return _values(r, detect.detect(r, ["creditCard"]))
+
+
+@query()
+def detect_all(spark, sf_dir):
+    r = _documents(spark, sf_dir)
+    return detect.detect(r).select("guid", "category", "start", "end")
+
+
+@query()
+def scrub_all(spark, sf_dir):
+    r = _documents(spark, sf_dir)
+    return detect.scrub(r, ["phone", "email", "postalAddress", "otp"]).select("guid", "start", "end")
+
+
+@query(r"""SELECT source AS conversation_id, doc_id AS message_rowid, regexp_replace(text, '[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}', '[redacted]', 'g') AS text, CASE WHEN doc_id % 2 = 0 THEN 'P1' ELSE CASE WHEN p2.k IS NULL THEN 'P1' ELSE 'P2' END END AS speaker
+FROM documents LEFT JOIN (SELECT DISTINCT source AS k FROM documents WHERE doc_id % 2 = 0) p2 ON p2.k = documents.source WHERE NOT regexp_matches(text, '^[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}$')""")
+def prepared_redacted(spark, sf_dir):
+    scope = Scope(anonymize_speakers=True, enabled_scrubbers=frozenset({"email"}))
+    return export.prepared_redacted_records(_documents(spark, sf_dir), scope).select("conversation_id", "message_rowid", "text", "speaker")
+
+
+@query(_STORE + """SELECT r.conversation_id, message_rowid, trim(regexp_replace(CASE WHEN had_attachment THEN regexp_replace(text, '\\[(photo|gif|video|pdf|audio)\\]', ' ', 'g') ELSE text END, '[ \\t]+', ' ', 'g')) AS text FROM record r WHERE text <> ''""".replace("trim(regexp_replace(CASE", "regexp_replace(regexp_replace(CASE").replace("'g')) AS text", "'g'), '^ +| +$', '', 'g') AS text"))
+def trimmed_records(spark, sf_dir):
+    trim = Scope(trim=TrimOptions(drop_attachment_placeholders=True, drop_reactions=True))
+    return export.prepared_records(_records(spark, sf_dir), trim).select("conversation_id", "message_rowid", "text")
+
+
+@query("""WITH r AS (SELECT l_orderkey % 500 AS c, l_linenumber AS g, CASE WHEN l_returnflag = 'R' THEN NULL ELSE CAST(l_quantity AS INTEGER) END AS s FROM lineitem),
+w AS (SELECT DISTINCT c, g FROM r WHERE s IS NULL)
+SELECT DISTINCT CAST(c AS VARCHAR) AS conversation_id, CAST(g AS VARCHAR) AS guid, s AS start, s + 5 AS "end" FROM r WHERE s IS NULL OR NOT EXISTS (SELECT 1 FROM w WHERE w.c = r.c AND w.g = r.g)""")
+def redaction_absorption(spark, sf_dir):
+    li = adapter.table(spark, sf_dir, "lineitem")
+    start = F.when(F.col("l_returnflag") != "R", F.col("l_quantity").cast("int"))
+    r = li.select((F.col("l_orderkey") % 500).cast("string").alias("conversation_id"), F.col("l_linenumber").cast("string").alias("guid"), start.alias("start"), (start + 5).alias("end"))
+    return redact.absorbed(r)
+
+
+@query("""SELECT event_id, '"' || replace(props, '"', chr(92) || '"') || '"' AS json, format('{:,}', event_id * 1000) AS shown FROM events""")
+def json_strings(spark, sf_dir):
+    e = adapter.table(spark, sf_dir, "events")
+    return e.select("event_id", text.json_string(F.col("props")).alias("json"), text.comma(F.col("event_id") * 1000).alias("shown"))
+
+
+@query(_STORE + """SELECT num AS conversation_id, count(*) AS messages FROM (SELECT conversation_id AS num FROM record WHERE text <> '' AND date BETWEEN 1700036000 AND 1700172800) GROUP BY 1""")
+def date_window(spark, sf_dir):
+    """An inclusive range of days."""
+    return export.in_range(_records(spark, sf_dir), Scope(date_range=(1_700_036_000, 1_700_172_800))).groupBy("conversation_id").agg(F.count("*").alias("messages"))
+
+
+@query()
+def transcript_marks(spark, sf_dir):
+    """Where secrets show in the transcripts of documents, and what selecting their first half would redact."""
+    r = _documents(spark, sf_dir)
+    info = r.select("conversation_id").distinct().select("conversation_id", F.col("conversation_id").alias("number"), F.lit(None).cast("string").alias("group_name"), F.lit(None).cast("array<string>").alias("participant_labels"))
+    return export.export(r, info, Scope(enabled_scrubbers=frozenset({"email"}))).transcript.marks
+
+
+@query()
+def fuzzy_stitch(spark, sf_dir):
+    """Users as groups, active days as members, clustered greedily from the newest on."""
+    e = adapter.table(spark, sf_dir, "events")
+    teams = e.groupBy(F.col("user_id").cast("string").alias("id"), F.concat(F.lit("team"), (F.col("user_id") % 3).cast("string")).alias("group_name")).agg(
+        F.sort_array(F.collect_set(F.dayofmonth("ts").cast("long"))).alias("target_handles"), F.unix_timestamp(F.max("ts").cast("timestamp")).cast("double").alias("last_message_date")
+    )
+    teams = teams.withColumn("is_group", F.lit(True))
+    return conversations.clusters(teams, conversations.fuzzy_pairs(teams))
+
+
