@@ -66,10 +66,10 @@ class Hash:
 
 
 def plan(dim: int, count: int, least: float, recall: float = 0.99, most: int = 256) -> Hash:
-    """Parts so that a table has no more buckets than there are vectors, and as many tables as random pairs at exactly
+    """Parts so that a bucket has 16 vectors at most on average, and as many tables as random pairs at exactly
     the least cosine need to share a bucket with probability ``recall``; such pairs are the hardest to find."""
     width = 1 << max(1, (dim - 1).bit_length())
-    parts = max(1, min(6, int(math.log(max(count, 2)) / math.log(2 * width))))
+    parts = max(1, min(6, math.ceil(math.log(max(count, 2) / 16) / math.log(2 * width))))
     if dim < 2:
         return Hash(dim, 1, 1)
     rng = np.random.default_rng(3)
