@@ -5,111 +5,122 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut
+from .shared import cut
 
-#: A line ends behind a line break, or behind the space that follows the end of a sentence.
-LINE_END = r"(?<=\n)|(?<=[.!?] )"
+#: A line ends behind line breaks, or behind the space that follows the end of a sentence.
+LINE_END = r"(?<=\n|[.!?] )(?!\n)"
+_MARK = "\x01"
+_PLACES = 1 << 31  # positions within a document
 
 
-def _lines(text: Column) -> Column:
-    """Joined without a separator, the lines are the text again."""
-    return F.split(F.coalesce(text, F.lit("")), LINE_END)
+def lines_of(text: Column, plain: bool = False) -> Column:
+    """Joined without a separator, the lines are the text again; ``plain``: with spaces for line breaks.
+
+    Marks are set by plain replacement, which is several times faster than the pattern; texts that hold the mark
+    themselves are cut by the pattern.
+    """
+    text = F.coalesce(text, F.lit(""))
+    marked = text
+    for end in ("\n", ". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
+    marked = F.replace(marked, F.lit(_MARK + "\n"), F.lit("\n"))
+    if plain:
+        marked = F.replace(marked, F.lit("\n"), F.lit(" "))
+    rare = F.split(text, LINE_END, -1)
+    rare = F.transform(rare, lambda x: F.replace(x, F.lit("\n"), F.lit(" "))) if plain else rare
+    return F.when(F.contains(text, F.lit(_MARK)), rare).otherwise(F.split(marked, _MARK, -1))
 
 
 def repeated_lines(docs: DataFrame, window: int = 2, min_words: int = 8) -> DataFrame:
-    """``(doc_id, lines)``: the positions, from 0, of the lines to delete, for documents that have any.
+    """``(doc_id, runs)``: the runs ``(a, b)`` of line positions, from 0, to delete from the documents that have any.
 
-    Fingerprints are the least line hash of each ``window`` neighbouring lines, and every line that has ``min_words``
-    itself; so each repeated run of ``window`` lines, or of one such line, has a fingerprint in all its copies. Each
-    fingerprint is joined to the first document and position that has it, not to all others, and the match is
-    extended both ways while lines stay equal. A run of ``min_words`` words or more is deleted; what precedes it in
-    the order of (doc_id, position) stays, so the first copy of every line always stays, and chains of copies lose
-    nothing. Lines are compared without white space at their ends; blank lines match blank lines but start no run.
+    A unit is the run of lines from one line on, up to where it has ``min_words`` words. Fingerprints are the least
+    unit hash of each ``window`` neighbouring units, and every unit that is one line; so each repeated run of
+    ``window`` units, or of one such line, has a fingerprint in all its copies, and each fingerprint that matches is a
+    run long enough already. It is joined to the first document and position that has it, not to all others, and the
+    match is extended both ways while lines stay equal. The run is deleted; what precedes it in the order of
+    (doc_id, position) stays, so the first copy of every line always stays, and chains of copies lose nothing. Lines
+    are compared without spaces and line breaks at their ends; words are counted by the spaces between them.
     """
-    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(
-        F.col("doc_id").alias("_doc"), F.transform(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(" \n\t\r"))).alias("_l")
-    )
+    trimmed = F.transform(lines_of(F.col("text"), plain=True), lambda x: F.trim(x))
+    spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) + (F.length(x) > 0).cast("int")
     rows = cut(
-        rows.select(
-            "_doc",
-            F.transform("_l", lambda x: F.xxhash64(x)).alias("_h"),
-            F.transform("_l", lambda x: F.regexp_count(x, F.lit(WORD))).alias("_n"),
-        ),
+        docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+        .select(F.col("doc_id").alias("_doc"), trimmed.alias("_l"))
+        .select("_doc", F.transform("_l", lambda x: F.struct(F.xxhash64(x).alias("h"), spaces(x).alias("n"))).alias("_z"))
+        .select("_doc", F.transform("_z", lambda x: x["h"]).alias("_h"), F.transform("_z", lambda x: x["n"]).alias("_n")),
         "lines",
     )
-    least = lambda i: F.array_min(F.transform(F.slice("_h", i + 1, window), lambda h: h))
-    # Position i is chosen if its hash is the least of some window that holds it and lies within the document.
-    minima = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("_h") - window, F.lit(0))), lambda i: least(i)
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("k"))
+    add = lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), F.xxhash64(s["h"], x["h"]).alias("h"), (s["k"] + 1).alias("k"))
+    more = lambda s, x: F.when(s["n"] >= min_words, s).otherwise(add(s, x))
+    units = F.transform(
+        "_z",
+        lambda x, i: F.when(x["n"] >= min_words, add(start, x)).otherwise(F.aggregate(F.slice("_z", i + 1, min_words), start, more)),
     )
-    chosen = F.filter(
-        F.transform(
-            "_h",
-            lambda h, i: F.struct(
-                h.alias("h"), i.alias("i"), F.element_at("_n", i + 1).alias("n"),
-                F.exists(F.slice("_m", F.greatest(i - window + 2, F.lit(1)), F.least(i + 1, F.lit(window))), lambda m: m == h).alias("least"),
-            ),
-        ),
-        lambda x: (x["n"] > 0) & (x["least"] | (x["n"] >= min_words)),
-    )
-    marks = rows.withColumn("_m", minima).select("_doc", F.explode(chosen).alias("x")).select(
-        "_doc", F.col("x.h").alias("_fp"), F.col("x.i").alias("_i")
+    # A unit is a fingerprint if no hash is less in one of the windows that hold it and lie within the document.
+    starts = lambda i: F.sequence(F.greatest(i - window + 1, F.lit(0)), F.greatest(F.least(i, F.size("_u") - window), F.lit(0)))
+    least = lambda u, i: F.exists(starts(i), lambda s: F.forall(F.slice("_u", s + 1, window), lambda v: v["h"] >= u["h"]))
+    marked = F.filter(
+        F.transform("_u", lambda u, i: F.struct(u["h"].alias("h"), i.alias("i"), ((u["n"] >= min_words) & ((u["k"] == 1) | least(u, i))).alias("on"))),
+        lambda x: x["on"],
     )
-    first = marks.groupBy("_fp").agg(F.min(F.struct("_doc", "_i")).alias("_f"), F.count("*").alias("_c")).filter("_c > 1")
+    marks = rows.withColumn("_z", F.arrays_zip(F.col("_h").alias("h"), F.col("_n").alias("n"))).withColumn("_u", units)
+    marks = cut(marks.select("_doc", F.explode(marked).alias("x")).select("_doc", F.col("x.h").alias("_fp"), F.col("x.i").alias("_i")), "marks")
+    # Document and position as one number, which a hash aggregation can hold.
+    place = F.col("_doc").cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(10,0)") + F.col("_i")
+    first = (
+        marks.groupBy("_fp").agg(F.min(place.cast("decimal(38,0)")).alias("_p"), F.count("*").alias("_c")).filter("_c > 1")
+        .withColumn("_i0", F.expr(f"pmod(_p, {_PLACES})").cast("int"))
+        .select("_fp", F.expr(f"(_p - _i0) div {_PLACES}").cast("long").alias("_from"), "_i0")
+    )
     seeds = (
-        marks.join(first, "_fp")
-        .filter((F.col("_doc") != F.col("_f._doc")) | (F.col("_i") != F.col("_f._i")))
-        .groupBy("_doc", F.col("_f._doc").alias("_from"), (F.col("_i") - F.col("_f._i")).alias("_off"))
-        .agg(F.collect_list("_i").alias("_seeds"))
-    )
-    both = seeds.join(rows.select("_doc", "_h", "_n"), "_doc").join(
-        rows.select(F.col("_doc").alias("_from"), F.col("_h").alias("_g")), "_from"
-    )
-    # One character per line of the document: 1 where the line on the same diagonal of the first document is equal.
-    same = F.array_join(
-        F.transform(
-            "_h", lambda h, i: F.when(F.get("_g", i - F.col("_off")) == h, F.lit("1")).otherwise(F.lit("0"))
-        ),
-        "",
+        marks.join(first, "_fp").filter("_doc <> _from OR _i <> _i0")
+        .groupBy("_doc", "_from", (F.col("_i") - F.col("_i0")).alias("_off"))
+        .agg(F.sort_array(F.collect_list("_i")).alias("_seeds"))
+    )
+    both = seeds.join(rows.select("_doc", "_h"), "_doc").join(rows.select(F.col("_doc").alias("_from"), F.col("_h").alias("_g")), "_from")
+    # On the diagonal, one character per line, 1 where both are equal; the runs of 1 that hold a fingerprint are long enough.
+    i0, j0 = F.greatest(F.col("_off"), F.lit(0)), F.greatest(-F.col("_off"), F.lit(0))
+    n = F.least(F.size("_h") - i0, F.size("_g") - j0)
+    same = F.array_join(F.transform(F.zip_with(F.slice("_h", i0 + 1, n), F.slice("_g", j0 + 1, n), lambda x, y: x == y), lambda e: F.when(e, "1").otherwise("0")), "")
+    pieces = F.arrays_zip(
+        F.transform(F.split("_same", "1+", -1), lambda x: F.length(x)).alias("gap"),
+        F.transform(F.regexp_extract_all("_same", F.lit("1+"), F.lit(0)), lambda x: F.length(x)).alias("run"),
     )
-    ones = lambda s: F.length(F.regexp_extract(s, "^1*+", 0))
-    runs = F.array_distinct(
-        F.transform(
-            "_seeds",
-            lambda i: F.struct(
-                (i - ones(F.reverse(F.substr("_same", F.lit(1), i)))).alias("a"),
-                (i + ones(F.substr("_same", i + 1, F.lit(2**31 - 1) - i - 1))).alias("b"),
-            ),
+    none = F.struct(i0.alias("at"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("r"))
+    step = lambda s, x: F.when(x["run"].isNull(), s).otherwise(
+        F.struct(
+            (s["at"] + x["gap"] + x["run"]).alias("at"),
+            F.array_append(s["r"], F.struct((s["at"] + x["gap"]).alias("a"), (s["at"] + x["gap"] + x["run"]).alias("b"))).alias("r"),
         )
     )
-    words = lambda x: F.aggregate(F.slice("_n", x["a"] + 1, x["b"] - x["a"]), F.lit(0), lambda s, n: s + n)
-    found = both.withColumn("_same", same).select(
-        "_doc", F.filter(runs, lambda x: words(x) >= min_words).alias("_runs")
-    )
-    spread = F.flatten(F.transform("_runs", lambda x: F.sequence(x["a"], x["b"] - 1)))
-    return (
-        found.filter(F.size("_runs") > 0)
-        .groupBy("_doc")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(spread)))).alias("lines"))
-        .select(F.col("_doc").alias("doc_id"), "lines")
-    )
+    runs = F.aggregate(pieces, none, step, lambda s: s["r"])
+    with_seed = F.filter(F.col("_runs"), lambda r: F.exists("_seeds", lambda i: (i >= r["a"]) & (i < r["b"])))
+    found = both.withColumn("_same", same).select("_doc", runs.alias("_runs"), "_seeds").select("_doc", with_seed.alias("_runs"))
+    apart = F.aggregate(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_runs")))),
+        F.expr("cast(array() as array<struct<a:int,b:int>>)"),
+        lambda s, x: F.when((F.size(s) > 0) & (F.element_at(s, -1)["b"] >= x["a"]), F.array_append(
+            F.slice(s, 1, F.size(s) - 1),
+            F.struct(F.element_at(s, -1)["a"].alias("a"), F.greatest(F.element_at(s, -1)["b"], x["b"]).alias("b")),
+        )).otherwise(F.array_append(s, x)),
+    )
+    return found.groupBy("_doc").agg(apart.alias("runs")).select(F.col("_doc").alias("doc_id"), "runs")
 
 
 def dedup_lines(docs: DataFrame, window: int = 2, min_words: int = 8) -> DataFrame:
-    """``docs`` with later copies of repeated runs of lines taken out of ``text``, and ``_line_count``, ``_line_drops``.
+    """``docs`` with later copies of repeated runs of lines taken out of ``text``, and ``_line_drops``, their number.
 
     A null text stays null, a text without words stays as it is, and so do rows with a null id. ``doc_id`` identifies
     a row; where rows share an id and their texts differ, their runs are found row by row but taken out of all of
     them by position, so make ids unique first. Other columns pass through.
     """
-    gone = repeated_lines(docs, window, min_words).select(F.col("doc_id").alias("_gone_id"), F.col("lines").alias("_gone"))
+    gone = repeated_lines(docs, window, min_words).select(F.col("doc_id").alias("_gone_id"), F.col("runs").alias("_gone"))
     out = docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left")
-    keep = F.filter(_lines(out["text"]), lambda x, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
+    keep = F.filter(lines_of(out["text"]), lambda x, i: ~F.exists("_gone", lambda r: (i >= r["a"]) & (i < r["b"])))
+    text = F.when(F.col("_gone").isNull() | out["text"].isNull(), out["text"]).otherwise(F.array_join(keep, ""))
     return out.select(
-        *[
-            (F.when(F.col("_gone").isNull(), out["text"]).otherwise(F.array_join(keep, "")).alias("text") if c == "text" else docs[f"`{c}`"])
-            for c in docs.columns
-        ],
-        F.when(out["text"].isNull(), 0).otherwise(F.size(_lines(out["text"]))).alias("_line_count"),
-        F.coalesce(F.size("_gone"), F.lit(0)).alias("_line_drops"),
+        *[text.alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns],
+        F.coalesce(F.aggregate("_gone", F.lit(0), lambda s, r: s + r["b"] - r["a"]), F.lit(0)).alias("_line_drops"),
     )
