@@ -16,6 +16,8 @@ from .shingles import set_id, shingle_set, signature
 #: Coordinates of a signature, and how many must agree. At a similarity of 0.75, 24 of 32 agree on average; fewer than
 #: 12 do in about one pair of a million.
 COORDINATES, AGREE = 32, 12
+#: Members of a list that are compared at once: so many, or with so many shingles.
+_BLOCK, _BLOCK_SHINGLES = 2048, 2_000_000
 
 
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,6 +49,56 @@ def _confirmed(percent: int):
     return check
 
 
+def _blocks(percent: int):
+    """Links between components within each block pair of a list: one for every two components that have any."""
+
+    def links(part: pd.DataFrame) -> pd.DataFrame | None:
+        sets = [np.frombuffer(b, np.uint64) for b in part["_all"]]
+        keys, code = np.unique(part["_c"].map(bytes).to_numpy(), return_inverse=True)
+        if len(keys) < 2:
+            return None
+        n = np.array([len(x) for x in sets])
+        few = np.flatnonzero(code != np.bincount(code).argmax())  # links within the largest component say nothing
+        _, col = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), n)
+        shared = np.bincount(col)[col] > 1
+        row, (_, col) = row[shared], np.unique(col[shared], return_inverse=True)
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        both = np.zeros((len(few), len(sets)), np.float32)
+        step = max(1, 4_000_000 // len(sets))
+        for at in range(0, int(col[-1]) + 1 if len(col) else 0, step):
+            lo, hi = np.searchsorted(col, (at, at + step))
+            dense = np.zeros((len(sets), step), np.float32)
+            dense[row[lo:hi], col[lo:hi] - at] = 1
+            both += dense[few] @ dense.T
+        same = (100 * both >= percent * (n[few, None] + n[None, :] - both)) & (code[few, None] != code[None, :])
+        x, y = np.nonzero(same)
+        if not len(x):
+            return None
+        x = few[x]
+        _, first = np.unique(code[x] * len(keys) + code[y], return_index=True)
+        ids = part["_set"].to_numpy()
+        return pd.DataFrame({"a": ids[x[first]], "b": ids[y[first]]})
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            at = batch[["_key", "_i", "_j"]].to_numpy()
+            edges = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1), len(batch)]
+            for lo, hi in zip(edges[:-2], edges[1:-1], strict=True):
+                if hi - lo > 1 and (found := links(batch.iloc[lo:hi])) is not None:
+                    yield found
+            rest = batch.iloc[edges[-2] :]
+        if rest is not None and len(rest) > 1 and (found := links(rest)) is not None:
+            yield found
+
+    return compare
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs (doc_id, text)``.
 
@@ -57,9 +109,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     (prefix) and the long lists are skipped; what the skipped lists would add is counted on the two signatures. Pairs
     that agree often enough are confirmed on whole sets.
 
-    A list of many near copies isn't expanded into pairs: its most typical member is compared with all others, then
-    another one, and only members that are still in different components are paired with each other. Every pair of a
-    list is so either compared or already connected; only components are returned, so no result is lost.
+    A list of many near copies isn't expanded into pairs. First its most typical member is compared with all others.
+    Lists that still hold several components are then cut into blocks, and in every pair of blocks all members outside
+    the largest component are compared with all others at once, as a product of 0/1 matrices over whole sets; what
+    leaves a block pair is one link for two components. Every pair of a list is so either compared or connected.
 
     A null or blank text has no shingles and links to nothing. Rows that share an id are taken row by row, and the
     component gets the least id; all rows with that id count as kept. A null id never names a component unless the
@@ -78,27 +131,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         "classes",
     )
     posts = cut(_prefixes(classes), "posts")
-    links = spark.createDataFrame([], "a binary, b binary")
-    found, tested = links, links
-    named = None
-    for turn in ("typical", "other", "rest"):
-        pairs = cut(_candidates(posts, named, tested, turn, percent), "pairs")
-        if pairs.isEmpty():
-            continue
-        agreed = cut(_agreeing(pairs, classes), "agreed")
-        new = cut(_confirm(agreed, classes, docs, percent), "links")
-        found = found.unionByName(new)
-        if turn != "rest":
-            tested = tested.unionByName(pairs)
-        if turn == "rest" or not new.isEmpty():
-            named = cut(components(found), "named")
+    links = cut(_confirm(cut(_agreeing(_with_typical(posts, percent), classes), "agreed"), classes, docs, percent), "links")
+    named = cut(components(links), "named")
+    more = cut(_rest(posts, named, classes, docs, percent), "more")
+    if not more.isEmpty():
+        named = cut(components(links.unionByName(more)), "named")
     joined = classes.select("_set", "_first")
-    if named is None:
-        joined = joined.withColumn("_least", F.col("_first"))
-    else:
-        joined = joined.join(named.withColumnRenamed("node", "_set"), "_set", "left").withColumn("_c", F.coalesce("component", "_set"))
-        least = joined.filter("component IS NOT NULL").groupBy("component").agg(F.min("_first").alias("_m"))
-        joined = joined.join(least, "component", "left").withColumn("_least", F.coalesce("_m", "_first"))
+    joined = joined.join(named.withColumnRenamed("node", "_set"), "_set", "left")
+    least = joined.filter("component IS NOT NULL").groupBy("component").agg(F.min("_first").alias("_m"))
+    joined = joined.join(least, "component", "left").withColumn("_least", F.coalesce("_m", "_first"))
     out = prints.select("doc_id", "n_shingles", "_set").join(joined.select("_set", "_least"), "_set", "left")
     component = F.when(F.col("_set").isNull(), F.col("doc_id")).otherwise(F.col("_least"))
     return out.select(
@@ -119,25 +160,30 @@ def _prefixes(classes: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(posts: DataFrame, named: DataFrame | None, tested: DataFrame, turn: str, percent: int) -> DataFrame:
-    """Pairs of one list in different components: with one member of it, or in the last turn all that are left."""
-    if named is None:
-        posts = posts.withColumn("_c", F.col("_set"))
-    else:
-        posts = posts.join(named.withColumnRenamed("node", "_set"), "_set", "left").withColumn("_c", F.coalesce("component", "_set"))
-    order = F.col("_weight") if turn == "typical" else F.pmod(F.xxhash64("_set", F.lit(turn)), F.lit(1 << 40)).cast("double")
-    lead = posts.groupBy("_key").agg(
-        F.min("_c").alias("_c1"), F.max("_c").alias("_c2"), F.max(F.struct(order.alias("o"), "_set", "_n", "_c")).alias("_lead")
-    ).filter("_c1 <> _c2").select("_key", "_lead")
-    near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    a, b = F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")
-    if turn == "rest":
-        mine = cut(posts.join(lead.select("_key"), "_key", "left_semi").select("_key", "_set", "_n", "_c"), "left")
-        other = mine.select("_key", F.col("_set").alias("_b"), F.col("_n").alias("_m"), F.col("_c").alias("_d"))
-        pairs = mine.withColumnRenamed("_set", "_a").join(other, "_key").filter((F.col("_a") < F.col("_b")) & (F.col("_c") != F.col("_d")) & near(F.col("_n"), F.col("_m")))
-    else:
-        pairs = posts.join(lead, "_key").filter((F.col("_c") != F.col("_lead._c")) & near(F.col("_n"), F.col("_lead._n"))).select(F.col("_set").alias("_a"), F.col("_lead._set").alias("_b"))
-    return pairs.select(a, b).distinct().join(tested, ["a", "b"], "left_anti")
+def _with_typical(posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each member of a list with the one whose pairs are met most often, if their sizes allow a link."""
+    lead = posts.groupBy("_key").agg(F.max(F.struct("_weight", "_set", "_n")).alias("_lead"))
+    a, b = F.least("_set", "_lead._set").alias("a"), F.greatest("_set", "_lead._set").alias("b")
+    near = F.least("_n", "_lead._n") * 100 >= F.greatest("_n", "_lead._n") * percent
+    return posts.join(lead, "_key").filter((F.col("_set") != F.col("_lead._set")) & near).select(a, b).distinct()
+
+
+def _rest(posts: DataFrame, named: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between what is left in different components of one list."""
+    posts = posts.join(named.withColumnRenamed("node", "_set"), "_set", "left").select("_key", "_set", "_n", F.coalesce("component", "_set").alias("_c"))
+    several = (
+        posts.groupBy("_key").agg(F.min("_c").alias("_c1"), F.max("_c").alias("_c2"), F.count("*").alias("_m"), F.sum("_n").alias("_s"))
+        .filter("_c1 <> _c2")
+        .select("_key", F.ceil(F.greatest(F.col("_m") / _BLOCK, F.col("_s") / _BLOCK_SHINGLES)).cast("int").alias("_parts"))
+    )
+    left = cut(posts.join(several, "_key"), "left")
+    sets = _sets(left.select("_set").distinct(), classes, docs)
+    block = F.pmod(F.xxhash64("_set"), F.col("_parts")).cast("int")
+    pairs = left.withColumn("_block", block).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    pairs = pairs.select("_key", F.least("_block", "_x").alias("_i"), F.greatest("_block", "_x").alias("_j"), "_set", "_c").join(sets, "_set")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.repartition(n, "_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j")
+    return dealt.mapInPandas(_blocks(percent), "a binary, b binary")
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -148,12 +194,17 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.filter(agree >= AGREE).select("a", "b")
 
 
+def _sets(need: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(_set, _all)``: the whole sets of the classes that are asked for, from their first documents' texts."""
+    need = need.join(classes.select("_set", "_first"), "_set")
+    texts = need.join(docs.select("doc_id", "text"), need["_first"].eqNullSafe(docs["doc_id"]))
+    return cut(texts.select("_set", "text").mapInPandas(_whole_sets, "_set binary, _all binary").dropDuplicates(["_set"]), "sets")
+
+
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose whole sets are similar enough."""
     need = pairs.select(F.col("a").alias("_set")).unionByName(pairs.select(F.col("b").alias("_set"))).distinct()
-    need = need.join(classes.select("_set", "_first"), "_set")
-    texts = need.join(docs.select("doc_id", "text"), need["_first"].eqNullSafe(docs["doc_id"]))
-    sets = cut(texts.select("_set", "text").mapInPandas(_whole_sets, "_set binary, _all binary").dropDuplicates(["_set"]), "sets")
+    sets = _sets(need, classes, docs)
     both = pairs.join(sets.toDF("b", "_y"), "b").join(sets.toDF("a", "_x"), "a").select("a", "b", "_x", "_y")
     return both.mapInPandas(_confirmed(percent), "a binary, b binary")
 
