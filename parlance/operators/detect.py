@@ -67,7 +67,7 @@ def _aba(c: Column) -> Column:
     return (total % 10 == 0) & (c != "000000000")
 
 
-_KEYWORD = r"(?i)\b(?:%s)\b[^\n\p{L}\d]{0,3}(?:(?:is|was|to|number|no|code|=|:)\b?[^\n\p{L}\d]{0,3}){0,2}"
+_KEYWORD = r"(?i)\b(?:%s)\b[^\n\p{L}\d]{0,3}(?:(?:(?:is|was|to|number|no|code)\b|[=:])[^\n\p{L}\d]{0,3}){0,2}"
 
 DETECTOR_RULES: tuple[Rule, ...] = (
     Rule("password", rf"({_KEYWORD % 'password|passwd|passcode|passphrase|pwd'})([^\s\"',;]{{4,64}})", True),
@@ -146,7 +146,11 @@ class Registry:
 def _found(records: DataFrame, categories: Iterable[str], known: Iterable[str], registry: Registry) -> DataFrame:
     wanted = [c for c in known if c in set(categories)]
     text = F.col("text")
-    per = [F.transform(registry.spans(text, c), lambda s, c=c: F.struct(F.lit(c).alias("category"), s["start"].alias("start"), s["end"].alias("end"))) for c in wanted]
+
+    def named(c: str) -> Column:
+        return F.transform(registry.spans(text, c), lambda s: F.struct(F.lit(c).alias("category"), s["start"].alias("start"), s["end"].alias("end")))
+
+    per = [named(c) for c in wanted]
     every = F.concat(*per) if per else F.expr("cast(array() as array<struct<category:string,start:int,end:int>>)")
     return records.filter("guid IS NOT NULL").select("conversation_id", "guid", F.explode(every).alias("x")).select("conversation_id", "guid", "x.start", "x.end", "x.category")
 

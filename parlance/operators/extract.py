@@ -98,12 +98,12 @@ def extract(store: dict[str, DataFrame], conversations: DataFrame, global_labels
     messages = (
         written.join(attachments(store), "message_rowid", "left").withColumn("raw", raw)
         .select(
-            "conversation_id", "message_rowid", "guid", F.floor(seconds(F.col("date"))).cast("long").alias("date"), "speaker",
+            "conversation_id", "message_rowid", F.col("date").alias("date_ns"), "guid", F.floor(seconds(F.col("date"))).cast("long").alias("date"), "speaker",
             (~F.col("is_from_me") & F.col("is_target")).alias("is_target"), "service", text.alias("text"), had.alias("had_attachment"),
         )
         .filter("text <> ''")
     )
-    last = Window.partitionBy("conversation_id", "guid").orderBy(F.desc("date"), F.desc("message_rowid"))
+    last = Window.partitionBy("conversation_id", "guid").orderBy(F.desc("date_ns"), F.desc("message_rowid"))
     targets = messages.filter("guid IS NOT NULL").select("conversation_id", "guid", "message_rowid", F.row_number().over(last).alias("k")).filter("k = 1")
     reactions = (
         by_message(net(events)).withColumnRenamed("target_guid", "guid").join(targets, ["conversation_id", "guid"])
@@ -115,9 +115,9 @@ def extract(store: dict[str, DataFrame], conversations: DataFrame, global_labels
 
 
 def system_events(store: dict[str, DataFrame], conversations: DataFrame, global_labels: DataFrame) -> DataFrame:
-    """``(conversation_id, message_rowid, date, line)``: who added, removed, renamed or left. Older stores have none."""
+    """``(conversation_id, message_rowid, date_ns, date, line)``: who added, removed, renamed or left. Older stores have none."""
     if not has_columns(store["message"], OPTIONAL):
-        return conversations.sparkSession.createDataFrame([], "conversation_id string, message_rowid long, date long, line string")
+        return conversations.sparkSession.createDataFrame([], "conversation_id string, message_rowid long, date_ns long, date long, line string")
     labels = label_dimension(conversations, global_labels)
     rows = _in_conversations(store, bridge(conversations)).filter(F.col("item_type").isin(1, 2, 3)).withColumns({
         "handle_id": F.coalesce("handle_id", F.lit(0)), "other_handle": F.coalesce("other_handle", F.lit(0)),
@@ -132,7 +132,7 @@ def system_events(store: dict[str, DataFrame], conversations: DataFrame, global_
         .otherwise(body.left_line(actor))
     )
     date = F.floor(seconds(F.coalesce("date", F.lit(0)))).cast("long")
-    return rows.select("conversation_id", "message_rowid", date.alias("date"), line.alias("line")).filter("line IS NOT NULL")
+    return rows.select("conversation_id", "message_rowid", F.coalesce("date", F.lit(0)).alias("date_ns"), date.alias("date"), line.alias("line")).filter("line IS NOT NULL")
 
 
 def stats(records: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def anonymization_map(records: DataFrame) -> DataFrame:
     A speaker appears before the authors of the reactions to the message. First appearances are aggregated before the
     window, which then has one row per label.
     """
-    at = F.struct("date", "message_rowid")
+    at = F.struct("date_ns", "message_rowid")
     speakers = records.select("conversation_id", F.col("speaker").alias("label"), at.alias("at"), F.lit(-1).alias("place"))
     authors = records.select("conversation_id", at.alias("at"), F.posexplode("reactions").alias("place", "r")).select("conversation_id", F.col("r.by").alias("label"), "at", "place")
     first = speakers.unionByName(authors).groupBy("conversation_id", "label").agg(F.min(F.struct("at", "place")).alias("first"))

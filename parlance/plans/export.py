@@ -86,4 +86,4 @@ def write(exported: Exported, to: str) -> None:
     lines = exported.transcript.lines.withColumn("value", F.regexp_replace("text", r"\n\z", ""))
     lines.repartition("conversation_id").sortWithinPartitions("conversation_id", "seq").select("conversation_id", "value").write.partitionBy("conversation_id").mode("overwrite").text(f"{to}/txt")
     json = exported.json_lines.withColumnRenamed("json", "value")
-    json.repartition("conversation_id").sortWithinPartitions("conversation_id", "date", "message_rowid").select("conversation_id", "value").write.partitionBy("conversation_id").mode("overwrite").text(f"{to}/jsonl")
+    json.repartition("conversation_id").sortWithinPartitions("conversation_id", "date_ns", "message_rowid").select("conversation_id", "value").write.partitionBy("conversation_id").mode("overwrite").text(f"{to}/jsonl")

@@ -42,7 +42,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = adapter.table(spark, sf_dir, "documents")
     none = F.array().cast("array<struct<by:string,emoji:string>>")
     return d.select(
-        F.col("source").alias("conversation_id"), F.col("doc_id").alias("message_rowid"), F.col("doc_id").cast("string").alias("guid"), (F.lit(adapter.BASE) + F.col("doc_id") * 60).alias("date"),
+        F.col("source").alias("conversation_id"), F.col("doc_id").alias("message_rowid"), F.col("doc_id").alias("date_ns"), F.col("doc_id").cast("string").alias("guid"), (F.lit(adapter.BASE) + F.col("doc_id") * 60).alias("date"),
         F.when(F.col("doc_id") % 2 == 0, "Me").otherwise("Them").alias("speaker"), (F.col("doc_id") % 2 == 1).alias("is_target"), F.lit("iMessage").alias("service"), "text",
         F.lit(False).alias("had_attachment"), none.alias("reactions"),
     )
@@ -128,12 +128,12 @@ def message_union_dedupe(spark, sf_dir):
 @query(_STORE + "SELECT r.conversation_id, message_rowid, r.guid, date, speaker, is_target, service, text, had_attachment, coalesce(emoji, '') AS reaction FROM record r LEFT JOIN netted n ON n.conversation_id = r.conversation_id AND n.guid = r.guid WHERE text <> ''")
 def extract_records(spark, sf_dir):
     one = F.coalesce(F.get("reactions", F.lit(0))["emoji"], F.lit(""))
-    return _records(spark, sf_dir).withColumn("reaction", one).drop("reactions")
+    return _records(spark, sf_dir).withColumn("reaction", one).drop("reactions", "date_ns")
 
 
 @query(_STORE + "SELECT num AS conversation_id, rid AS message_rowid, CAST(floor(CAST(date AS DOUBLE) / 1e9 + 978307200) AS BIGINT) AS date, '(555) ' || substr(num, 6, 3) || '-' || substr(num, 9, 4) || CASE WHEN trim(substr(text, 1, 20)) <> '' THEN ' named the group \"' || regexp_replace(substr(text, 1, 20), '^\\s+|\\s+$', '', 'g') || '\"' ELSE ' cleared the group name' END AS line FROM inside JOIN message USING (rid) WHERE sys")
 def system_event_lines(spark, sf_dir):
-    return extract.system_events(*_conversations(spark, sf_dir))
+    return extract.system_events(*_conversations(spark, sf_dir)).drop("date_ns")
 
 
 @query(_STORE + "SELECT conversation_id, count(*) AS messages, CAST(sum(CASE WHEN emoji IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS reactions, count_if(had_attachment) AS with_attachments FROM (SELECT r.*, n.emoji FROM record r LEFT JOIN netted n ON n.conversation_id = r.conversation_id AND n.guid = r.guid) WHERE text <> '' GROUP BY conversation_id")
@@ -161,12 +161,12 @@ def union_report(spark, sf_dir):
 _ESCAPED = "'\"' || replace(replace(replace(replace(replace(%s, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '\"'"
 
 
-@query(_STORE + f"""SELECT r.conversation_id, message_rowid, date, '{{"d": "' || strftime(make_timestamp(date * 1000000), '%Y-%m-%d %H:%M:%S') || '", "s": "' || speaker || '", "m": ' || {_ESCAPED % "text"}
+@query(_STORE + f"""SELECT r.conversation_id, message_rowid, '{{"d": "' || strftime(make_timestamp(date * 1000000), '%Y-%m-%d %H:%M:%S') || '", "s": "' || speaker || '", "m": ' || {_ESCAPED % "text"}
  || CASE WHEN service <> 'iMessage' THEN ', "svc": "' || service || '"' ELSE '' END
  || CASE WHEN emoji IS NOT NULL THEN ', "reacts": [{{"by": "' || n.by || '", "r": "' || emoji || '"}}]' ELSE '' END || '}}' AS json
 FROM record r LEFT JOIN netted n ON n.conversation_id = r.conversation_id AND n.guid = r.guid WHERE text <> ''""")
 def render_jsonl(spark, sf_dir):
-    return render.json_lines(_records(spark, sf_dir))
+    return render.json_lines(_records(spark, sf_dir)).drop("date_ns")
 
 
 @query(_STORE + """, shown AS (SELECT r.*, n.by AS who, n.emoji FROM record r LEFT JOIN netted n ON n.conversation_id = r.conversation_id AND n.guid = r.guid WHERE text <> ''),
@@ -304,7 +304,7 @@ def tombstone_runs(spark, sf_dir):
     c = adapter.table(spark, sf_dir, "conversations").filter("role <> 'system'").withColumn("rid", F.col("conv_id") * 1000 + F.col("turn"))
     none = F.array().cast("array<struct<by:string,emoji:string>>")
     records = c.select(
-        F.col("conv_id").cast("string").alias("conversation_id"), F.col("rid").alias("message_rowid"), F.concat(F.lit("m"), F.col("rid").cast("string")).alias("guid"), (F.lit(adapter.BASE - 80_000) + F.col("turn")).alias("date"),
+        F.col("conv_id").cast("string").alias("conversation_id"), F.col("rid").alias("message_rowid"), F.col("rid").alias("date_ns"), F.concat(F.lit("m"), F.col("rid").cast("string")).alias("guid"), (F.lit(adapter.BASE - 80_000) + F.col("turn")).alias("date"),
         F.when(F.col("role") == "user", "Me").otherwise("Them").alias("speaker"), F.lit(True).alias("is_target"), F.lit("iMessage").alias("service"), "text", F.lit(False).alias("had_attachment"), none.alias("reactions"), "role", "turn", "conv_id",
     )
     whole = F.lit(None).cast("int")

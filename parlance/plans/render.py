@@ -92,16 +92,16 @@ def transcript(
     info = info.withColumn("as_group", F.col("group_name").isNotNull() & F.lit(not anonymize))
     rows = rows.join(info.select("conversation_id", "as_group"), "conversation_id", "left")
     kinds = rows.select(
-        "conversation_id", "date", F.lit(1).alias("kind"), F.col("message_rowid").alias("id"), "guid", "speaker", "source", "reps", "reactions",
+        "conversation_id", "date", F.lit(1).alias("kind"), "date_ns", F.col("message_rowid").alias("id"), "guid", "speaker", "source", "reps", "reactions",
         "aliases", "tombstone", F.lit(None).cast("string").alias("line"),
     )
     if events is not None and not anonymize:
         shown = events.join(info.filter("as_group").select("conversation_id"), "conversation_id", "left_semi").join(records.select("conversation_id").distinct(), "conversation_id", "left_semi")
         kinds = kinds.unionByName(
-            shown.select("conversation_id", "date", F.lit(0).alias("kind"), F.col("message_rowid").alias("id"), "line", F.lit(False).alias("tombstone")), allowMissingColumns=True
+            shown.select("conversation_id", "date", F.lit(0).alias("kind"), "date_ns", F.col("message_rowid").alias("id"), "line", F.lit(False).alias("tombstone")), allowMissingColumns=True
         )
-    order = Window.partitionBy("conversation_id").orderBy("date", "kind", "id")
-    messages = Window.partitionBy("conversation_id", "is_message").orderBy("date", "kind", "id")
+    order = Window.partitionBy("conversation_id").orderBy("date", "kind", "date_ns", "id")
+    messages = Window.partitionBy("conversation_id", "is_message").orderBy("date", "kind", "date_ns", "id")
     kinds = kinds.withColumn("day", _day(F.col("date"), "yyyy-MM-dd")).withColumn("is_message", F.col("kind") == 1)
     # A run of tombstones among the messages of one day; events don't break it.
     breaks = F.col("is_message") & ~(F.col("tombstone") & F.coalesce(F.lag("tombstone").over(messages), F.lit(False)) & F.coalesce(F.lag("day").over(messages) == F.col("day"), F.lit(False)))
@@ -208,8 +208,8 @@ def rendered_bodies(records: DataFrame, redactions: DataFrame | None = None, map
 
 
 def json_lines(records: DataFrame, redactions: DataFrame | None = None, anonymize: bool = False) -> DataFrame:
-    """``(conversation_id, date, message_rowid, json)``, one object per message: when, who, what, and where it differs
-    the service and the reactions. Trims don't hold here. Order by date and rowid within a conversation."""
+    """``(conversation_id, date_ns, message_rowid, json)``, one object per message: when, who, what, and where it differs
+    the service and the reactions. Trims don't hold here. Order by date_ns and rowid within a conversation."""
     mapping = aliases_by_conversation(anonymization_map(records)) if anonymize else None
     df = rendered_bodies(records, redactions, mapping)
     alias = _alias if anonymize else lambda c: c
@@ -220,4 +220,4 @@ def json_lines(records: DataFrame, redactions: DataFrame | None = None, anonymiz
         F.when(F.col("service").isNotNull() & (F.col("service") != "iMessage"), pair("svc", json_string(F.col("service")))),
         F.when(F.size("reactions") > 0, F.concat(F.lit('"reacts": ['), reacts, F.lit("]"))),
     )
-    return df.select("conversation_id", "date", "message_rowid", F.concat(F.lit("{"), fields, F.lit("}")).alias("json"))
+    return df.select("conversation_id", "date_ns", "message_rowid", F.concat(F.lit("{"), fields, F.lit("}")).alias("json"))

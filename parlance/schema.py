@@ -42,9 +42,10 @@ def table_schema(table: str, optional: bool = False) -> T.StructType:
 
 
 REACTIONS = "array<struct<by:string,emoji:string>>"
-#: One row per message. ``date`` is in whole seconds since 1970; with ``message_rowid`` it orders a conversation.
+#: One row per message. ``date`` is in whole seconds since 1970; ``date_ns``, of the store, and ``message_rowid`` order a
+#: conversation.
 RECORDS = (
-    "conversation_id string, message_rowid long, guid string, date long, speaker string, is_target boolean, "
+    "conversation_id string, message_rowid long, date_ns long, guid string, date long, speaker string, is_target boolean, "
     f"service string, text string, had_attachment boolean, reactions {REACTIONS}"
 )
 #: ``start`` and ``end`` are UTF-16 offsets; a whole message has neither.

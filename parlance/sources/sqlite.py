@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from .. import schema
 
@@ -49,25 +49,15 @@ class _Rows(InputPartition):
         self.low, self.high = low, high
 
 
-_OPERATORS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+class StoreReader(DataSourceReader):
+    """Reads ranges of ROWID side by side. ``where``, a condition in SQL, runs in SQLite.
 
+    Filters of a query are not pushed by Spark: what it pushes into one scan of a Python source would hold for all scans
+    of that table in a query, and 1:1 and group chats are two scans of one table.
+    """
 
-class StoreReader(DataSourceReader):
-    """Reads ranges of ROWID side by side; simple filters on columns run in SQLite."""
-
-    def __init__(self, path: str, table: str, wanted: T.StructType, ranges: int):
-        self.path, self.table, self.wanted, self.ranges, self.filters = path, table, wanted, ranges, []
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, IsNotNull) and len(f.attribute) == 1:
-                self.filters.append((f'"{f.attribute[0]}" IS NOT NULL', ()))
-            elif type(f) in _OPERATORS and len(f.attribute) == 1 and isinstance(f.value, int | str):
-                self.filters.append((f'"{f.attribute[0]}" {_OPERATORS[type(f)]} ?', (f.value,)))
-            elif isinstance(f, In) and len(f.attribute) == 1 and all(isinstance(v, int | str) for v in f.value) and len(f.value) <= 500:
-                self.filters.append((f'"{f.attribute[0]}" IN ({",".join("?" * len(f.value))})', tuple(f.value)))
-            else:
-                yield f
+    def __init__(self, path: str, table: str, wanted: T.StructType, ranges: int, where: str | None = None):
+        self.path, self.table, self.wanted, self.ranges, self.where = path, table, wanted, ranges, where
 
     def partitions(self):
         if self.ranges <= 1:
@@ -87,8 +77,8 @@ class StoreReader(DataSourceReader):
         names = self.wanted.names
         have = {c.lower() for c in columns(self.path).get(self.table, [])} | {"rowid"}
         picked = ", ".join(f'"{n}"' if n.lower() in have and n != "ROWID" else "ROWID" if n == "ROWID" else "NULL" for n in names)
-        where = [f for f, _ in self.filters]
-        values = [v for _, vs in self.filters for v in vs]
+        where = [f"({self.where})"] if self.where else []
+        values: list[int] = []
         if partition.low is not None:
             where += ["ROWID >= ?", "ROWID < ?"]
             values += [partition.low, partition.high]
@@ -143,7 +133,8 @@ class StoreStream(SimpleDataSourceStreamReader):
 
 
 class StoreSource(DataSource):
-    """``spark.read.format("message_store").option("path", ...).option("table", "message")``; ``ranges``: partitions."""
+    """``spark.read.format("message_store").option("path", ...).option("table", "message")``; ``ranges``: partitions;
+    ``where``: a condition that SQLite checks."""
 
     @classmethod
     def name(cls):
@@ -153,16 +144,15 @@ class StoreSource(DataSource):
         table = self.options["table"]
         return schema.table_schema(table, optional=self.options.get("optional", "false") == "true")
 
-    def reader(self, wanted: T.StructType):
-        return StoreReader(self.options["path"], self.options["table"], wanted, int(self.options.get("ranges", "1")))
+    def reader(self, schema: T.StructType):  # the name is part of the interface
+        return StoreReader(self.options["path"], self.options["table"], schema, int(self.options.get("ranges", "1")), self.options.get("where"))
 
-    def simpleStreamReader(self, wanted: T.StructType):
-        return StoreStream(self.options["path"], self.options["table"], wanted, int(self.options.get("start", "0")))
+    def simpleStreamReader(self, schema: T.StructType):
+        return StoreStream(self.options["path"], self.options["table"], schema, int(self.options.get("start", "0")))
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(StoreSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def open_store(spark: SparkSession, path: str, ranges: int = 1) -> dict[str, DataFrame]:
