@@ -356,13 +356,13 @@ def _values(records: DataFrame, found: DataFrame) -> DataFrame:
     return hit.select("guid", text.utf16_slice(F.col("text"), F.col("start"), F.col("end")).alias("value"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(' ' || text || ' ', '[^0-9-]([0-9](?:[ -]?[0-9]){12,18})[^0-9-]', 1)) AS v FROM documents),
+@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(' ' || regexp_replace(text, '([^0-9 -])', '\1\1', 'g') || ' ', '[^0-9-]([0-9](?:[ -]?[0-9]){12,18})[^0-9-]', 1)) AS v FROM documents),
 d AS (SELECT doc_id, v, regexp_replace(v, '[^0-9]', '', 'g') AS n FROM m)
-SELECT CAST(doc_id AS VARCHAR) AS guid, v AS value FROM d WHERE length(n) BETWEEN 13 AND 19 AND length(replace(n, n[1], '')) > 0
+SELECT DISTINCT CAST(doc_id AS VARCHAR) AS guid, v AS value FROM d WHERE length(n) BETWEEN 13 AND 19 AND length(replace(n, n[1], '')) > 0
 AND list_sum(list_transform(range(1, length(n) + 1), lambda i: CASE WHEN (length(n) - i) % 2 = 0 THEN CAST(n[i] AS INTEGER) WHEN CAST(n[i] AS INTEGER) * 2 > 9 THEN CAST(n[i] AS INTEGER) * 2 - 9 ELSE CAST(n[i] AS INTEGER) * 2 END)) % 10 = 0""")
 def detect_card(spark, sf_dir):
     r = _documents(spark, sf_dir)
-    return _values(r, detect.detect(r, ["creditCard"]))
+    return _values(r, detect.detect(r, ["creditCard"])).distinct()
 
 
 @query()
