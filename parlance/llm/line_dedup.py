@@ -10,7 +10,6 @@ from .shared import cut
 #: A line ends behind line breaks, or behind the space that follows the end of a sentence.
 LINE_END = r"(?<=\n|[.!?] )(?!\n)"
 _MARK = "\x01"
-_PLACES = 1 << 31  # positions within a document
 
 
 def lines_of(text: Column, plain: bool = False) -> Column:
@@ -31,19 +30,47 @@ def lines_of(text: Column, plain: bool = False) -> Column:
     return F.when(F.contains(text, F.lit(_MARK)), rare).otherwise(F.split(marked, _MARK, -1))
 
 
+def _runs() -> Column:
+    """The runs of equal lines of ``_h`` and ``_g`` on the diagonals of ``_seeds (off, i)`` that hold a seed.
+
+    One character per line, 1 where both are equal, is cut at the others. A run that holds a fingerprint is long enough.
+    """
+
+    def on_diagonal(off: Column) -> Column:
+        i0, j0 = F.greatest(off, F.lit(0)), F.greatest(-off, F.lit(0))
+        n = F.least(F.size("_h") - i0, F.size("_g") - j0)
+        equal = F.zip_with(F.slice("_h", i0 + 1, n), F.slice("_g", j0 + 1, n), lambda x, y: F.when(x == y, "1").otherwise("0"))
+        none = F.struct(i0.alias("at"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("r"))
+        step = lambda s, x: F.when(x["run"].isNull(), s).otherwise(
+            F.struct(
+                (s["at"] + x["gap"] + x["run"]).alias("at"),
+                F.array_append(s["r"], F.struct((s["at"] + x["gap"]).alias("a"), (s["at"] + x["gap"] + x["run"]).alias("b"))).alias("r"),
+            )
+        )
+        pieces = lambda same: F.arrays_zip(
+            F.transform(F.split(same, "1+", -1), lambda x: F.length(x)).alias("gap"),
+            F.transform(F.regexp_extract_all(same, F.lit("1+"), F.lit(0)), lambda x: F.length(x)).alias("run"),
+        )
+        return F.flatten(F.transform(F.array(F.array_join(equal, "")), lambda same: F.aggregate(pieces(same), none, step, lambda s: s["r"])))
+
+    seeded = lambda off, r: F.exists("_seeds", lambda x: (x["off"] == off) & (x["i"] >= r["a"]) & (x["i"] < r["b"]))
+    offs = F.array_distinct(F.transform("_seeds", lambda x: x["off"]))
+    return F.flatten(F.transform(offs, lambda off: F.filter(on_diagonal(off), lambda r: seeded(off, r))))
+
+
 def repeated_lines(docs: DataFrame, window: int = 2, min_words: int = 8) -> DataFrame:
     """``(doc_id, runs)``: the runs ``(a, b)`` of line positions, from 0, to delete from the documents that have any.
 
     A unit is the run of lines from one line on, up to where it has ``min_words`` words. Fingerprints are the least
     unit hash of each ``window`` neighbouring units, and every unit that is one line; so each repeated run of
     ``window`` units, or of one such line, has a fingerprint in all its copies, and each fingerprint that matches is a
-    run long enough already. It is joined to the first document and position that has it, not to all others, and the
-    match is extended both ways while lines stay equal. The run is deleted; what precedes it in the order of
+    run long enough already. It is joined to the place before it in its document, or else to the first document that has
+    it, not to all others, and the match is extended both ways while lines stay equal. The run is deleted; what precedes it in the order of
     (doc_id, position) stays, so the first copy of every line always stays, and chains of copies lose nothing. Lines
     are compared without spaces and line breaks at their ends; words are counted by the spaces between them.
     """
     trimmed = F.transform(lines_of(F.col("text"), plain=True), lambda x: F.trim(x))
-    spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) + (F.length(x) > 0).cast("int")
+    spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "))) + (F.octet_length(x) > 0).cast("int")
     rows = cut(
         docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
         .select(F.col("doc_id").alias("_doc"), trimmed.alias("_l"))
@@ -51,53 +78,50 @@ def repeated_lines(docs: DataFrame, window: int = 2, min_words: int = 8) -> Data
         .select("_doc", F.transform("_z", lambda x: x["h"]).alias("_h"), F.transform("_z", lambda x: x["n"]).alias("_n")),
         "lines",
     )
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("k"))
-    add = lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), F.xxhash64(s["h"], x["h"]).alias("h"), (s["k"] + 1).alias("k"))
-    more = lambda s, x: F.when(s["n"] >= min_words, s).otherwise(add(s, x))
-    units = F.transform(
-        "_z",
-        lambda x, i: F.when(x["n"] >= min_words, add(start, x)).otherwise(F.aggregate(F.slice("_z", i + 1, min_words), start, more)),
+    # The hash of the unit that begins at each line; null where the document ends before it has enough words.
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("h"))
+    more = lambda s, x: F.when(s["n"] >= min_words, s).otherwise(
+        F.struct((s["n"] + x["n"]).alias("n"), F.xxhash64(s["h"], x["h"]).alias("h"))
     )
+    several = lambda i: F.aggregate(
+        F.arrays_zip(F.slice("_h", i + 1, min_words).alias("h"), F.slice("_n", i + 1, min_words).alias("n")), start, more,
+        lambda s: F.when(s["n"] >= min_words, s["h"]),
+    )
+    units = F.transform("_n", lambda n, i: F.when(n >= min_words, F.xxhash64(F.get("_h", i))).otherwise(several(i)))
     # A unit is a fingerprint if no hash is less in one of the windows that hold it and lie within the document.
     starts = lambda i: F.sequence(F.greatest(i - window + 1, F.lit(0)), F.greatest(F.least(i, F.size("_u") - window), F.lit(0)))
-    least = lambda u, i: F.exists(starts(i), lambda s: F.forall(F.slice("_u", s + 1, window), lambda v: v["h"] >= u["h"]))
+    least = lambda u, i: F.exists(starts(i), lambda s: F.forall(F.slice("_u", s + 1, window), lambda v: v.isNull() | (v >= u)))
     marked = F.filter(
-        F.transform("_u", lambda u, i: F.struct(u["h"].alias("h"), i.alias("i"), ((u["n"] >= min_words) & ((u["k"] == 1) | least(u, i))).alias("on"))),
-        lambda x: x["on"],
+        F.transform("_u", lambda u, i: F.when(u.isNotNull() & ((F.get("_n", i) >= min_words) | least(u, i)), F.struct(u.alias("h"), i.alias("i")))),
+        lambda x: x.isNotNull(),
+    )
+    # Equal fingerprints of a document next to each other, each with the place before it; a place without one is the first.
+    ordered = F.transform(
+        F.array_sort(marked),
+        lambda x: F.struct(x["h"].alias("h"), x["i"].alias("i")),
     )
-    marks = rows.withColumn("_z", F.arrays_zip(F.col("_h").alias("h"), F.col("_n").alias("n"))).withColumn("_u", units)
-    marks = cut(marks.select("_doc", F.explode(marked).alias("x")).select("_doc", F.col("x.h").alias("_fp"), F.col("x.i").alias("_i")), "marks")
-    # Document and position as one number, which a hash aggregation can hold.
-    place = F.col("_doc").cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(10,0)") + F.col("_i")
+    before = lambda k: F.get("_o", k - 1)
+    chained = F.transform("_o", lambda x, k: F.struct(x["h"].alias("h"), x["i"].alias("i"), F.when((k > 0) & (before(k)["h"] == x["h"]), before(k)["i"]).alias("p")))
+    repeats = F.transform(F.filter("_k", lambda x: x["p"].isNotNull()), lambda x: F.struct((x["i"] - x["p"]).alias("off"), x["i"].alias("i")))
+    firsts = F.transform(F.filter("_k", lambda x: x["p"].isNull()), lambda x: F.struct(x["h"].alias("h"), x["i"].alias("i")))
+    marks = cut(
+        rows.withColumn("_u", units).withColumn("_o", ordered).withColumn("_k", chained).select("_doc", firsts.alias("_first"), repeats.alias("_seeds")),
+        "marks",
+    )
+    # Within a document: matches with the place before, on the document's own lines. Nothing is shuffled but the lines.
+    own = marks.filter(F.size("_seeds") > 0).select("_doc", "_seeds").join(rows.select("_doc", "_h"), "_doc")
+    within = own.withColumn("_g", F.col("_h")).select("_doc", _runs().alias("_runs"))
+    # Between documents: the first place of each fingerprint in a document against the first document that has it.
+    places = marks.select("_doc", F.explode("_first").alias("x")).select("_doc", F.col("x.h").alias("_fp"), F.col("x.i").alias("_i"))
     first = (
-        marks.groupBy("_fp").agg(F.min(place.cast("decimal(38,0)")).alias("_p"), F.count("*").alias("_c")).filter("_c > 1")
-        .withColumn("_i0", F.expr(f"pmod(_p, {_PLACES})").cast("int"))
-        .select("_fp", F.expr(f"(_p - _i0) div {_PLACES}").cast("long").alias("_from"), "_i0")
-    )
+        places.groupBy("_fp").agg(F.min("_doc").alias("_from"), F.min_by("_i", "_doc").alias("_i0"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
+    )
     seeds = (
-        marks.join(first, "_fp").filter("_doc <> _from OR _i <> _i0")
-        .groupBy("_doc", "_from", (F.col("_i") - F.col("_i0")).alias("_off"))
-        .agg(F.sort_array(F.collect_list("_i")).alias("_seeds"))
+        places.join(first, "_fp").filter("_doc <> _from")
+        .groupBy("_doc", "_from").agg(F.collect_list(F.struct((F.col("_i") - F.col("_i0")).alias("off"), F.col("_i").alias("i"))).alias("_seeds"))
     )
     both = seeds.join(rows.select("_doc", "_h"), "_doc").join(rows.select(F.col("_doc").alias("_from"), F.col("_h").alias("_g")), "_from")
-    # On the diagonal, one character per line, 1 where both are equal; the runs of 1 that hold a fingerprint are long enough.
-    i0, j0 = F.greatest(F.col("_off"), F.lit(0)), F.greatest(-F.col("_off"), F.lit(0))
-    n = F.least(F.size("_h") - i0, F.size("_g") - j0)
-    same = F.array_join(F.transform(F.zip_with(F.slice("_h", i0 + 1, n), F.slice("_g", j0 + 1, n), lambda x, y: x == y), lambda e: F.when(e, "1").otherwise("0")), "")
-    pieces = F.arrays_zip(
-        F.transform(F.split("_same", "1+", -1), lambda x: F.length(x)).alias("gap"),
-        F.transform(F.regexp_extract_all("_same", F.lit("1+"), F.lit(0)), lambda x: F.length(x)).alias("run"),
-    )
-    none = F.struct(i0.alias("at"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("r"))
-    step = lambda s, x: F.when(x["run"].isNull(), s).otherwise(
-        F.struct(
-            (s["at"] + x["gap"] + x["run"]).alias("at"),
-            F.array_append(s["r"], F.struct((s["at"] + x["gap"]).alias("a"), (s["at"] + x["gap"] + x["run"]).alias("b"))).alias("r"),
-        )
-    )
-    runs = F.aggregate(pieces, none, step, lambda s: s["r"])
-    with_seed = F.filter(F.col("_runs"), lambda r: F.exists("_seeds", lambda i: (i >= r["a"]) & (i < r["b"])))
-    found = both.withColumn("_same", same).select("_doc", runs.alias("_runs"), "_seeds").select("_doc", with_seed.alias("_runs"))
+    found = within.unionByName(both.select("_doc", _runs().alias("_runs")))
     apart = F.aggregate(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("_runs")))),
         F.expr("cast(array() as array<struct<a:int,b:int>>)"),
