@@ -136,7 +136,7 @@ def system_event_lines(spark, sf_dir):
     return extract.system_events(*_conversations(spark, sf_dir)).drop("date_ns")
 
 
-@query(_STORE + "SELECT conversation_id, count(*) AS messages, CAST(sum(CASE WHEN emoji IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS reactions, count_if(had_attachment) AS with_attachments FROM (SELECT r.*, n.emoji FROM record r LEFT JOIN netted n ON n.conversation_id = r.conversation_id AND n.guid = r.guid) WHERE text <> '' GROUP BY conversation_id")
+@query(_STORE + "SELECT conversation_id, count(*) AS messages, CAST(sum(CASE WHEN emoji IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS reactions, CAST(count_if(had_attachment) AS BIGINT) AS with_attachments FROM (SELECT r.*, n.emoji FROM record r LEFT JOIN netted n ON n.conversation_id = r.conversation_id AND n.guid = r.guid) WHERE text <> '' GROUP BY conversation_id")
 def transcript_stats(spark, sf_dir):
     return extract.stats(_records(spark, sf_dir))
 
