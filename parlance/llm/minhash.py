@@ -66,8 +66,9 @@ def _blocks(percent: int):
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
         both = np.zeros((len(few), len(sets)), np.float32)
-        step = max(1, 4_000_000 // len(sets))
-        for at in range(0, int(col[-1]) + 1 if len(col) else 0, step):
+        width = int(col[-1]) + 1 if len(col) else 0
+        step = max(1, min(width, 4_000_000 // len(sets)))
+        for at in range(0, width, step):
             lo, hi = np.searchsorted(col, (at, at + step))
             dense = np.zeros((len(sets), step), np.float32)
             dense[row[lo:hi], col[lo:hi] - at] = 1
