@@ -59,16 +59,24 @@ def tokenizer(path: str):
 _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it shows, else the next from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(0x100, 0x200))
+    return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
+
+
 class Encoder(dict):
     """Ids of whole texts by the tokenizer at ``path``, with the end id behind each, serialized.
 
     The tokenizer cuts a text into pieces before it merges bytes, and merges never cross pieces, so a piece has the
-    same ids wherever it stands. Pieces of plain Latin text are therefore encoded by the library once and then looked
-    up here; a text with any other character, and any tokenizer that cuts in another way, goes to the library whole.
+    same ids wherever it stands. Pieces of plain Latin text are therefore encoded by the library's model once and then
+    looked up here; a text with any other character, and any tokenizer that cuts in another way, goes to the library whole.
     """
 
     _OTHER = re.compile(r"[^\t\n\r -~\xc0-\u024f]")
     _PIECE = re.compile(rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
+    _LETTERS = _byte_letters()
     _MOST = 1_000_000  # pieces kept, about 200 MB
 
     def __init__(self, path: str, end: int, width: int):
@@ -82,11 +90,18 @@ class Encoder(dict):
             and state.get("type") == "ByteLevel" and state.get("use_regex", True) and not state.get("add_prefix_space", True)
         )
 
+        probes = (" the", "Éa", "\n\n", "'s", " x" * 9, "ßñ", "123", " !?", "\t")
+        self.by_piece = self.by_piece and all(self._piece(p) == self._library(p) for p in probes if len(self._PIECE.findall(p)) == 1)
+
+    def _piece(self, piece: str) -> bytes:
+        letters = piece.encode("utf-8").decode("latin-1").translate(self._LETTERS)
+        return array(self.code, [t.id for t in self.coder.model.tokenize(letters)]).tobytes()
+
     def _library(self, text: str) -> bytes:
         return array(self.code, self.coder.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self._library(piece)
+        ids = self._piece(piece)
         if len(piece) <= 64:
             if len(self) >= self._MOST:
                 self.clear()
