@@ -48,6 +48,7 @@ def shard(docs: DataFrame, leaves: int = 16, buckets: int = 256, tries: int = 16
             F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)).alias("_d1"),
             _prefix("source").alias("_d2"),
             _prefix("lang").alias("_d3"),
+            F.lit(0).alias("_node"),
         ),
         "kd",
     )
@@ -55,7 +56,7 @@ def shard(docs: DataFrame, leaves: int = 16, buckets: int = 256, tries: int = 16
     if bounds["min_d0"] is None:
         return base.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     spread = {d: (bounds[f"max{d}"] - bounds[f"min{d}"]) or 1.0 for d in DIMENSIONS}
-    at = base.withColumn("_node", F.lit(0))
+    at = base
     parts = {0: (0, leaves)}  # node: its first leaf and number of leaves
     while any(n > 1 for _, n in parts.values()):
         stats = at.groupBy("_node").agg(
