@@ -127,10 +127,15 @@ def fuzzy_pairs(conversations: DataFrame, rule: FuzzyRule = FuzzyRule()) -> Data
     rest = F.greatest(F.lit(rule.max_roster_delta), F.floor(F.size("r") * (1 - rule.min_jaccard) + 1e-9).cast("int"))
     short = (
         seen.join(rarity, "m").groupBy("id", "h", "group_name").agg(F.sort_array(F.collect_list(F.struct("f", "m"))).alias("r"))
-        .select("id", "h", "group_name", F.explode(F.slice("r", 1, rest + 1)).alias("x")).select("id", "h", "group_name", F.col("x.m").alias("m"))
+        .select("id", "h", "group_name", F.posexplode(F.slice("r", 1, rest + 1)).alias("p", "x"))
+        .select("id", "h", "group_name", F.col("x.m").alias("m"), (F.size("h") - F.col("p")).alias("k"))
     )
-    a, b = short.select("m", F.col("id").alias("a"), F.col("h").alias("ha"), F.col("group_name").alias("na")), short.select("m", F.col("id").alias("b"), F.col("h").alias("hb"), F.col("group_name").alias("nb"))
-    return a.join(b, "m").filter((F.col("a") < F.col("b")) & fuzzy_match(F.col("ha"), F.col("hb"), F.col("na"), F.col("nb"), rule)).select("a", "b").distinct()
+    side = lambda x: short.select("m", *[F.col(c).alias(n + x) for c, n in (("id", ""), ("h", "h"), ("group_name", "n"), ("k", "k"))])
+    a, b = side("a"), side("b")
+    # From the first member they share on, the rest of both rosters must suffice for either rule.
+    larger, smaller = F.greatest(F.size("ha"), F.size("hb")), F.least(F.size("ha"), F.size("hb"))
+    enough = F.least("ka", "kb") >= F.least(smaller.cast("double"), larger * rule.min_jaccard - 1e-9)
+    return a.join(b, "m").filter((F.col("a") < F.col("b")) & enough & fuzzy_match(F.col("ha"), F.col("hb"), F.col("na"), F.col("nb"), rule)).select("a", "b").distinct()
 
 
 def fuzzy_match(ha: Column, hb: Column, na: Column, nb: Column, rule: FuzzyRule = FuzzyRule()) -> Column:
