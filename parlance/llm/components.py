@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,10 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(large, "large")
         small = large.groupBy("v").agg(F.min("m").alias("l"))
         hung = large.join(small, "v")
-        now = cut(
+        last_edges, now = now, cut(
             hung.select(F.col("l").alias("m"), F.col("m").alias("v")).unionByName(hung.select(F.col("l").alias("m"), "v")).filter("v <> m").distinct(),
             "small",
         )
+        discard(last_edges, large)
         last, mark = mark, _mark(now)
         if mark == last:
             break

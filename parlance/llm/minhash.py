@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, small_batches
+from .shared import cut, discard, small_batches
 from .shingles import set_id, shingle_set, signature
 
 #: Coordinates of a signature, and how many must agree. At a similarity of 0.75, 24 of 32 agree on average; fewer than
@@ -132,9 +132,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         "classes",
     )
     posts = cut(_prefixes(classes), "posts")
-    links = cut(_confirm(cut(_agreeing(_with_typical(posts, percent), classes), "agreed"), classes, docs, percent), "links")
+    agreed = cut(_agreeing(_with_typical(posts, percent), classes), "agreed")
+    links = _confirm(agreed, classes, docs, percent)
+    discard(agreed)
     named = cut(components(links), "named")
-    more = cut(_rest(posts, named, classes, docs, percent), "more")
+    more = _rest(posts, named, classes, docs, percent)
+    discard(posts)
     if not more.isEmpty():
         named = cut(components(links.unionByName(more)), "named")
     joined = classes.select("_set", "_first")
@@ -184,7 +187,9 @@ def _rest(posts: DataFrame, named: DataFrame, classes: DataFrame, docs: DataFram
     pairs = pairs.select("_key", F.least("_block", "_x").alias("_i"), F.greatest("_block", "_x").alias("_j"), "_set", "_c").join(sets, "_set")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = pairs.repartition(n, "_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j")
-    return dealt.mapInPandas(_blocks(percent), "a binary, b binary")
+    more = cut(dealt.mapInPandas(_blocks(percent), "a binary, b binary"), "more")
+    discard(left, sets)
+    return more
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -207,7 +212,9 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     need = pairs.select(F.col("a").alias("_set")).unionByName(pairs.select(F.col("b").alias("_set"))).distinct()
     sets = _sets(need, classes, docs)
     both = pairs.join(sets.toDF("b", "_y"), "b").join(sets.toDF("a", "_x"), "a").select("a", "b", "_x", "_y")
-    return both.mapInPandas(_confirmed(percent), "a binary, b binary")
+    links = cut(both.mapInPandas(_confirmed(percent), "a binary, b binary"), "links")
+    discard(sets)
+    return links
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:

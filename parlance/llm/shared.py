@@ -38,21 +38,34 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     if not _tables:
         atexit.register(sweep)
     _tables.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` made, once everything that reads them has been written itself."""
+    for df in tables:
+        path = df.cut_path
+        _delete(df.sparkSession, path)
+        _tables[:] = [(s, p) for s, p in _tables if p != path]
 
 
 def sweep() -> None:
     """Delete the intermediate tables of this process. Results that still read them must have been used by then."""
     while _tables:
-        spark, path = _tables.pop()
-        jvm = spark.sparkContext._jvm
-        if jvm is None or spark.sparkContext._jsc is None:
-            continue
-        try:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001 - the session may have ended first
-            continue
+        _delete(*_tables.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if jvm is None or spark.sparkContext._jsc is None:
+        return
+    try:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may have ended first
+        return
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
