@@ -3,10 +3,13 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from hand_pages import PAGES
 from pyspark.sql import functions as F
 
 from parlance.llm import (
@@ -406,7 +409,40 @@ def test_pages(spark):
 def test_blocks():
     html = """<head><title>no</title></head><body><script>var t="</p>";</script><p>A &amp; <b>b<br>c<p>d&nbsp;e<ul><li>x<li>y</ul><!-- <p>z --><style>q</style> tail <a href="1>2">link</a>"""
     assert [t for _, t, _ in html_crf.blocks(html)] == ["A & b c", "d e", "x", "y", "tail link"]
-    assert html_crf.blocks(None) == [] and html_crf.blocks("plain") == [((), "plain", 0.0)] and html_crf.blocks("<p") == [((), "<p", 0.0)]
+    assert html_crf.blocks(None) == [] and html_crf.blocks("plain") == [(html_crf.Path(), "plain", 0.0)] and html_crf.blocks("<p") == [(html_crf.Path(), "<p", 0.0)]
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ("<article><p>one</p><svg width=1 /><p>two</p></article>", ["one", "two"]),
+    ("<p>İ one</p><SCRIPT>x</SCRIPT><p>two</p>", ["İ one", "two"]),
+    ("let <math><mi>x</mi><annotation>tex</annotation></math> be", ["let x be"]),
+    ("<xmp><b>&amp;</xmp>t", ["<b>&amp;", "t"]), ("<object>in</object> it", ["in it"]),
+    ("<svg><title>icon</svg><p>a", ["a"]), ("a<svg><path d='1'/><title>t</title><text>y</text></svg>b", ["ayb"]), ("<svg><g><p>a</p>", ["a"]),
+    ('<p class="x>one</p><p>two</p>', ["one", "two"]), ("<head><meta x><p>hi", ["hi"]), ("<head>hi<p>there", ["hi", "there"]),
+    ("<p>a<template><p>b</p></template><p>c", ["a", "c"]), ("&#" + "9" * 5000 + ";x", ["\ufffdx"]), ("a < b <3 <!x> c", ["a < b <3 c"]),
+    ("<p>a<!--> b --!> c<!-- d", ["a b --!> c"]),
+])
+def test_no_text_is_lost(html, want):
+    assert [t for _, t, _ in html_crf.blocks(html)] == want
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<div>x", '<a "', "<a ='", "<svg><title>", "<!--", "<p ", "<", "</", "<p>", "&", "<![CDATA[", "<li><table>", "<td></td><div>", "<x> x"])
+def test_pages_in_linear_time(part):
+    """Ten megabytes of any of these take seconds; in quadratic time one would take hours."""
+    began = time.time()
+    html_crf.blocks(part * (10_000_000 // len(part)))
+    assert time.time() - began < 60
+
+
+def test_layouts_by_hand():
+    """Block precision and recall on layouts that don't come from the generator."""
+    model = html_crf.fit(training_pages.labelled_pages(500))
+    right = extra = missed = 0
+    for html, want in PAGES:
+        page = html_crf.blocks(html)
+        got, want = Counter(b[1] for b, y in zip(page, model.viterbi(page), strict=True) if y), Counter(want)
+        right, extra, missed = right + (got & want).total(), extra + (got - want).total(), missed + (want - got).total()
+    assert right / (right + extra) > 0.9 and right / (right + missed) > 0.95
 
 
 def test_viterbi_is_the_best_path():
