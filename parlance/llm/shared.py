@@ -20,11 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a session on one machine; on a cluster it is an error."""
     context = spark.sparkContext
     at = context.getCheckpointDir()
     if not at:
         at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not at and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(at or tempfile.mkdtemp(prefix="parlance-"))
         at = context.getCheckpointDir()
     return at
@@ -35,14 +39,19 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _tables:
-        atexit.register(sweep)
-    _tables.append((spark, path))
+    passing(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
 
 
+def passing(spark: SparkSession, path: str) -> None:
+    """Have ``sweep`` delete this folder."""
+    if not _tables:
+        atexit.register(sweep)
+    _tables.append((spark, path))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` made, once everything that reads them has been written itself."""
     for df in tables:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, small_batches
+from .shared import passing, shared_dir, small_batches
 
 BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
 _DICTIONARY = 64 << 10
@@ -45,13 +45,12 @@ def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def tokenizer(path: str):
-    """One per process, on the thread that calls it; special tokens' strings in a text are ordinary text."""
+    """One per process, on the thread that calls it, as the library loads it."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         _tokenizers[path] = Tokenizer.from_file(path)
-        _tokenizers[path].encode_special_tokens = True
     return _tokenizers[path]
 
 
@@ -71,7 +70,8 @@ class Encoder(dict):
 
     The tokenizer cuts a text into pieces before it merges bytes, and merges never cross pieces, so a piece has the
     same ids wherever it stands. Pieces of plain Latin text are therefore encoded by the library's model once and then
-    looked up here; a text with any other character, and any tokenizer that cuts in another way, goes to the library whole.
+    looked up here. A text with any other character, one that holds an added token, special or not, and any text of a
+    tokenizer that cuts in another way, truncates or pads, goes to the library whole.
     """
 
     _OTHER = re.compile(r"[^\t\n\r -~\xc0-\u024f]")
@@ -85,8 +85,9 @@ class Encoder(dict):
         self.end = array(self.code, [end]).tobytes()
         cutter = self.coder.pre_tokenizer
         state = json.loads(cutter.__getstate__()) if cutter is not None else {}
+        self.added = [t.content for t in self.coder.get_added_tokens_decoder().values() if t.content]
         self.by_piece = (
-            self.coder.normalizer is None and self.coder.post_processor is None
+            self.coder.normalizer is None and self.coder.post_processor is None and self.coder.truncation is None and self.coder.padding is None
             and state.get("type") == "ByteLevel" and state.get("use_regex", True) and not state.get("add_prefix_space", True)
         )
 
@@ -110,7 +111,7 @@ class Encoder(dict):
 
     def encode(self, text: str | None) -> bytes:
         text = text or ""
-        if not self.by_piece or self._OTHER.search(text):
+        if not self.by_piece or self._OTHER.search(text) or any(t in text for t in self.added):
             return self._library(text) + self.end
         return b"".join(map(self.__getitem__, self._PIECE.findall(text))) + self.end
 
@@ -192,7 +193,8 @@ def write(docs: DataFrame, at: str, path: str, *, end: int = 0, partitions: int
     """Encode every whole text of ``docs (doc_id, text)`` and write a store in ascending order of ids to ``at``.
 
     A null text is an empty one, which is the end id alone. A null id comes first. Rows that share an id stay next to
-    each other, in the order of their texts. An empty table gives an empty store. Other columns are not read.
+    each other, in the order of their texts' hashes. They may lie in several shards, so that an id, or null, that very
+    many rows share is no single task. An empty table gives an empty store. Other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark, 200)
@@ -200,7 +202,8 @@ def write(docs: DataFrame, at: str, path: str, *, end: int = 0, partitions: int
     data = train_dictionary(docs, path, end, width)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = (
-        docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+        docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.pmod(F.monotonically_increasing_id(), F.lit(997)).alias("_turn"))
+        .repartitionByRange(n, "doc_id", "_hash", "_turn").sortWithinPartitions("doc_id", "_hash").select("doc_id", "text")
         .mapInPandas(_pack(path, end, width, spark.sparkContext.broadcast(data)), _PACKED)
     )
     packed.write.parquet(f"{at}/blocks")
@@ -279,8 +282,11 @@ def _decode(data: bytes, width: int, frames, sizes) -> Iterator[np.ndarray]:
 
 
 def round_trip(docs: DataFrame, path: str, *, end: int = 0) -> DataFrame:
-    """Write a store of ``docs`` into the shared folder and read the digest of every document back from its files."""
+    """Write a store of ``docs`` into the shared folder and read the digest of every document back from its files.
+
+    The store goes with the other intermediate tables when the process ends; ``write`` makes one that stays."""
     spark = docs.sparkSession
     at = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    passing(spark, at)
     write(docs, at, path, end=end)
     return Store(spark, at).checksums()

@@ -357,16 +357,26 @@ def test_acceptable(spark, odd):
 # token store
 
 
+def library(path):
+    """The library's own tokenizer, not the one the operator holds."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+SCRIPTS = ["日本語 text é", "<|endoftext|> it's\x1c  so\n\n", "a <|endoftext|> b", "<|EndOfText|>x", "<|endoftext|><|endoftext|>", "|endoftext|", "नमस्ते दुनिया", "ไทย ภาษา", "مرحبا بالعالم", "ελληνικά, да", "😀👩‍👩‍👧 x", "\u00a0\u2003 x\t\t y", None, ""]
+
+
 def test_token_store(spark, odd, none, tmp_path):
     path = token_store.public_vocabulary()
     r = random.Random(3)
-    texts = [" ".join(prose(k, r.randint(0, 90))) for k in range(120)] + ["日本語 text é", "<|endoftext|> it's\x1c  so\n\n", None, ""]
+    texts = SCRIPTS + [" ".join(prose(k, r.randint(0, 90))) for k in range(124 - len(SCRIPTS))]
     rows = [(k * 3 % 124, texts[k]) for k in range(124)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     at = str(tmp_path / "store")
     token_store.write(docs, at, path)
     store = token_store.Store(spark, at)
-    coder = token_store.tokenizer(path)
+    coder = library(path)
     want, start = {}, 0
     for i, t in sorted(rows, key=lambda x: x[0]):
         ids = [*coder.encode(t or "", add_special_tokens=False).ids, 0]
@@ -383,13 +393,39 @@ def test_token_store(spark, odd, none, tmp_path):
     assert token_store.round_trip(none, path).isEmpty()
 
 
+def test_token_store_of_one_id(spark, tmp_path):
+    """Rows that share an id, or null, go to several shards; starts have no gaps."""
+    rows = [(None if k % 2 else 5, f"text {k % 7}") for k in range(400)]
+    at, path = str(tmp_path / "store"), token_store.public_vocabulary()
+    token_store.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), at, path, partitions=6)
+    store = token_store.Store(spark, at)
+    got = sorted(store.checksums().collect(), key=lambda x: x["start"])
+    assert len({x["shard"] for x in store.index.collect()}) == 6
+    assert [x["doc_id"] for x in got] == [None] * 200 + [5] * 200
+    start = 0
+    for x in got:
+        assert x["start"] == start
+        start += x["n_tokens"]
+
+
+def test_encoder_equals_the_library():
+    path = token_store.public_vocabulary()
+    r, coder, mine = random.Random(11), library(path), token_store.encoder(path, 0, 2)
+    assert mine.by_piece
+    alphabet = "abcdeéßñĀ  \n\t'.,!?<|>endoftext0123456789\r-_" + "\u0130\u00a0я日\u212a\u1e9e"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(5000)]
+    texts += [t.replace("e", "<|endoftext|>", 1) for t in texts[:300]] + [t for t in SCRIPTS if t]
+    for t in texts:
+        assert np.frombuffer(mine.encode(t), "<u2").tolist() == [*coder.encode(t, add_special_tokens=False).ids, 0], t
+
+
 def test_other_vocabularies(spark):
     import public_tokenizers
 
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     e = token_store.encoder(path, 0, 2)
     assert not e.by_piece
-    assert np.frombuffer(e.encode("Hello there"), "<u2").tolist() == [*token_store.tokenizer(path).encode("Hello there", add_special_tokens=False).ids, 0]
+    assert np.frombuffer(e.encode("Hello there"), "<u2").tolist() == [*library(path).encode("Hello there", add_special_tokens=False).ids, 0]
 
 
 # pages

@@ -6,6 +6,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import __spark_entry__
 from parlance.llm import decontaminate, token_store
@@ -55,7 +56,7 @@ def test_stages(spark, tmp_path):
             assert abs(total - 1.5 * 60 * 85) < 120
     got = docs.orderBy("start").collect()
     assert [x["doc_id"] for x in got] == sorted(i for i, n in counts.items() for _ in range(n))
-    coder, start = token_store.tokenizer(token_store.public_vocabulary()), 0
+    coder, start = Tokenizer.from_file(token_store.public_vocabulary()), 0
     for x in got:
         ids = [*coder.encode(left[x["doc_id"]], add_special_tokens=False).ids, 0]
         assert (x["start"], x["n_tokens"], x["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
