@@ -10,20 +10,30 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import cut, small_batches
 
 #: Benchmark text searched for in one pass over the documents; a larger benchmark takes several passes.
 BLOCK_BYTES = 8 << 20
 _SPLIT = re.compile(r"[\W_]+")
+_BEYOND_LATIN = re.compile(r"[^\x00-\u024f]")
+_SPLIT_ANY = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
+#: Scripts written without spaces between words; each character counts as a word, with the marks on it.
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}ーｰ]\p{M}*+")
 _automata: dict[str, tuple] = {}
 
 
 def normal(text: str | None) -> str:
-    """Words in lower case, each between single spaces; punctuation and white space only divide them."""
-    return _SPLIT.sub(" ", f" {(text or '').lower()} ")
+    """Words in lower case, each between single spaces; punctuation and white space only divide them.
+
+    In scripts that don't divide words by spaces, characters stand for words."""
+    text = f" {(text or '').lower()} "
+    if not _BEYOND_LATIN.search(text):
+        return _SPLIT.sub(" ", text)
+    return _SPLIT_ANY.sub(" ", _UNSPACED.sub(r" \g<0> ", text))
 
 
 def budget(words: int, rate: float) -> int:
@@ -65,12 +75,12 @@ def distance(item: list[str], words: list[str]) -> tuple[int, int]:
     return best
 
 
-def _automaton(items: list[tuple[int, str]], rate: float, least: int):
+def _automaton(items: list[tuple[int, str]], rate: float):
     index: dict[str, list[tuple[int, int]]] = defaultdict(list)
     split = {}
     for key, (item, text) in enumerate(items):
         words = normal(text).split()
-        if len(words) >= least:
+        if words:
             split[key] = (item, words, budget(len(words), rate))
             for at, piece in pieces(words, split[key][2]):
                 index[piece].append((key, at))
@@ -105,42 +115,48 @@ def hits_in(text: str | None, machine, split: dict) -> Iterator[tuple[int, int,
                 k += 1
             d, end = distance(item, words[a : b + len(item) + 2 * errors])
             best = min(best, (d, a + end))
+            if d == 0:
+                break
         if best[0] <= errors:
             yield name, *best
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, least_words: int = 5) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2) -> DataFrame:
     """``(doc_id, item_id, distance, end_word)``: the documents that hold a benchmark item with few edits.
 
-    Items and documents are compared as words, in lower case, without punctuation. An item of ``n`` words may differ
-    in ``int(n * rate)`` words put in, left out or changed. It is cut into that many pieces and one more, one of which
-    must occur unchanged; all pieces are found in one pass over each whole text, and each place is verified.
+    Items and documents are compared as words, in lower case, without punctuation; in scripts without spaces, as
+    characters. An item of ``n`` words may differ in ``int(n * rate)`` words put in, left out or changed, so one of fewer
+    than five words must occur as it is. It is cut into that many pieces and one more, one of which must occur unchanged;
+    all pieces are found in one pass over each whole text, and each place is verified.
 
     The benchmark is sent to the executors in blocks of ``BLOCK_BYTES`` (or one item), with a pass over the documents
-    for each; its total size is summed first. Items with fewer than ``least_words`` words stand for no passage and are
-    not searched. Null texts and texts without words hold nothing; an empty benchmark gives an empty result. Rows with
-    one id, of documents or of items, are each taken as they are. Other columns are not read.
+    for each; its total size is summed first. With more than one block, the hits of each are written and its items freed
+    before the next. Items without a letter or digit hold nothing to search for. Null texts and texts without words hold
+    nothing; an empty benchmark gives an empty result. Each row of documents is taken as it is; items that share an id
+    are each searched, those with equal texts too once. Other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.filter("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text")
+    items = benchmark.filter("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct()
     total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = total // BLOCK_BYTES + 1
     out = None
     for block in range(blocks):
-        part = [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).sort("item_id", "text").collect()]
-        found = docs.select("doc_id", "text").mapInPandas(
-            _search(uuid.uuid4().hex, spark.sparkContext.broadcast(part), rate, least_words), "doc_id long, item_id long, distance int, end_word long"
-        )
+        part = [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).sort("item_id", "text").collect()]
+        sent = spark.sparkContext.broadcast(part)
+        found = docs.select("doc_id", "text").mapInPandas(_search(uuid.uuid4().hex, sent, rate), "doc_id long, item_id long, distance int, end_word long")
+        if blocks > 1:
+            found = cut(found, "hits")
+            sent.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(name: str, items, rate: float, least: int):
+def _search(name: str, items, rate: float):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if name not in _automata:  # once per process
             _automata.clear()
-            _automata[name] = _automaton(items.value, rate, least)
+            _automata[name] = _automaton(items.value, rate)
         machine, split = _automata[name]
         for batch in batches:
             rows = [(i, *hit) for i, t in zip(batch["doc_id"], batch["text"], strict=True) for hit in hits_in(t, machine, split)]

@@ -265,7 +265,7 @@ def test_myers():
 
 
 def test_decontamination_against_brute_force(spark):
-    items = [(k, " ".join(prose(k, 12 + k, 40))) for k in range(12)] + [(90, "too short"), (91, None)]
+    items = [(k, " ".join(prose(k, 12 + k, 40))) for k in range(12)] + [(91, None), (92, "?!"), (93, "")]
     r = random.Random(4)
     docs = []
     for k in range(120):
@@ -288,9 +288,40 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.clean(df, bench).count() == len(docs) - len({d for d, _ in want})
 
 
+def test_decontamination_in_all_scripts(spark):
+    """Verbatim and edited items in scripts without spaces, and items of few words, against brute force."""
+    r = random.Random(6)
+    scripts = {"ja": "東京都知事選挙日本語文章問題答案今年春夏秋冬あいうえおかきくけこさしすせそー", "th": "กขคงจฉชซฌญฎฏฐฑฒณดตถทธนบปผฝพฟภมยรลว", "hi": None}
+    letter = {k: (lambda a=a: r.choice(a)) for k, a in scripts.items() if a}
+    items, docs = [], []
+    for k in range(24):
+        script = ("ja", "th")[k % 2]
+        items.append((k, "".join(letter[script]() for _ in range(r.choice((2, 3, 8, 25, 40))))))
+    items += [(40, "What is 2+2?"), (41, "zwei Wörter"), (42, "one"), (43, "नमस्ते दुनिया आज"), (44, "ครับ"), (45, "กำลัง ทำ"), (46, "?!")]
+    for k in range(200):
+        i, t = items[k % len(items)]
+        script = ("ja", "th")[i % 2]
+        body = list(t) if i < 40 else [t]
+        if k % 3 == 0 and i < 40 and len(body) > 4:
+            for _ in range(r.randint(0, len(body) // 4)):
+                body[r.randrange(len(body))] = letter[script]()
+        lead = "".join(letter[script]() for _ in range(30)) if i < 40 else " ".join(prose(k, 8)) + " "
+        docs.append((k, lead + ("。" if k % 2 else "") + "".join(body) + (lead[::-1] if i < 40 else " " + lead)))
+    budget = {i: int(len(decontaminate.normal(t).split()) * 0.2) for i, t in items}
+    want = {
+        (d, i): brute_distance(decontaminate.normal(t).split(), decontaminate.normal(x).split())
+        for d, x in docs for i, t in items if decontaminate.normal(t).split() and brute_distance(decontaminate.normal(t).split(), decontaminate.normal(x).split()) <= budget[i]
+    }
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x["doc_id"], x["item_id"]): x["distance"] for x in got.collect()} == want and len(want) > 150
+    assert {i for _, i in want} == {i for i, _ in items if i != 46}
+    assert decontaminate.normal("東京 2+2 नमस्ते ก็ดี").split() == ["東", "京", "2", "2", "नमस्ते", "ก็", "ดี"]
+
+
 def test_decontamination_odd(spark, odd, none):
     bench = spark.createDataFrame([(1, "a b c d e f a b c d e f"), (1, "no id here at all")], "item_id long, text string")
     assert {x["doc_id"] for x in decontaminate.contaminated(odd, bench).collect()} == {7}
+    assert decontaminate.contaminated(odd, spark.createDataFrame([(1, "ONE two")] * 3, "item_id long, text string")).count() == 2
     assert decontaminate.contaminated(none, bench).isEmpty() and decontaminate.contaminated(odd, bench.limit(0)).isEmpty()
     assert decontaminate.clean(odd, bench).columns == odd.columns
 

@@ -48,7 +48,7 @@ def test_stages(spark, tmp_path):
             assert {i for i in now if i % 10 == 1} == {1} and {i for i in now if i % 10 > 1} == {i for i in left if i % 10 > 1}
         if k == 2:
             assert now == {i for i in left if i % 10 > 2} | {1}
-            assert all(not list(decontaminate.hits_in(left[i], *decontaminate._automaton([(1, item)], 0.2, 5))) for i in now)
+            assert all(not list(decontaminate.hits_in(left[i], *decontaminate._automaton([(1, item)], 0.2))) for i in now)
         if k == 3:
             counts = {x["doc_id"]: x["count"] for x in docs.groupBy("doc_id").count().collect()}
             assert max(counts.values()) == 2
