@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut
@@ -30,121 +30,123 @@ def lines_of(text: Column, plain: bool = False) -> Column:
     return F.when(F.contains(text, F.lit(_MARK)), rare).otherwise(F.split(marked, _MARK, -1))
 
 
-def _runs() -> Column:
-    """The runs of equal lines of ``_h`` and ``_g`` on the diagonals of ``_seeds (off, i)`` that hold a seed.
+def _words(line: Column) -> Column:
+    """Words by the spaces between them, but one for every 12 bytes at least, as not all scripts have spaces."""
+    spaced = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
+    return F.when(F.octet_length(line) > 0, F.greatest(spaced, F.octet_length(line) / 12)).otherwise(0).cast("int")
 
-    One character per line, 1 where both are equal, is cut at the others. A run that holds a fingerprint is long enough.
+
+def _unit(i: Column, min_words: int) -> Column:
+    """The lines from ``i`` on up to where they have enough words: their hash ``h``, words ``n`` and number ``l``. Every line
+    has a word, so they are ``min_words`` lines at most. (A slice would copy the whole array each time.)"""
+    start = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("n"), F.lit(0).alias("l"))
+    more = lambda s, x: F.when(s["n"] >= min_words, s).otherwise(
+        F.struct(F.xxhash64(s["h"], x["h"]).alias("h"), (s["n"] + x["n"]).alias("n"), (s["l"] + 1).alias("l"))
+    )
+    lines = F.array(*[F.struct(F.get("_h", i + k).alias("h"), F.get("_n", i + k).alias("n")) for k in range(min_words)])
+    return F.aggregate(F.filter(lines, lambda x: x["n"].isNotNull()), start, more)
+
+
+def _stretches(window: int, min_words: int) -> Column:
+    """For each place of ``_at``, the runs of lines around it that a copy may share: ``(key, a, b)`` by content.
+
+    To the left they grow to ``window - 1`` lines, to the right up to where the unit ``window`` lines on would end.
     """
 
-    def on_diagonal(off: Column) -> Column:
-        i0, j0 = F.greatest(off, F.lit(0)), F.greatest(-off, F.lit(0))
-        n = F.least(F.size("_h") - i0, F.size("_g") - j0)
-        equal = F.zip_with(F.slice("_h", i0 + 1, n), F.slice("_g", j0 + 1, n), lambda x, y: F.when(x == y, "1").otherwise("0"))
-        none = F.struct(i0.alias("at"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("r"))
-        step = lambda s, x: F.when(x["run"].isNull(), s).otherwise(
-            F.struct(
-                (s["at"] + x["gap"] + x["run"]).alias("at"),
-                F.array_append(s["r"], F.struct((s["at"] + x["gap"]).alias("a"), (s["at"] + x["gap"] + x["run"]).alias("b"))).alias("r"),
-            )
-        )
-        pieces = lambda same: F.arrays_zip(
-            F.transform(F.split(same, "1+", -1), lambda x: F.length(x)).alias("gap"),
-            F.transform(F.regexp_extract_all(same, F.lit("1+"), F.lit(0)), lambda x: F.length(x)).alias("run"),
-        )
-        return F.flatten(F.transform(F.array(F.array_join(equal, "")), lambda same: F.aggregate(pieces(same), none, step, lambda s: s["r"])))
-
-    seeded = lambda off, r: F.exists("_seeds", lambda x: (x["off"] == off) & (x["i"] >= r["a"]) & (x["i"] < r["b"]))
-    offs = F.array_distinct(F.transform("_seeds", lambda x: x["off"]))
-    return F.flatten(F.transform(offs, lambda off: F.filter(on_diagonal(off), lambda r: seeded(off, r))))
-
-
-def repeated_lines(docs: DataFrame, window: int = 2, min_words: int = 8) -> DataFrame:
-    """``(doc_id, runs)``: the runs ``(a, b)`` of line positions, from 0, to delete from the documents that have any.
-
-    A unit is the run of lines from one line on, up to where it has ``min_words`` words. Fingerprints are the least
-    unit hash of each ``window`` neighbouring units, and every unit that is one line; so each repeated run of
-    ``window`` units, or of one such line, has a fingerprint in all its copies, and each fingerprint that matches is a
-    run long enough already. It is joined to the place before it in its document, or else to the first document that has
-    it, not to all others, and the match is extended both ways while lines stay equal. The run is deleted; what precedes it in the order of
-    (doc_id, position) stays, so the first copy of every line always stays, and chains of copies lose nothing. Lines
-    are compared without spaces and line breaks at their ends; words are counted by the spaces between them.
+    def of(i: Column) -> Column:
+        end = i + _unit(i, min_words)["l"]
+        beyond = _unit(i + window, min_words)
+        upto = F.when(beyond["n"] >= min_words, i + window + beyond["l"] - 1).otherwise(F.size("_h"))
+        place = lambda k: F.when(F.col("_p").isNull(), k).otherwise(F.get("_p", k))
+        run = lambda a, b: F.struct(F.xxhash64(F.transform(F.sequence(a, b - 1), lambda k: F.get("_h", k))).alias("key"), place(a).alias("a"), (place(b - 1) + 1).alias("b"))
+        right = F.transform(F.sequence(end, F.greatest(end, upto)), lambda b: run(i, b))
+        first = F.greatest(i - window + 1, F.lit(0))
+        left = F.transform(F.filter(F.sequence(first, i), lambda a: a < i), lambda a: run(a, end))
+        return F.concat(right, left)
+
+    return F.flatten(F.transform("_at", of))
+
+
+def repeated_lines(docs: DataFrame, window: int = 3, min_words: int = 8, alone: int = 20) -> DataFrame:
+    """``(doc_id, text_hash, runs)``: the runs ``(a, b)`` of line positions, from 0, to delete from the documents that have any.
+
+    A unit is the run of lines from one line on, up to where it has ``min_words`` words. Fingerprints are the least unit
+    hash of each ``window`` neighbouring units, and lines of ``alone`` words. So every repeated run of ``window`` units
+    has a fingerprint in all its copies, and so has every one of ``(window - 1) * (alone - 1) + min_words`` words.
+
+    Places with a common fingerprint are joined, and matches extended both ways while lines stay equal. The fingerprints
+    that copies share follow each other by ``window`` lines at most, the first one is less than ``window`` lines behind
+    the start of what is equal, and the last one has less than another unit behind it; so each need be extended no
+    further than that. All lengths are posted under the hash of their lines, and each is compared with all places that
+    have it by way of the first of them: the longest run that any earlier place shares is found, not only what the first
+    holder of a fingerprint shares. Groups of any size are aggregated before they are shuffled and joined with one row.
+
+    What precedes a run in the order of (doc_id, hash of the text, position) stays, so the first copy of every line
+    always stays. Lines are compared without spaces and line breaks at their ends; a line of nothing else is none.
     """
     trimmed = F.transform(lines_of(F.col("text"), plain=True), lambda x: F.trim(x))
-    spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "))) + (F.octet_length(x) > 0).cast("int")
+    known = F.transform("_l", lambda x, i: F.struct(F.xxhash64(x).alias("h"), _words(x).alias("n"), i.alias("p")))
     rows = cut(
         docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-        .select(F.col("doc_id").alias("_doc"), trimmed.alias("_l"))
-        .select("_doc", F.transform("_l", lambda x: F.struct(F.xxhash64(x).alias("h"), spaces(x).alias("n"))).alias("_z"))
-        .select("_doc", F.transform("_z", lambda x: x["h"]).alias("_h"), F.transform("_z", lambda x: x["n"]).alias("_n")),
+        .select(F.struct(F.col("doc_id").alias("d"), F.hash("text").alias("t")).alias("_doc"), trimmed.alias("_l"))
+        .select("_doc", F.size("_l").alias("_size"), F.filter(known, lambda x: x["n"] > 0).alias("_z"))
+        .select(
+            "_doc", F.transform("_z", lambda x: x["h"]).alias("_h"), F.transform("_z", lambda x: x["n"]).alias("_n"),
+            F.when(F.size("_z") < F.col("_size"), F.transform("_z", lambda x: x["p"])).alias("_p"),
+        ),
         "lines",
-    )
-    # The hash of the unit that begins at each line; null where the document ends before it has enough words.
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("h"))
-    more = lambda s, x: F.when(s["n"] >= min_words, s).otherwise(
-        F.struct((s["n"] + x["n"]).alias("n"), F.xxhash64(s["h"], x["h"]).alias("h"))
-    )
-    several = lambda i: F.aggregate(
-        F.arrays_zip(F.slice("_h", i + 1, min_words).alias("h"), F.slice("_n", i + 1, min_words).alias("n")), start, more,
-        lambda s: F.when(s["n"] >= min_words, s["h"]),
-    )
-    units = F.transform("_n", lambda n, i: F.when(n >= min_words, F.xxhash64(F.get("_h", i))).otherwise(several(i)))
+    )
+    several = lambda i: _unit(i, min_words)
+    units = F.transform("_n", lambda n, i: F.when(n >= min_words, F.xxhash64(F.lit(0).cast("long"), F.get("_h", i))).otherwise(
+        F.transform(F.array(several(i)), lambda x: F.when(x["n"] >= min_words, x["h"]))[0]
+    ))
     # A unit is a fingerprint if no hash is less in one of the windows that hold it and lie within the document.
     starts = lambda i: F.sequence(F.greatest(i - window + 1, F.lit(0)), F.greatest(F.least(i, F.size("_u") - window), F.lit(0)))
-    least = lambda u, i: F.exists(starts(i), lambda s: F.forall(F.slice("_u", s + 1, window), lambda v: v.isNull() | (v >= u)))
-    marked = F.filter(
-        F.transform("_u", lambda u, i: F.when(u.isNotNull() & ((F.get("_n", i) >= min_words) | least(u, i)), F.struct(u.alias("h"), i.alias("i")))),
+    least = lambda u, i: F.exists(starts(i), lambda s: F.forall(F.array(*[F.get("_u", s + k) for k in range(window)]), lambda v: v.isNull() | (v >= u)))
+    chosen = F.filter(
+        F.transform("_u", lambda u, i: F.when(u.isNotNull() & ((F.get("_n", i) >= alone) | least(u, i)), F.struct(u.alias("h"), i.alias("i")))),
         lambda x: x.isNotNull(),
     )
-    # Equal fingerprints of a document next to each other, each with the place before it; a place without one is the first.
-    ordered = F.transform(
-        F.array_sort(marked),
-        lambda x: F.struct(x["h"].alias("h"), x["i"].alias("i")),
-    )
-    before = lambda k: F.get("_o", k - 1)
-    chained = F.transform("_o", lambda x, k: F.struct(x["h"].alias("h"), x["i"].alias("i"), F.when((k > 0) & (before(k)["h"] == x["h"]), before(k)["i"]).alias("p")))
-    repeats = F.transform(F.filter("_k", lambda x: x["p"].isNotNull()), lambda x: F.struct((x["i"] - x["p"]).alias("off"), x["i"].alias("i")))
-    firsts = F.transform(F.filter("_k", lambda x: x["p"].isNull()), lambda x: F.struct(x["h"].alias("h"), x["i"].alias("i")))
-    marks = cut(
-        rows.withColumn("_u", units).withColumn("_o", ordered).withColumn("_k", chained).select("_doc", firsts.alias("_first"), repeats.alias("_seeds")),
-        "marks",
-    )
-    # Within a document: matches with the place before, on the document's own lines. Nothing is shuffled but the lines.
-    own = marks.filter(F.size("_seeds") > 0).select("_doc", "_seeds").join(rows.select("_doc", "_h"), "_doc")
-    within = own.withColumn("_g", F.col("_h")).select("_doc", _runs().alias("_runs"))
-    # Between documents: the first place of each fingerprint in a document against the first document that has it.
-    places = marks.select("_doc", F.explode("_first").alias("x")).select("_doc", F.col("x.h").alias("_fp"), F.col("x.i").alias("_i"))
-    first = (
-        places.groupBy("_fp").agg(F.min("_doc").alias("_from"), F.min_by("_i", "_doc").alias("_i0"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
-    )
-    seeds = (
-        places.join(first, "_fp").filter("_doc <> _from")
-        .groupBy("_doc", "_from").agg(F.collect_list(F.struct((F.col("_i") - F.col("_i0")).alias("off"), F.col("_i").alias("i"))).alias("_seeds"))
+    marks = cut(rows.withColumn("_u", units).select("_doc", chosen.alias("_marks")), "marks")
+    places = marks.select("_doc", F.explode("_marks").alias("x")).select("_doc", F.col("x.h").alias("_fp"), F.col("x.i").alias("_i"))
+    shared = places.groupBy("_fp").agg(F.count("*").alias("_c")).filter("_c > 1").select("_fp")
+    at = places.join(shared, "_fp").groupBy("_doc").agg(F.collect_list("_i").alias("_at"))
+    runs = cut(
+        at.join(rows, "_doc").select("_doc", F.explode(_stretches(window, min_words)).alias("x"))
+        .select(F.col("x.key").alias("_key"), "_doc", F.col("x.a").alias("_a"), F.col("x.b").alias("_b")),
+        "runs",
     )
-    both = seeds.join(rows.select("_doc", "_h"), "_doc").join(rows.select(F.col("_doc").alias("_from"), F.col("_h").alias("_g")), "_from")
-    found = within.unionByName(both.select("_doc", _runs().alias("_runs")))
-    apart = F.aggregate(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_runs")))),
-        F.expr("cast(array() as array<struct<a:int,b:int>>)"),
-        lambda s, x: F.when((F.size(s) > 0) & (F.element_at(s, -1)["b"] >= x["a"]), F.array_append(
-            F.slice(s, 1, F.size(s) - 1),
-            F.struct(F.element_at(s, -1)["a"].alias("a"), F.greatest(F.element_at(s, -1)["b"], x["b"]).alias("b")),
-        )).otherwise(F.array_append(s, x)),
+    # The first place of each stretch that has several.
+    first = runs.groupBy("_key").agg(F.min(F.struct("_doc", "_a")).alias("_first"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
+    later = runs.join(first, "_key").filter(F.struct("_doc", "_a") > F.col("_first")).select("_doc", "_a", "_b")
+    # Runs of one document that touch become one; a document's runs are no more than its lines.
+    before = Window.partitionBy("_doc").orderBy("_a", "_b")
+    apart = (
+        later.withColumn("_new", F.coalesce(F.col("_a") > F.max("_b").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
+        .withColumn("_part", F.sum(F.col("_new").cast("int")).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("_doc", "_part").agg(F.min("_a").alias("a"), F.max("_b").alias("b"))
+        .groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
     )
-    return found.groupBy("_doc").agg(apart.alias("runs")).select(F.col("_doc").alias("doc_id"), "runs")
+    return apart.select(F.col("_doc.d").alias("doc_id"), F.col("_doc.t").alias("text_hash"), "runs")
 
 
-def dedup_lines(docs: DataFrame, window: int = 2, min_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = 3, min_words: int = 8, alone: int = 20) -> DataFrame:
     """``docs`` with later copies of repeated runs of lines taken out of ``text``, and ``_line_drops``, their number.
 
-    A null text stays null, a text without words stays as it is, and so do rows with a null id. ``doc_id`` identifies
-    a row; where rows share an id and their texts differ, their runs are found row by row but taken out of all of
-    them by position, so make ids unique first. Other columns pass through.
+    A null text stays null, a text without words stays as it is, and so do rows with a null id. Rows that share an id are
+    told apart by their texts; those that are alike stay alike. Other columns pass through. Time is in proportion to the
+    length of a text, however many runs go from it.
     """
-    gone = repeated_lines(docs, window, min_words).select(F.col("doc_id").alias("_gone_id"), F.col("runs").alias("_gone"))
-    out = docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left")
-    keep = F.filter(lines_of(out["text"]), lambda x, i: ~F.exists("_gone", lambda r: (i >= r["a"]) & (i < r["b"])))
-    text = F.when(F.col("_gone").isNull() | out["text"].isNull(), out["text"]).otherwise(F.array_join(keep, ""))
+    found = repeated_lines(docs, window, min_words, alone)
+    gone = found.select(F.col("doc_id").alias("_line_id"), F.col("text_hash").alias("_line_text"), F.col("runs").alias("_line_runs"))
+    out = docs.join(gone, (docs["doc_id"] == gone["_line_id"]) & (F.hash(docs["text"]) == gone["_line_text"]), "left")
+    # One byte per line up to the last that goes: 1 where it does.
+    gap = lambda k: F.coalesce(F.get("_line_runs", k - 1)["b"], F.lit(0))
+    marks = F.transform("_line_runs", lambda r, k: F.concat(F.repeat(F.lit("0"), r["a"] - gap(k)), F.repeat(F.lit("1"), r["b"] - r["a"])))
+    out = out.withColumn("_line_mask", F.array_join(marks, "").cast("binary"))
+    keep = F.filter(lines_of(docs["text"]), lambda x, i: F.substring("_line_mask", i + 1, F.lit(1)) != F.lit(b"1"))
+    text = F.when(F.col("_line_runs").isNull(), docs["text"]).otherwise(F.array_join(keep, ""))
     return out.select(
         *[text.alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns],
-        F.coalesce(F.aggregate("_gone", F.lit(0), lambda s, r: s + r["b"] - r["a"]), F.lit(0)).alias("_line_drops"),
+        F.coalesce(F.aggregate("_line_runs", F.lit(0), lambda s, r: s + r["b"] - r["a"]), F.lit(0)).alias("_line_drops"),
     )
