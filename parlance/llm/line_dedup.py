@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
-#: A line ends behind line breaks, or behind the space that follows the end of a sentence.
-LINE_END = r"(?<=\n|[.!?] )(?!\n)"
+#: A line ends behind line breaks, or behind the space that follows the end of a sentence; white space alone is no line.
+LINE_END = r"(?<=\n|[.!?] )(?![ \t\r]*(?:\n|\z))"
 _MARK = "\x01"
 
 
@@ -16,52 +16,68 @@ def lines_of(text: Column, plain: bool = False) -> Column:
     """Joined without a separator, the lines are the text again; ``plain``: with spaces for line breaks.
 
     Marks are set by plain replacement, which is several times faster than the pattern; texts that hold the mark
-    themselves are cut by the pattern.
+    themselves, or white space behind one, are cut by the pattern.
     """
     text = F.coalesce(text, F.lit(""))
     marked = text
     for end in ("\n", ". ", "! ", "? "):
         marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
-    marked = F.replace(marked, F.lit(_MARK + "\n"), F.lit("\n"))
+    marked = F.rtrim(F.replace(marked, F.lit(_MARK + "\n"), F.lit("\n")), F.lit(_MARK))
+    odd = F.contains(text, F.lit(_MARK))
+    for space in " \t\r":
+        odd = odd | F.contains(marked, F.lit(_MARK + space))
     if plain:
         marked = F.replace(marked, F.lit("\n"), F.lit(" "))
     rare = F.split(text, LINE_END, -1)
     rare = F.transform(rare, lambda x: F.replace(x, F.lit("\n"), F.lit(" "))) if plain else rare
-    return F.when(F.contains(text, F.lit(_MARK)), rare).otherwise(F.split(marked, _MARK, -1))
+    return F.when(odd, rare).otherwise(F.split(marked, _MARK, -1))
 
 
 def _words(line: Column) -> Column:
-    """Words by the spaces between them, but one for every 12 bytes at least, as not all scripts have spaces."""
+    """Words by the spaces between them, but one for every 12 bytes, as not all scripts have spaces, and one at least."""
     spaced = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
-    return F.when(F.octet_length(line) > 0, F.greatest(spaced, F.octet_length(line) / 12)).otherwise(0).cast("int")
+    return F.greatest(spaced, F.octet_length(line) / 12).cast("int")
 
 
-def _unit(i: Column, min_words: int) -> Column:
-    """The lines from ``i`` on up to where they have enough words: their hash ``h``, words ``n`` and number ``l``. Every line
-    has a word, so they are ``min_words`` lines at most. (A slice would copy the whole array each time.)"""
+def _unit(n: Column, i: Column, min_words: int) -> Column:
+    """The lines from ``i``, of ``n`` words, on up to where they have enough: their hash ``h`` and number ``l``; null where
+    the document ends before. They are ``min_words`` lines at most, as each has a word; no slice copies the whole array."""
+    lines = F.array(*[F.struct(F.get("_h", i + k).alias("h"), F.get("_n", i + k).alias("n")) for k in range(min_words)])
     start = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("n"), F.lit(0).alias("l"))
-    more = lambda s, x: F.when(s["n"] >= min_words, s).otherwise(
+    more = lambda s, x: F.when((s["n"] >= min_words) | x["n"].isNull(), s).otherwise(
         F.struct(F.xxhash64(s["h"], x["h"]).alias("h"), (s["n"] + x["n"]).alias("n"), (s["l"] + 1).alias("l"))
     )
-    lines = F.array(*[F.struct(F.get("_h", i + k).alias("h"), F.get("_n", i + k).alias("n")) for k in range(min_words)])
-    return F.aggregate(F.filter(lines, lambda x: x["n"].isNotNull()), start, more)
+    several = F.aggregate(lines, start, more, lambda s: F.when(s["n"] >= min_words, F.struct(s["h"].alias("h"), s["l"].alias("l"))))
+    return F.when(n >= min_words, F.struct(F.xxhash64(F.lit(0).cast("long"), F.get("_h", i)).alias("h"), F.lit(1).alias("l"))).otherwise(several)
 
 
-def _stretches(window: int, min_words: int) -> Column:
-    """For each place of ``_at``, the runs of lines around it that a copy may share: ``(key, a, b)`` by content.
+def _chosen(u: Column, i: Column, window: int) -> Column:
+    """No unit hash is less in one of the windows that hold unit ``i`` and lie within the document."""
+    size, least = F.size("_u"), F.lit(False)
+    no_less = {k: F.get("_u", i + k)["h"].isNull() | (F.get("_u", i + k)["h"] >= u["h"]) for k in range(1 - window, window) if k}
+    for s in range(1 - window, 1):
+        here = (i + s >= 0) & (i + s + window <= size) if s else (i + window <= size) | (size < window)
+        for k in range(s, s + window):
+            here = here & no_less[k] if k else here
+        least = least | here
+    return least
 
-    To the left they grow to ``window - 1`` lines, to the right up to where the unit ``window`` lines on would end.
-    """
 
-    def of(i: Column) -> Column:
-        end = i + _unit(i, min_words)["l"]
-        beyond = _unit(i + window, min_words)
-        upto = F.when(beyond["n"] >= min_words, i + window + beyond["l"] - 1).otherwise(F.size("_h"))
-        place = lambda k: F.when(F.col("_p").isNull(), k).otherwise(F.get("_p", k))
-        run = lambda a, b: F.struct(F.xxhash64(F.transform(F.sequence(a, b - 1), lambda k: F.get("_h", k))).alias("key"), place(a).alias("a"), (place(b - 1) + 1).alias("b"))
-        right = F.transform(F.sequence(end, F.greatest(end, upto)), lambda b: run(i, b))
-        first = F.greatest(i - window + 1, F.lit(0))
-        left = F.transform(F.filter(F.sequence(first, i), lambda a: a < i), lambda a: run(a, end))
+def _whole(i: Column, back: Column, m: Column, window: int) -> Column:
+    """The hash of all lines a copy may share around unit ``i``: from ``back`` lines before it to ``m`` on."""
+    near = [F.when(back >= -k, F.get("_h", i + k)) if k < 0 else F.when(m > k, F.get("_h", i + k)) for k in range(1 - window, 2 * window)]
+    far = F.xxhash64(F.transform(F.sequence(i - back, i + m - 1), lambda k: F.get("_h", k)))
+    return F.when(m <= 2 * window, F.xxhash64(back, m, *near)).otherwise(far)
+
+
+def _stretches(window: int) -> Column:
+    """For each place of ``_at``, the runs of lines to its right or left that a copy may share: ``(key, a, b)`` by content."""
+
+    def of(x: Column) -> Column:
+        i, end = x["i"], x["i"] + x["l"]
+        run = lambda a, b: F.struct(F.xxhash64(F.transform(F.sequence(a, b - 1), lambda k: F.get("_h", k))).alias("key"), a.alias("a"), b.alias("b"))
+        right = F.transform(F.sequence(end, F.greatest(end, i + x["m"])), lambda b: run(i, b))
+        left = F.transform(F.filter(F.sequence(F.greatest(i - window + 1, F.lit(0)), i), lambda a: a < i), lambda a: run(a, end))
         return F.concat(right, left)
 
     return F.flatten(F.transform("_at", of))
@@ -76,58 +92,64 @@ def repeated_lines(docs: DataFrame, window: int = 3, min_words: int = 8, alone:
 
     Places with a common fingerprint are joined, and matches extended both ways while lines stay equal. The fingerprints
     that copies share follow each other by ``window`` lines at most, the first one is less than ``window`` lines behind
-    the start of what is equal, and the last one has less than another unit behind it; so each need be extended no
-    further than that. All lengths are posted under the hash of their lines, and each is compared with all places that
-    have it by way of the first of them: the longest run that any earlier place shares is found, not only what the first
-    holder of a fingerprint shares. Groups of any size are aggregated before they are shuffled and joined with one row.
+    the start of what is equal, and the last one has less than another unit behind it; so none need be extended further
+    than that. Where all of these lines are the same as at an earlier place, they go, and the earliest such place stands
+    for the others from there on. What is left is extended line by line: each length is posted under the hash of its
+    lines and compared with the first place that has it. So the longest run that any earlier place shares is found, not
+    only what the first holder of a fingerprint shares. Groups of any size are aggregated before they are shuffled, and
+    joined with one row.
 
     What precedes a run in the order of (doc_id, hash of the text, position) stays, so the first copy of every line
-    always stays. Lines are compared without spaces and line breaks at their ends; a line of nothing else is none.
+    always stays. Lines are compared without spaces and line breaks at their ends.
     """
     trimmed = F.transform(lines_of(F.col("text"), plain=True), lambda x: F.trim(x))
-    known = F.transform("_l", lambda x, i: F.struct(F.xxhash64(x).alias("h"), _words(x).alias("n"), i.alias("p")))
-    rows = cut(
+    back = lambda i: F.least(i, F.lit(window - 1))
+    # The lines from a place on that a copy may share, up to where the unit ``window`` lines on would end.
+    reach = lambda i: F.when(F.get("_u", i + window).isNotNull(), window + F.get("_u", i + window)["l"] - 1).otherwise(F.size("_h") - i)
+    mark = lambda x, i, m: F.struct(x["h"].alias("u"), _whole(i, back(i), m, window).alias("k"), i.alias("i"), x["l"].cast("byte").alias("l"), m.cast("byte").alias("m"))
+    with_reach = lambda x, i: F.transform(F.array(F.greatest(x["l"], reach(i))), lambda m: mark(x, i, m))[0]
+    table = cut(
         docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-        .select(F.struct(F.col("doc_id").alias("d"), F.hash("text").alias("t")).alias("_doc"), trimmed.alias("_l"))
-        .select("_doc", F.size("_l").alias("_size"), F.filter(known, lambda x: x["n"] > 0).alias("_z"))
-        .select(
-            "_doc", F.transform("_z", lambda x: x["h"]).alias("_h"), F.transform("_z", lambda x: x["n"]).alias("_n"),
-            F.when(F.size("_z") < F.col("_size"), F.transform("_z", lambda x: x["p"])).alias("_p"),
-        ),
+        .select(F.col("doc_id").alias("_d"), F.hash("text").alias("_t"), trimmed.alias("_l"))
+        .select("_d", "_t", F.transform("_l", lambda x: F.xxhash64(x)).alias("_h"), F.transform("_l", _words).alias("_n"))
+        .select("_d", "_t", "_h", "_n", F.transform("_n", lambda n, i: _unit(n, i, min_words)).alias("_u"))
+        .select("_d", "_t", "_h", F.filter(
+            F.transform("_u", lambda x, i: F.when(x.isNotNull() & ((F.get("_n", i) >= alone) | _chosen(x, i, window)), with_reach(x, i))),
+            lambda x: x.isNotNull(),
+        ).alias("_marks")),
         "lines",
     )
-    several = lambda i: _unit(i, min_words)
-    units = F.transform("_n", lambda n, i: F.when(n >= min_words, F.xxhash64(F.lit(0).cast("long"), F.get("_h", i))).otherwise(
-        F.transform(F.array(several(i)), lambda x: F.when(x["n"] >= min_words, x["h"]))[0]
-    ))
-    # A unit is a fingerprint if no hash is less in one of the windows that hold it and lie within the document.
-    starts = lambda i: F.sequence(F.greatest(i - window + 1, F.lit(0)), F.greatest(F.least(i, F.size("_u") - window), F.lit(0)))
-    least = lambda u, i: F.exists(starts(i), lambda s: F.forall(F.array(*[F.get("_u", s + k) for k in range(window)]), lambda v: v.isNull() | (v >= u)))
-    chosen = F.filter(
-        F.transform("_u", lambda u, i: F.when(u.isNotNull() & ((F.get("_n", i) >= alone) | least(u, i)), F.struct(u.alias("h"), i.alias("i")))),
-        lambda x: x.isNotNull(),
-    )
-    marks = cut(rows.withColumn("_u", units).select("_doc", chosen.alias("_marks")), "marks")
-    places = marks.select("_doc", F.explode("_marks").alias("x")).select("_doc", F.col("x.h").alias("_fp"), F.col("x.i").alias("_i"))
-    shared = places.groupBy("_fp").agg(F.count("*").alias("_c")).filter("_c > 1").select("_fp")
-    at = places.join(shared, "_fp").groupBy("_doc").agg(F.collect_list("_i").alias("_at"))
+    # A place is a document's id and, in one number, the hash of its text and the line.
+    place = lambda i: (F.shiftleft(F.col("_t").cast("long"), 32) + i).alias("_p")
+    text_hash, line = F.shiftright("_p", 32).cast("int").alias("_t"), F.col("_p").bitwiseAND(0xFFFFFFFF).cast("int")
+    places = table.select("_d", "_t", F.explode("_marks").alias("x")).select("x.u", "x.k", "_d", place(F.col("x.i")), "x.l", "x.m")
+    at = cut(places.join(places.groupBy("u").agg(F.count("*").alias("c")).filter("c > 1").select("u"), "u"), "places")
+    # Where all lines are shared, the first place stands for all.
+    firsts = cut(at.groupBy("k").agg(F.min(F.struct("_d", "_p")).alias("f"), F.first("u").alias("u"), F.first("l").alias("l"), F.first("m").alias("m"), F.count("*").alias("c")), "firsts")
+    same = at.select("k", "_d", "_p").join(firsts.filter("c > 1").select("k", "f", "m"), "k").filter(F.struct("_d", "_p") > F.col("f"))
+    same = same.select("_d", text_hash, (line - F.least(line, F.lit(window - 1))).alias("a"), (line + F.col("m")).alias("b"))
+    # The rest by each length.
+    rest = firsts.select("u", "f._d", "f._p", "l", "m")
+    rest = rest.join(rest.groupBy("u").agg(F.count("*").alias("c")).filter("c > 1").select("u"), "u")
+    rest = rest.select("_d", text_hash, F.struct(line.alias("i"), F.col("l").cast("int").alias("l"), F.col("m").cast("int").alias("m")).alias("x"))
+    by_doc = rest.groupBy("_d", "_t").agg(F.collect_list("x").alias("_at"))
     runs = cut(
-        at.join(rows, "_doc").select("_doc", F.explode(_stretches(window, min_words)).alias("x"))
-        .select(F.col("x.key").alias("_key"), "_doc", F.col("x.a").alias("_a"), F.col("x.b").alias("_b")),
+        by_doc.join(table.select("_d", "_t", "_h"), ["_d", "_t"]).select("_d", "_t", F.explode(_stretches(window)).alias("x"))
+        .select("x.key", "_d", place(F.col("x.a")), (F.col("x.b") - F.col("x.a")).cast("short").alias("n")),
         "runs",
     )
-    # The first place of each stretch that has several.
-    first = runs.groupBy("_key").agg(F.min(F.struct("_doc", "_a")).alias("_first"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
-    later = runs.join(first, "_key").filter(F.struct("_doc", "_a") > F.col("_first")).select("_doc", "_a", "_b")
+    first = runs.groupBy("key").agg(F.min(F.struct("_d", "_p")).alias("f"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    parts = runs.join(first, "key").filter(F.struct("_d", "_p") > F.col("f")).select("_d", text_hash, line.alias("a"), (line + F.col("n")).alias("b"))
     # Runs of one document that touch become one; a document's runs are no more than its lines.
-    before = Window.partitionBy("_doc").orderBy("_a", "_b")
+    before = Window.partitionBy("_d", "_t").orderBy("a", "b")
     apart = (
-        later.withColumn("_new", F.coalesce(F.col("_a") > F.max("_b").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
+        same.unionByName(parts)
+        .withColumn("_new", F.coalesce(F.col("a") > F.max("b").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
         .withColumn("_part", F.sum(F.col("_new").cast("int")).over(before.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("_doc", "_part").agg(F.min("_a").alias("a"), F.max("_b").alias("b"))
-        .groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
+        .groupBy("_d", "_t", "_part").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        .groupBy("_d", "_t").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
     )
-    return apart.select(F.col("_doc.d").alias("doc_id"), F.col("_doc.t").alias("text_hash"), "runs")
+    return apart.select(F.col("_d").alias("doc_id"), F.col("_t").alias("text_hash"), "runs")
 
 
 def dedup_lines(docs: DataFrame, window: int = 3, min_words: int = 8, alone: int = 20) -> DataFrame:

@@ -139,10 +139,10 @@ def test_shards(spark, odd, none):
 
 
 def lines(text):
-    return re.split(r"(?:(?<=\n)|(?<=[.!?] ))(?!\n)", text)
+    return re.split(r"(?:(?<=\n)|(?<=[.!?] ))(?![ \t\r]*(?:\n|\Z))", text)
 
 
-@pytest.mark.parametrize("text", ["", "a", "a\n", "\n\na. b? c! \nd.\n\n\ne. ", "x.y. z", "mark \x01 here. so\nit\x01is. "])
+@pytest.mark.parametrize("text", ["", "a", "a\n", "\n\na. b? c! \nd.\n\n\ne. ", "x.y. z", "a. \n \n\t\r\nb.  c. ", " \n a", "a.\n ", "mark \x01 here. so\nit\x01is. "])
 def test_lines(spark, text):
     df = spark.createDataFrame([(text,)], "text string").select(line_dedup.lines_of(F.col("text")).alias("l"))
     assert df.first()["l"] == lines(text)
