@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, join_spread
 
 #: A line ends behind line breaks, or behind the space that follows the end of a sentence; white space alone is no line.
 LINE_END = r"(?<=\n|[.!?] )(?![ \t\r]*(?:\n|\z))"
@@ -23,14 +23,16 @@ def lines_of(text: Column, plain: bool = False) -> Column:
     for end in ("\n", ". ", "! ", "? "):
         marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
     marked = F.rtrim(F.replace(marked, F.lit(_MARK + "\n"), F.lit("\n")), F.lit(_MARK))
-    odd = F.contains(text, F.lit(_MARK))
-    for space in " \t\r":
-        odd = odd | F.contains(marked, F.lit(_MARK + space))
-    if plain:
-        marked = F.replace(marked, F.lit("\n"), F.lit(" "))
     rare = F.split(text, LINE_END, -1)
     rare = F.transform(rare, lambda x: F.replace(x, F.lit("\n"), F.lit(" "))) if plain else rare
-    return F.when(odd, rare).otherwise(F.split(marked, _MARK, -1))
+
+    def cut_at_marks(m: Column) -> Column:
+        odd = F.contains(text, F.lit(_MARK))
+        for space in " \t\r":
+            odd = odd | F.contains(m, F.lit(_MARK + space))
+        return F.when(odd, rare).otherwise(F.split(F.replace(m, F.lit("\n"), F.lit(" ")) if plain else m, _MARK, -1))
+
+    return F.transform(F.array(marked), cut_at_marks)[0]  # marks are set once
 
 
 def _words(line: Column) -> Column:
@@ -39,16 +41,15 @@ def _words(line: Column) -> Column:
     return F.greatest(spaced, F.octet_length(line) / 12).cast("int")
 
 
-def _unit(n: Column, i: Column, min_words: int) -> Column:
-    """The lines from ``i``, of ``n`` words, on up to where they have enough: their hash ``h`` and number ``l``; null where
-    the document ends before. They are ``min_words`` lines at most, as each has a word; no slice copies the whole array."""
-    lines = F.array(*[F.struct(F.get("_h", i + k).alias("h"), F.get("_n", i + k).alias("n")) for k in range(min_words)])
-    start = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("n"), F.lit(0).alias("l"))
-    more = lambda s, x: F.when((s["n"] >= min_words) | x["n"].isNull(), s).otherwise(
-        F.struct(F.xxhash64(s["h"], x["h"]).alias("h"), (s["n"] + x["n"]).alias("n"), (s["l"] + 1).alias("l"))
-    )
-    several = F.aggregate(lines, start, more, lambda s: F.when(s["n"] >= min_words, F.struct(s["h"].alias("h"), s["l"].alias("l"))))
-    return F.when(n >= min_words, F.struct(F.xxhash64(F.lit(0).cast("long"), F.get("_h", i)).alias("h"), F.lit(1).alias("l"))).otherwise(several)
+def _unit(i: Column, min_words: int) -> Column:
+    """The lines from ``i`` on up to where they have enough words: their hash ``h`` and number ``l``; null where the
+    document ends before. They are ``min_words`` lines at most, as each has a word. Written out, as most have one or two."""
+    out, words = F.lit(False), F.get("_n", i)
+    for k in range(1, min_words + 1):
+        unit = F.struct(F.xxhash64(*[F.get("_h", i + j) for j in range(k)]).alias("h"), F.lit(k).alias("l"))
+        out = F.when(words >= min_words, unit) if k == 1 else out.when(words >= min_words, unit)
+        words = words + F.get("_n", i + k)
+    return out
 
 
 def _chosen(u: Column, i: Column, window: int) -> Column:
@@ -112,7 +113,7 @@ def repeated_lines(docs: DataFrame, window: int = 3, min_words: int = 8, alone:
         docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
         .select(F.col("doc_id").alias("_d"), F.hash("text").alias("_t"), trimmed.alias("_l"))
         .select("_d", "_t", F.transform("_l", lambda x: F.xxhash64(x)).alias("_h"), F.transform("_l", _words).alias("_n"))
-        .select("_d", "_t", "_h", "_n", F.transform("_n", lambda n, i: _unit(n, i, min_words)).alias("_u"))
+        .select("_d", "_t", "_h", "_n", F.transform("_n", lambda n, i: _unit(i, min_words)).alias("_u"))
         .select("_d", "_t", "_h", F.filter(
             F.transform("_u", lambda x, i: F.when(x.isNotNull() & ((F.get("_n", i) >= alone) | _chosen(x, i, window)), with_reach(x, i))),
             lambda x: x.isNotNull(),
@@ -123,14 +124,15 @@ def repeated_lines(docs: DataFrame, window: int = 3, min_words: int = 8, alone:
     place = lambda i: (F.shiftleft(F.col("_t").cast("long"), 32) + i).alias("_p")
     text_hash, line = F.shiftright("_p", 32).cast("int").alias("_t"), F.col("_p").bitwiseAND(0xFFFFFFFF).cast("int")
     places = table.select("_d", "_t", F.explode("_marks").alias("x")).select("x.u", "x.k", "_d", place(F.col("x.i")), "x.l", "x.m")
-    at = cut(places.join(places.groupBy("u").agg(F.count("*").alias("c")).filter("c > 1").select("u"), "u"), "places")
+    several = lambda rows, key, *more: cut(rows.groupBy(key).agg(*more, F.count("*").alias("c")).filter("c > 1"), "several")
+    at = cut(join_spread(places, several(places, "u"), "u", "c", ("_d", "_p")), "places")
     # Where all lines are shared, the first place stands for all.
     firsts = cut(at.groupBy("k").agg(F.min(F.struct("_d", "_p")).alias("f"), F.first("u").alias("u"), F.first("l").alias("l"), F.first("m").alias("m"), F.count("*").alias("c")), "firsts")
-    same = at.select("k", "_d", "_p").join(firsts.filter("c > 1").select("k", "f", "m"), "k").filter(F.struct("_d", "_p") > F.col("f"))
+    same = join_spread(at.select("k", "_d", "_p"), firsts.filter("c > 1").select("k", "f", "m", "c"), "k", "c", ("_d", "_p")).filter(F.struct("_d", "_p") > F.col("f"))
     same = same.select("_d", text_hash, (line - F.least(line, F.lit(window - 1))).alias("a"), (line + F.col("m")).alias("b"))
     # The rest by each length.
     rest = firsts.select("u", "f._d", "f._p", "l", "m")
-    rest = rest.join(rest.groupBy("u").agg(F.count("*").alias("c")).filter("c > 1").select("u"), "u")
+    rest = join_spread(rest, several(rest, "u"), "u", "c", ("_d", "_p"))
     rest = rest.select("_d", text_hash, F.struct(line.alias("i"), F.col("l").cast("int").alias("l"), F.col("m").cast("int").alias("m")).alias("x"))
     by_doc = rest.groupBy("_d", "_t").agg(F.collect_list("x").alias("_at"))
     runs = cut(
@@ -138,8 +140,8 @@ def repeated_lines(docs: DataFrame, window: int = 3, min_words: int = 8, alone:
         .select("x.key", "_d", place(F.col("x.a")), (F.col("x.b") - F.col("x.a")).cast("short").alias("n")),
         "runs",
     )
-    first = runs.groupBy("key").agg(F.min(F.struct("_d", "_p")).alias("f"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    parts = runs.join(first, "key").filter(F.struct("_d", "_p") > F.col("f")).select("_d", text_hash, line.alias("a"), (line + F.col("n")).alias("b"))
+    first = several(runs, "key", F.min(F.struct("_d", "_p")).alias("f"))
+    parts = join_spread(runs, first, "key", "c", ("_d", "_p")).filter(F.struct("_d", "_p") > F.col("f")).select("_d", text_hash, line.alias("a"), (line + F.col("n")).alias("b"))
     # Runs of one document that touch become one; a document's runs are no more than its lines.
     before = Window.partitionBy("_d", "_t").orderBy("a", "b")
     apart = (

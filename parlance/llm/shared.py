@@ -77,6 +77,21 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+def join_spread(big: DataFrame, small: DataFrame, key: str, count: str, by: tuple[str, ...], parts: int = 64) -> DataFrame:
+    """``big`` joined with ``small``, which has one row per ``key`` and the ``count`` of its rows in ``big``, which it loses.
+
+    The rows of a key that has a thousandth of all counted rows are dealt to ``parts`` tasks by a hash of ``by``. There are
+    at most a thousand such keys, whatever the size of the tables; they alone are broadcast. Every key has its rows in
+    ``small`` once for each part.
+    """
+    total = small.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * 1000 > total
+    named = F.broadcast(small.filter(hot).select(F.col(key).alias("_hot")))
+    dealt = big.join(named, big[key] == F.col("_hot"), "left").withColumn("_deal", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.lit(parts)))).drop("_hot")
+    copies = small.withColumn("_deal", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop(count)
+    return dealt.withColumn("_deal", F.col("_deal").cast("int")).join(copies, [key, "_deal"]).drop("_deal")
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Texts have no length limit, so Arrow batches are bounded by bytes as well as rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
