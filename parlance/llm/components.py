@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, discard
+from .shared import cut, discard, join_spread
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of the undirected ``edges (a, b)``; a component is named by its least node.
 
     Each step hangs the larger neighbours of a node on the least one, then the smaller ones with the node itself; the
-    number of steps grows with the logarithm of the longest path. Minima are taken before the shuffle and joined back,
-    so a node with very many neighbours is no task of its own. Every step is a table in the shared folder.
+    number of steps grows with the logarithm of the longest path. Minima are taken before the shuffle and joined back by
+    ``join_spread``, so the edges of a node with very many neighbours go to many tasks. Every step is a table in the
+    shared folder.
     """
     now = cut(
         edges.filter("a <> b").select(F.least("a", "b").alias("m"), F.greatest("a", "b").alias("v")).distinct(), "edges"
@@ -21,16 +22,16 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.select(F.col("v").alias("u"), F.col("m").alias("x")).unionByName(now.select(F.col("m").alias("u"), F.col("v").alias("x")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("x")).alias("m"))
-        large = both.join(least, "u").filter("x > u").select("m", F.col("x").alias("v")).filter("v <> m").distinct()
+        least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("x")).alias("m"), F.count("*").alias("n")), "least")
+        large = join_spread(both, least, "u", "n", ("x",)).filter("x > u").select("m", F.col("x").alias("v")).filter("v <> m").distinct()
         large = cut(large, "large")
-        small = large.groupBy("v").agg(F.min("m").alias("l"))
-        hung = large.join(small, "v")
+        small = cut(large.groupBy("v").agg(F.min("m").alias("l"), F.count("*").alias("n")), "least")
+        hung = join_spread(large, small, "v", "n", ("m",))
         last_edges, now = now, cut(
             hung.select(F.col("l").alias("m"), F.col("m").alias("v")).unionByName(hung.select(F.col("l").alias("m"), "v")).filter("v <> m").distinct(),
             "small",
         )
-        discard(last_edges, large)
+        discard(last_edges, large, least, small)
         last, mark = mark, _mark(now)
         if mark == last:
             break

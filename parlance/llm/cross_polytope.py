@@ -235,3 +235,19 @@ def _links(classes: DataFrame, h: Hash, least: float) -> DataFrame:
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.repartition(n, "_bucket", "_i", "_j").sortWithinPartitions("_bucket", "_i", "_j")
     return pairs.mapInPandas(_compare(h, least), "_key binary, _links long, _to binary")
+
+
+#: The same rows from all pairs; for small tables.
+ORACLE = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, c -> c <> 0)) > 0),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM good p JOIN good q ON p.vec_id < q.vec_id AND len(p.x) = len(q.x) AND list_cosine_similarity(p.x, q.x) >= 0.9),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+degree AS (SELECT a AS vec_id, count(*) AS n FROM edges GROUP BY a),
+reach AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT reach.vec_id, edges.b FROM reach JOIN edges ON edges.a = reach.r),
+least AS (SELECT vec_id, min(r) AS c FROM reach GROUP BY vec_id)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c AS component_id, e.vec_id = c AS kept
+FROM embeddings e JOIN least USING (vec_id) LEFT JOIN degree USING (vec_id)
+"""

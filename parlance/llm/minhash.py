@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, discard, small_batches
+from .shared import cut, discard, join_spread, small_batches
 from .shingles import set_id, shingle_set, signature
 
 #: Coordinates of a signature, and how many must agree. At a similarity of 0.75, 24 of 32 agree on average; fewer than
 #: 12 do in about one pair of a million.
 COORDINATES, AGREE = 32, 12
 #: Members of a list that are compared at once: so many, or with so many shingles.
-_BLOCK, _BLOCK_SHINGLES = 2048, 2_000_000
+_BLOCK, _BLOCK_SHINGLES = 512, 2_000_000
 
 
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -26,7 +26,7 @@ def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({
             "doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets],
             "_set": [set_id(s) if len(s) else None for s in sets],
-            "_sig": [signature(s, COORDINATES) if len(s) else None for s in sets],
+            "_sig": [signature(s, COORDINATES) if len(s) else None for s in sets], "_text": batch["_text"],
         })
 
 
@@ -49,35 +49,56 @@ def _confirmed(percent: int):
     return check
 
 
+def _collisions(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many coordinates each signature of ``x`` agrees with each of ``y``."""
+    both = np.zeros((len(x), len(y)), np.uint8)
+    for c in range(x.shape[1]):
+        both += x[:, c, None] == y[None, :, c]
+    return both
+
+
+def _common(few: list[np.ndarray], sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of sets, as a product of 0/1 matrices over the shingles that several have."""
+    every = few + sets
+    _, col = np.unique(np.concatenate(every), return_inverse=True)
+    row = np.repeat(np.arange(len(every)), [len(x) for x in every])
+    shared = np.bincount(col)[col] > 1
+    row, (_, col) = row[shared], np.unique(col[shared], return_inverse=True)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((len(few), len(sets)), np.float32)
+    width = int(col[-1]) + 1 if len(col) else 0
+    step = max(1, min(width, 4_000_000 // len(every)))
+    for at in range(0, width, step):
+        lo, hi = np.searchsorted(col, (at, at + step))
+        dense = np.zeros((len(every), step), np.float32)
+        dense[row[lo:hi], col[lo:hi] - at] = 1
+        both += dense[: len(few)] @ dense[len(few) :].T
+    return both
+
+
 def _blocks(percent: int):
     """Links between components within each block pair of a list: one for every two components that have any."""
 
     def links(part: pd.DataFrame) -> pd.DataFrame | None:
-        sets = [np.frombuffer(b, np.uint64) for b in part["_all"]]
+        """Members on the one side that agree with some on the other in enough coordinates are compared as whole sets."""
+        side = part["_side"].to_numpy()
+        if not side.any() or side.all():
+            return None
+        sig = np.stack(part["_sig"].to_numpy())
         keys, code = np.unique(part["_c"].map(bytes).to_numpy(), return_inverse=True)
-        if len(keys) < 2:
+        n, few, rest = part["_n"].to_numpy(), np.flatnonzero(side), np.flatnonzero(~side)
+        near = (_collisions(sig[few], sig[rest]) >= AGREE) & (code[few, None] != code[None, rest])
+        near &= 100 * np.minimum(n[few, None], n[None, rest]) >= percent * np.maximum(n[few, None], n[None, rest])
+        few, rest, near = few[near.any(axis=1)], rest[near.any(axis=0)], near[near.any(axis=1)][:, near.any(axis=0)]
+        if not len(few):
             return None
-        n = np.array([len(x) for x in sets])
-        few = np.flatnonzero(code != np.bincount(code).argmax())  # links within the largest component say nothing
-        _, col = np.unique(np.concatenate(sets), return_inverse=True)
-        row = np.repeat(np.arange(len(sets)), n)
-        shared = np.bincount(col)[col] > 1
-        row, (_, col) = row[shared], np.unique(col[shared], return_inverse=True)
-        order = np.argsort(col, kind="stable")
-        row, col = row[order], col[order]
-        both = np.zeros((len(few), len(sets)), np.float32)
-        width = int(col[-1]) + 1 if len(col) else 0
-        step = max(1, min(width, 4_000_000 // len(sets)))
-        for at in range(0, width, step):
-            lo, hi = np.searchsorted(col, (at, at + step))
-            dense = np.zeros((len(sets), step), np.float32)
-            dense[row[lo:hi], col[lo:hi] - at] = 1
-            both += dense[few] @ dense.T
-        same = (100 * both >= percent * (n[few, None] + n[None, :] - both)) & (code[few, None] != code[None, :])
-        x, y = np.nonzero(same)
+        sets = {k: np.frombuffer(part["_all"].iat[k], np.uint64) for k in {*few.tolist(), *rest.tolist()}}
+        both = _common([sets[k] for k in few.tolist()], [sets[k] for k in rest.tolist()])
+        x, y = np.nonzero(near & (100 * both >= percent * (n[few, None] + n[None, rest] - both)))
         if not len(x):
             return None
-        x = few[x]
+        x, y = few[x], rest[y]
         _, first = np.unique(code[x] * len(keys) + code[y], return_index=True)
         ids = part["_set"].to_numpy()
         return pd.DataFrame({"a": ids[x[first]], "b": ids[y[first]]})
@@ -111,9 +132,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     that agree often enough are confirmed on whole sets.
 
     A list of many near copies isn't expanded into pairs. First its most typical member is compared with all others.
-    Lists that still hold several components are then cut into blocks, and in every pair of blocks all members outside
-    the largest component are compared with all others at once, as a product of 0/1 matrices over whole sets; what
-    leaves a block pair is one link for two components. Every pair of a list is so either compared or connected.
+    In lists that still hold several components, all members outside the largest one are dealt to blocks, and so are all
+    members. In every pair of blocks collisions of all coordinates are counted for all pairs at once, and those that
+    agree in ``AGREE`` are confirmed on whole sets there; what leaves a block pair is one link for two components. So
+    collisions are counted for every pair of a list whose members are not connected already.
 
     A null or blank text has no shingles and links to nothing. Rows that share an id are taken row by row, and the
     component gets the least id; all rows with that id count as kept. A null id never names a component unless the
@@ -122,12 +144,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     prints = cut(
-        docs.select("doc_id", "text").mapInPandas(_fingerprints, "doc_id long, n_shingles long, _set binary, _sig array<long>"),
+        docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).mapInPandas(_fingerprints, "doc_id long, n_shingles long, _set binary, _sig array<long>, _text long"),
         "prints",
     )
     classes = cut(
         prints.filter("_set IS NOT NULL").groupBy("_set").agg(
-            F.min("doc_id").alias("_first"), F.first("n_shingles").alias("_n"), F.first("_sig").alias("_sig")
+            F.min("doc_id").alias("_first"), F.min_by("_text", F.struct("doc_id", "_text")).alias("_text"),
+            F.first("n_shingles").alias("_n"), F.first("_sig").alias("_sig"), F.count("*").alias("_rows"),
         ),
         "classes",
     )
@@ -140,22 +163,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     discard(posts)
     if not more.isEmpty():
         named = cut(components(links.unionByName(more)), "named")
-    joined = classes.select("_set", "_first")
-    joined = joined.join(named.withColumnRenamed("node", "_set"), "_set", "left")
-    least = joined.filter("component IS NOT NULL").groupBy("component").agg(F.min("_first").alias("_m"))
-    joined = joined.join(least, "component", "left").withColumn("_least", F.coalesce("_m", "_first"))
-    out = prints.select("doc_id", "n_shingles", "_set").join(joined.select("_set", "_least"), "_set", "left")
-    component = F.when(F.col("_set").isNull(), F.col("doc_id")).otherwise(F.col("_least"))
+    joined = cut(classes.select("_set", "_first", "_rows").join(named.withColumnRenamed("node", "_set"), "_set", "left"), "joined")
+    least = cut(joined.filter("component IS NOT NULL").groupBy("component").agg(F.min("_first").alias("_m"), F.count("*").alias("_k")), "least")
+    linked = join_spread(joined.filter("component IS NOT NULL"), least, "component", "_k", ("_set",))
+    alone = joined.filter("component IS NULL").withColumn("_m", F.lit(None).cast("long"))
+    each = cut(linked.unionByName(alone).select("_set", F.coalesce("_m", "_first").alias("_least"), "_rows"), "each")
+    rows = prints.select("doc_id", "n_shingles", "_set")
+    known = join_spread(rows.filter("_set IS NOT NULL"), each, "_set", "_rows", ("doc_id",))
+    out = known.unionByName(rows.filter("_set IS NULL").withColumn("_least", F.col("doc_id")))
     return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "n_shingles", F.col("_least").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("_least")).alias("kept")
     )
 
 
 def _prefixes(classes: DataFrame) -> DataFrame:
     """The rarest shared coordinate-value pairs of each class, as far as the prefix goes."""
     posts = classes.select(F.explode("_sig").alias("_key"), "_set", "_n")
-    shared = posts.groupBy("_key").agg(F.count("*").alias("_f")).filter("_f > 1")
-    lists = posts.join(shared, "_key").groupBy("_set", "_n").agg(F.sort_array(F.collect_list(F.struct("_f", "_key"))).alias("_l"))
+    shared = cut(posts.groupBy("_key").agg(F.count("*").alias("_f")).filter("_f > 1"), "shared")
+    found = join_spread(posts, shared.withColumn("_rows", F.col("_f")), "_key", "_rows", ("_set",))
+    lists = found.groupBy("_set", "_n").agg(F.sort_array(F.collect_list(F.struct("_f", "_key"))).alias("_l"))
     return (
         lists.filter(F.size("_l") >= AGREE)
         .withColumn("_weight", F.aggregate("_l", F.lit(0.0), lambda s, x: s + F.log2(x["_f"].cast("double"))))
@@ -166,29 +192,35 @@ def _prefixes(classes: DataFrame) -> DataFrame:
 
 def _with_typical(posts: DataFrame, percent: int) -> DataFrame:
     """Pairs of each member of a list with the one whose pairs are met most often, if their sizes allow a link."""
-    lead = posts.groupBy("_key").agg(F.max(F.struct("_weight", "_set", "_n")).alias("_lead"))
+    lead = cut(posts.groupBy("_key").agg(F.max(F.struct("_weight", "_set", "_n")).alias("_lead"), F.count("*").alias("_rows")), "lead")
     a, b = F.least("_set", "_lead._set").alias("a"), F.greatest("_set", "_lead._set").alias("b")
     near = F.least("_n", "_lead._n") * 100 >= F.greatest("_n", "_lead._n") * percent
-    return posts.join(lead, "_key").filter((F.col("_set") != F.col("_lead._set")) & near).select(a, b).distinct()
+    return join_spread(posts, lead, "_key", "_rows", ("_set",)).filter((F.col("_set") != F.col("_lead._set")) & near).select(a, b).distinct()
 
 
 def _rest(posts: DataFrame, named: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links between what is left in different components of one list."""
     posts = posts.join(named.withColumnRenamed("node", "_set"), "_set", "left").select("_key", "_set", "_n", F.coalesce("component", "_set").alias("_c"))
-    several = (
-        posts.groupBy("_key").agg(F.min("_c").alias("_c1"), F.max("_c").alias("_c2"), F.count("*").alias("_m"), F.sum("_n").alias("_s"))
-        .filter("_c1 <> _c2")
-        .select("_key", F.ceil(F.greatest(F.col("_m") / _BLOCK, F.col("_s") / _BLOCK_SHINGLES)).cast("int").alias("_parts"))
+    parts = lambda m, s: F.ceil(F.greatest(F.col(m) / _BLOCK, F.col(s) / _BLOCK_SHINGLES)).cast("int")
+    several = cut(
+        posts.groupBy("_key", "_c").agg(F.count("*").alias("_m"), F.sum("_n").alias("_s"))
+        .groupBy("_key").agg(F.max(F.struct("_m", "_c", "_s")).alias("_top"), F.count("*").alias("_cs"), F.sum("_m").alias("_m"), F.sum("_s").alias("_s"))
+        .filter("_cs > 1").withColumn("_few", F.col("_m") - F.col("_top._m")).withColumn("_few_s", F.col("_s") - F.col("_top._s"))
+        .select("_key", F.col("_top._c").alias("_main"), parts("_m", "_s").alias("_all_parts"), parts("_few", "_few_s").alias("_few_parts"), F.col("_m").alias("_rows")),
+        "several",
     )
-    left = cut(posts.join(several, "_key"), "left")
-    sets = _sets(left.select("_set").distinct(), classes, docs)
-    block = F.pmod(F.xxhash64("_set"), F.col("_parts")).cast("int")
-    pairs = left.withColumn("_block", block).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    pairs = pairs.select("_key", F.least("_block", "_x").alias("_i"), F.greatest("_block", "_x").alias("_j"), "_set", "_c").join(sets, "_set")
+    left = cut(join_spread(posts, several, "_key", "_rows", ("_set",)), "left")
+    sets = _sets(left.select("_set").distinct(), classes, docs).join(classes.select("_set", "_sig"), "_set")
+    # Those outside the largest component meet all members: in rows of block pairs on the one side, in columns on the other.
+    block = lambda n: F.pmod(F.xxhash64("_set"), F.col(n)).cast("int")
+    turns = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = left.filter("_c <> _main").select("_key", block("_few_parts").alias("_i"), turns("_all_parts").alias("_j"), "_set", "_c", "_n", F.lit(True).alias("_side"))
+    every = left.select("_key", turns("_few_parts").alias("_i"), block("_all_parts").alias("_j"), "_set", "_c", "_n", F.lit(False).alias("_side"))
+    pairs = few.unionByName(every).join(sets, "_set")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = pairs.repartition(n, "_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j")
     more = cut(dealt.mapInPandas(_blocks(percent), "a binary, b binary"), "more")
-    discard(left, sets)
+    discard(left)
     return more
 
 
@@ -201,9 +233,12 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets(need: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(_set, _all)``: the whole sets of the classes that are asked for, from their first documents' texts."""
-    need = need.join(classes.select("_set", "_first"), "_set")
-    texts = need.join(docs.select("doc_id", "text"), need["_first"].eqNullSafe(docs["doc_id"]))
+    """``(_set, _all)``: the whole sets of the classes that are asked for, from their first documents' texts.
+
+    A text is found by its id and its hash, so rows that share an id, or null, don't all meet."""
+    need = need.join(classes.select("_set", "_first", "_text"), "_set")
+    found = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
+    texts = need.join(found, (F.col("_text") == F.col("_hash")) & F.col("_first").eqNullSafe(F.col("_id")))
     return cut(texts.select("_set", "text").mapInPandas(_whole_sets, "_set binary, _all binary").dropDuplicates(["_set"]), "sets")
 
 
@@ -223,3 +258,21 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
+
+
+#: The same rows from an exact join on shingles; for small tables.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+both AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.r),
+least AS (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id, d.doc_id = c AS kept
+FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""

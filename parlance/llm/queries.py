@@ -59,4 +59,4 @@ QUERIES = {f.__name__: f for f in (
     op1_quality_compression, op2_token_store, op3_decontamination, op4_line_dedup, op5_minhash_dedup, op6_source_mixing,
     op7_kd_sharding, op8_html_crf, op9_cross_polytope, op10_toxicity,
 )}
-ORACLES = {"op6_source_mixing": mixing.ORACLE}
+ORACLES = {"op5_minhash_dedup": minhash.ORACLE, "op6_source_mixing": mixing.ORACLE, "op9_cross_polytope": cross_polytope.ORACLE}
