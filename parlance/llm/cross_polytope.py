@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut
+from .shared import cut, join_spread
 
 _BLOCK = 512  # members of a bucket that are compared at once
 
@@ -67,7 +67,8 @@ class Hash:
 
 def plan(dim: int, count: int, least: float, recall: float = 0.99, most: int = 256) -> Hash:
     """Parts so that a bucket has 16 vectors at most on average, and as many tables as random pairs at exactly
-    the least cosine need to share a bucket with probability ``recall``; such pairs are the hardest to find."""
+    the least cosine need to share a bucket with probability ``recall``; such pairs are the hardest to find. Where more
+    than ``most`` tables would be needed, as with a low ``least``, there is no plan."""
     width = 1 << max(1, (dim - 1).bit_length())
     parts = max(1, min(6, math.ceil(math.log(max(count, 2) / 16) / math.log(2 * width))))
     if dim < 2:
@@ -83,8 +84,10 @@ def plan(dim: int, count: int, least: float, recall: float = 0.99, most: int = 2
         x, y = (h.buckets(v).reshape(len(v), tables, -1) for v in (a, b))
         hit = (x[:, :, :, None] == y[:, :, None, :]).any(axis=(2, 3))
         share = (np.cumsum(hit, axis=1) > 0).mean(axis=0)
-        if share[-1] >= recall or tables >= most:
-            return Hash(dim, parts, int(np.argmax(share >= recall)) + 1 if share[-1] >= recall else tables)
+        if share[-1] >= recall:
+            return Hash(dim, parts, int(np.argmax(share >= recall)) + 1)
+        if tables >= most:
+            raise ValueError(f"{tables} tables find {share[-1]:.3f} of the pairs at a cosine of {least}, not {recall}")
         tables *= 2
 
 
@@ -112,7 +115,7 @@ def _post(h: Hash):
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield pd.DataFrame({"_key": batch["_key"], "_raw": batch["_raw"], "_size": batch["_size"], "_buckets": list(h.buckets(_unit(batch["_raw"], h.dim)))})
+                yield pd.DataFrame({"_key": batch["_key"], "_buckets": list(h.buckets(_unit(batch["_raw"], h.dim)))})
 
     return post
 
@@ -144,19 +147,15 @@ def _compare(h: Hash, least: float):
             own = first == bucket
             np.add.at(links, p[own], size[q[own]])
             np.add.at(links, q[own], size[p[own]])
-        root = np.arange(len(x))
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        for p, q in zip(a.tolist(), b.tolist(), strict=True):
-            p, q = find(p), find(q)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-        return pd.DataFrame({"_key": keys[used], "_links": links[used], "_to": [keys[find(k)] for k in used]})
+        root = np.arange(len(x))  # the least member that links lead to
+        while True:
+            last = root.copy()
+            np.minimum.at(root, a, last[b])
+            np.minimum.at(root, b, root[a])
+            root = root[root]
+            if (root == last).all():
+                break
+        return pd.DataFrame({"_key": keys[used], "_links": links[used], "_to": keys[root[used]]})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -211,27 +210,36 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = 0.99
     named = components(links.select(F.col("_key").alias("a"), F.col("_to").alias("b")))
     sums = links.groupBy("_key").agg(F.sum("_links").alias("_links"))
     joined = classes.select("_key", "_size", "_first").join(sums, "_key", "left").join(named.withColumnRenamed("node", "_key"), "_key", "left")
-    first = joined.filter("component IS NOT NULL").groupBy("component").agg(F.min("_first").alias("_least"))
-    joined = joined.join(first, "component", "left").select(
-        "_key", (F.col("_size") - 1 + F.coalesce("_links", F.lit(0))).alias("_n"), F.coalesce("_least", "_first").alias("_c")
+    joined = cut(joined, "joined")
+    first = cut(joined.filter("component IS NOT NULL").groupBy("component").agg(F.min("_first").alias("_least"), F.count("*").alias("_k")), "first")
+    linked = join_spread(joined.filter("component IS NOT NULL"), first, "component", "_k", ("_key",))
+    alone = joined.filter("component IS NULL").withColumn("_least", F.col("_first"))
+    each = linked.unionByName(alone).select("_key", (F.col("_size") - 1 + F.coalesce("_links", F.lit(0))).alias("_n"), F.coalesce("_least", "_first").alias("_c"), "_size")
+    known = join_spread(rows.filter("_key IS NOT NULL").select("vec_id", "_key"), cut(each, "each"), "_key", "_size", ("vec_id",)).select("vec_id", "_n", "_c")
+    none = rows.filter("_key IS NULL").select("vec_id", F.lit(0).cast("long").alias("_n"), F.col("vec_id").alias("_c"))
+    return known.unionByName(none).select(
+        "vec_id", F.col("_n").cast("long").alias("n_links"), F.col("_c").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("_c")).alias("kept")
     )
-    out = rows.select("vec_id", "_key").join(joined, "_key", "left")
-    component = F.when(F.col("_key").isNull(), F.col("vec_id")).otherwise(F.col("_c"))
-    return out.select(
-        "vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        F.col("vec_id").eqNullSafe(component).alias("kept"),
-    )
 
 
 def _links(classes: DataFrame, h: Hash, least: float) -> DataFrame:
-    posts = classes.select("_key", "_raw", "_size").mapInPandas(_post(h), "_key binary, _raw binary, _size long, _buckets array<long>")
-    posts = cut(posts, "posts").select("_key", "_raw", "_size", F.explode("_buckets").alias("_bucket"))
-    full = posts.groupBy("_bucket").agg(F.count("*").alias("_m")).filter("_m > 1")
-    posts = posts.join(full.select("_bucket", F.ceil(F.col("_m") / _BLOCK).cast("int").alias("_blocks")), "_bucket")
+    """Links of each class. Posts hold keys only; a class's vector joins them where its bucket has others to compare with.
+
+    Of buckets that hold the same classes, as those of a cluster do in most tables, the one with the least number stands
+    for all; it is the first that two of its members share."""
+    posts = cut(classes.select("_key", "_raw").mapInPandas(_post(h), "_key binary, _buckets array<long>"), "posts")
+    posts = posts.select("_key", F.explode("_buckets").alias("_bucket"))
+    mark = F.xxhash64("_key")
+    full = cut(
+        posts.groupBy("_bucket").agg(F.count("*").alias("_m"), F.bit_xor(mark).alias("_x"), F.sum(F.pmod(mark, F.lit(1_000_000_007))).alias("_s")).filter("_m > 1")
+        .groupBy("_m", "_x", "_s").agg(F.min("_bucket").alias("_bucket")).select("_bucket", "_m", F.ceil(F.col("_m") / _BLOCK).cast("int").alias("_blocks")),
+        "full",
+    )
+    posts = join_spread(posts, full, "_bucket", "_m", ("_key",))
     block = F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int")
     pairs = posts.withColumn("_block", block).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
-        "_bucket", F.least("_block", "_x").alias("_i"), F.greatest("_block", "_x").alias("_j"), "_block", "_key", "_raw", "_size"
-    )
+        "_bucket", F.least("_block", "_x").alias("_i"), F.greatest("_block", "_x").alias("_j"), "_block", "_key"
+    ).join(classes.select("_key", "_raw", "_size"), "_key")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.repartition(n, "_bucket", "_i", "_j").sortWithinPartitions("_bucket", "_i", "_j")
     return pairs.mapInPandas(_compare(h, least), "_key binary, _links long, _to binary")
@@ -241,8 +249,8 @@ def _links(classes: DataFrame, h: Hash, least: float) -> DataFrame:
 ORACLE = """
 WITH RECURSIVE good AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
-    AND len(list_filter(embedding, c -> c <> 0)) > 0),
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
 links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM good p JOIN good q ON p.vec_id < q.vec_id AND len(p.x) = len(q.x) AND list_cosine_similarity(p.x, q.x) >= 0.9),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 degree AS (SELECT a AS vec_id, count(*) AS n FROM edges GROUP BY a),
