@@ -135,6 +135,34 @@ def test_shards(spark, odd, none):
     assert kd_shards.shard(none).isEmpty()
 
 
+def test_shards_are_cut_at_medians(spark):
+    """The sides of a cut share no value of its dimension but the one it goes through; far-out values change nothing."""
+    r = random.Random(7)
+    far = [10**12 + k for k in range(6)] + [-(2**62), 2**62]
+    rows = [(k if k < 2000 else far[k - 2000], "x" * 300, "en", "http://host", 0) for k in range(2008)]
+    got = kd_shards.shard(spark.createDataFrame(rows, DOCS), leaves=2).collect()
+    sides = [[x["doc_id"] for x in got if x["shard"] == s] for s in (0, 1)]
+    assert max(sides[0]) < min(sides[1])  # nothing else differs, and ids have no ties
+    half = sum(x["size"] for x in got) / 2
+    assert all(abs(sum(x["size"] for x in got if x["shard"] == s) - half) <= 301 for s in (0, 1))
+    # Sources that begin alike are told apart as whole strings; one source holds the median and is split.
+    hosts = [f"https://www.example.org/a-long-path/{c}" for c in "abcdefgh"]
+    rows = [(5, f"{k:024d}", "en", hosts[min(7, r.randrange(16))], 0) for k in range(3000)]
+    got = {x["text_crc32"]: x["shard"] for x in kd_shards.shard(spark.createDataFrame(rows, DOCS), leaves=2).collect()}
+    by = {h: {got[zlib.crc32(t.encode())] for _, t, _, s, _ in rows if s == h} for h in hosts}
+    split = [h for h in hosts if len(by[h]) == 2]
+    assert len(split) <= 1 and all(by[h] == {int(h > split[0])} for h in hosts if h not in split)
+
+
+def test_shards_of_target_bytes_and_null_ids(spark):
+    rows = [(None, "same text", "en", "s", 0)] * 4000 + [(k, "z" * 99, None, None, 0) for k in range(1000)]
+    got = kd_shards.shard(spark.createDataFrame(rows, DOCS), target_bytes=20_000).collect()
+    sums = Counter()
+    for x in got:
+        sums[x["shard"]] += x["size"]
+    assert len(sums) == 7 and max(sums.values()) < 1.03 * 20_000 and len(got) == 5000
+
+
 # line deduplication
 
 
