@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .linear import fit_dense, sigmoid
 from .shared import fold, small_batches
 
-_LEVEL, _PIECE, _DICTIONARY = 3, 1000, 110 << 10
+#: Texts are compressed in pieces of so many bytes, so that what a text teaches the compressor does not hide the dictionaries.
+_LEVEL, _PIECE, _DICTIONARY = 3, 160, 110 << 10
 
 
 def dictionary(texts: list[str], size: int = _DICTIONARY) -> bytes:
@@ -26,37 +27,38 @@ def dictionary(texts: list[str], size: int = _DICTIONARY) -> bytes:
 
 
 def _compressor(data: bytes) -> zstandard.ZstdCompressor:
+    parameters = {"level": _LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
     if not data:
-        return zstandard.ZstdCompressor(level=_LEVEL)
+        return zstandard.ZstdCompressor(**parameters)
     known = zstandard.ZstdCompressionDict(data)
     known.precompute_compress(level=_LEVEL)
-    return zstandard.ZstdCompressor(level=_LEVEL, dict_data=known)
+    return zstandard.ZstdCompressor(**parameters, dict_data=known)
 
 
 class Measure:
-    """Compressed sizes of a whole text, as a few numbers; the first is the normalised difference."""
+    """The normalised difference of a whole text: what good text's dictionary saves over bad text's, per byte."""
 
     def __init__(self, good: bytes, bad: bytes):
-        self._good, self._bad, self._plain = _compressor(good), _compressor(bad), _compressor(b"")
+        self._good, self._bad = _compressor(good), _compressor(bad)
 
-    def __call__(self, text: str | None) -> list[float]:
+    def __call__(self, text: str | None) -> float:
         data = (text or "").encode("utf-8", "surrogatepass")
-        n, plain = len(data) + 1, len(self._plain.compress(data))
-        # In pieces, so that what a long text teaches the compressor does not hide the dictionaries.
-        parts = [data[i : i + _PIECE] for i in range(0, len(data), _PIECE)] or [b""]
-        good = sum(len(self._good.compress(p)) for p in parts)
-        bad = sum(len(self._bad.compress(p)) for p in parts)
-        return [(bad - good) / (bad + good), (bad - good) / n, float(np.log(n)), good / n, bad / n, plain / n]
+        more = 0
+        for i in range(0, len(data), _PIECE):
+            piece = data[i : i + _PIECE]
+            more += len(self._bad.compress(piece)) - len(self._good.compress(piece))
+        return more / (len(data) + 1)
 
 
 class Model:
-    def __init__(self, good: bytes, bad: bytes, mean: np.ndarray, scale: np.ndarray, weight: np.ndarray, bias: float):
-        self.good, self.bad, self.mean, self.scale, self.weight, self.bias = good, bad, mean, scale, weight, bias
+    """Both dictionaries and the calibration, a logistic curve over the difference."""
+
+    def __init__(self, good: bytes, bad: bytes, slope: float, bias: float):
+        self.good, self.bad, self.slope, self.bias = good, bad, slope, bias
 
     def scores(self, texts) -> np.ndarray:
         measure = Measure(self.good, self.bad)
-        x = np.array([measure(t) for t in texts]).reshape(-1, 6)
-        return sigmoid((x - self.mean) / self.scale @ self.weight + self.bias)
+        return sigmoid(np.array([measure(t) for t in texts], np.float64) * self.slope + self.bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, longest: int = 256 << 10, parts: int = 5, held: int = 0) -> Model:
@@ -79,24 +81,25 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, longest: in
     rows = rows.sort_values(["y", "text"], kind="stable")
     build, rest = rows[rows["build"]], rows[~rows["build"]]
     good, bad = (dictionary(list(build["text"][build["y"] == y])) for y in (1, 0))
-    measure = Measure(good, bad)
-    x, y = np.array([measure(t) for t in rest["text"]]).reshape(-1, 6), rest["y"].to_numpy(np.float64)
     total = counts.get(1, 0) + counts.get(0, 0)
-    if len(y) == 0 or y.min() == y.max():
+    y = rest["y"].to_numpy(np.float64)
+    if not good or not bad or len(y) == 0 or y.min() == y.max():
         share = (counts.get(1, 0) + 0.5) / (total + 1)
-        return Model(good, bad, np.zeros(6), np.ones(6), np.zeros(6), float(np.log(share / (1 - share))))
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    w, b = fit_dense((x - mean) / scale, y, ridge=1e-5)
+        return Model(good, bad, 0.0, float(np.log(share / (1 - share))))
+    measure = Measure(good, bad)
+    x = np.array([measure(t) for t in rest["text"]])
+    scale = x.std() + 1e-9
+    w, b = fit_dense((x / scale)[:, None], y, ridge=1e-5)
     # Both labels were sampled by their own rates; the bias goes back to the rates of all labels.
     b += float(np.log(counts[1] / max(1.0, y.sum())) - np.log(counts[0] / max(1.0, (1 - y).sum())))
-    return Model(good, bad, mean, scale, w, b)
+    return Model(good, bad, float(w[0] / scale), b)
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, parts: int = 5, held: int = 0, **training) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for each row of ``docs``, by a model fitted on ``labels (doc_id, quality)``.
 
-    Each whole text is compressed with the dictionary of good and with that of bad texts; the difference of the sizes
-    over their sum, with the ratios themselves, becomes a probability that the label is 1.
+    Each whole text is compressed with the dictionary of good and with that of bad texts; the difference of the sizes,
+    over the text's bytes, is all that is known of it, and becomes a probability that the label is 1.
 
     A null text is scored as an empty one. Rows that share an id are each scored; a label counts for all of them, the
     higher one where labels differ. Null labels, and labels all alike, leave a constant score. A null id is not held

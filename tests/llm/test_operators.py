@@ -451,7 +451,23 @@ def test_classifiers(spark, odd, none, run, column, parts, held):
     assert run(odd, marks).count() == len(ODD) and run(none, marks).isEmpty()
     assert run(odd, marks.limit(0)).count() == len(ODD)
     bare = marks.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
-    assert len({x["score"] for x in run(odd, bare).collect()}) == 1 or run is quality.quality
+    assert len({x["score"] for x in run(odd, bare).collect()}) == 1
+    same = marks.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert len({x["score"] for x in run(docs, same).collect()}) == 1
+
+
+def test_quality_measure_against_the_compressor():
+    """Sizes by the library, piece by piece over the whole text."""
+    import zstandard
+
+    good, bad = (quality.dictionary([" ".join(prose(k, 60, 30 + s)) for k in range(s, s + 300)]) for s in (0, 1000))
+    measure = quality.Measure(good, bad)
+    for text in (" ".join(prose(3, 500)), "é" * 1001, "x", "", None):
+        data, n = (text or "").encode(), 0
+        for d, sign in ((bad, 1), (good, -1)):
+            coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d))
+            n += sign * sum(len(coder.compress(data[i : i + 160])) for i in range(0, len(data), 160))
+        assert measure(text) * (len(data) + 1) == pytest.approx(n, abs=0.02 * len(data))
 
 
 def test_toxicity_forgets_groups(spark):
