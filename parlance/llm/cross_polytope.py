@@ -15,6 +15,7 @@ from .components import components
 from .shared import cut, join_spread
 
 _BLOCK = 512  # members of a bucket that are compared at once
+_SMALL = 24  # up to so many, groups are compared together
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -126,14 +127,9 @@ def _compare(h: Hash, least: float):
     A pair that meets in several buckets counts in the first one it shares.
     """
 
-    def group(bucket: int, i: int, j: int, part: pd.DataFrame) -> pd.DataFrame | None:
-        x, block, size, keys = _unit(part["_raw"], h.dim), part["_block"].to_numpy(), part["_size"].to_numpy(), part["_key"].to_numpy()
-        near = np.triu(x @ x.T >= least, 1)
-        if i != j:
-            near &= block[:, None] != block[None, :]
-        a, b = np.nonzero(near)
-        if not len(a):
-            return None
+    def found(batch: pd.DataFrame, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        """One row per member of the links between rows ``a`` and ``b``."""
+        bucket, size, keys = (batch[c].to_numpy() for c in ("_bucket", "_size", "_key"))
         used = np.unique(np.concatenate((a, b)))
         place = np.zeros(len(x), np.int64)
         place[used] = np.arange(len(used))
@@ -144,7 +140,7 @@ def _compare(h: Hash, least: float):
             u, v = codes[place[p]].reshape(len(p), h.tables, -1), codes[place[q]].reshape(len(p), h.tables, -1)
             shared = (u[:, :, :, None] == v[:, :, None, :]).any(axis=3)
             first = np.where(shared, u, np.iinfo(np.int64).max).reshape(len(p), -1).min(axis=1)
-            own = first == bucket
+            own = first == bucket[p]
             np.add.at(links, p[own], size[q[own]])
             np.add.at(links, q[own], size[p[own]])
         root = np.arange(len(x))  # the least member that links lead to
@@ -157,6 +153,33 @@ def _compare(h: Hash, least: float):
                 break
         return pd.DataFrame({"_key": keys[used], "_links": links[used], "_to": keys[root[used]]})
 
+    def groups(batch: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Small groups all at once, by the list of their pairs; each large one as a product of matrices."""
+        x, block = _unit(batch["_raw"], h.dim), batch["_block"].to_numpy()
+        across = (batch["_i"] != batch["_j"]).to_numpy()
+        n = ends - starts
+        small = np.flatnonzero((n > 1) & (n <= _SMALL))
+        near = []
+        for m in np.unique(n[small]):
+            rows = starts[small[n[small] == m]]
+            p, q = np.triu_indices(m, 1)
+            for at in range(0, len(rows), max(1, 100_000 // len(p))):
+                some = rows[at : at + max(1, 100_000 // len(p)), None]
+                a, b = (some + p).ravel(), (some + q).ravel()
+                same = (np.einsum("ij,ij->i", x[a], x[b]) >= least) & (~across[a] | (block[a] != block[b]))
+                near.append((a[same], b[same]))
+        if near:
+            a, b = (np.concatenate(y) for y in zip(*near, strict=True))
+            if len(a):
+                yield found(batch, x, a, b)
+        for s, e in zip(starts[n > _SMALL], ends[n > _SMALL], strict=True):
+            part = np.triu(x[s:e] @ x[s:e].T >= least, 1)
+            if across[s]:
+                part &= block[s:e, None] != block[None, s:e]
+            a, b = np.nonzero(part)
+            if len(a):
+                yield found(batch.iloc[s:e], x[s:e], a, b)
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
@@ -164,17 +187,11 @@ def _compare(h: Hash, least: float):
             if not len(batch):
                 continue
             same = (batch[["_bucket", "_i", "_j"]].to_numpy()[1:] == batch[["_bucket", "_i", "_j"]].to_numpy()[:-1]).all(axis=1)
-            edges = [0, *(np.flatnonzero(~same) + 1), len(batch)]
-            found = [_one(batch, s, e) for s, e in zip(edges[:-2], edges[1:-1], strict=True) if e - s > 1]
-            rest = batch.iloc[edges[-2] :]
-            yield from (f for f in found if f is not None)
-        if rest is not None and len(rest) > 1 and (f := _one(rest, 0, len(rest))) is not None:
-            yield f
-
-    def _one(batch: pd.DataFrame, s: int, e: int) -> pd.DataFrame | None:
-        part = batch.iloc[s:e]
-        head = part.iloc[0]
-        return group(int(head["_bucket"]), int(head["_i"]), int(head["_j"]), part)
+            edges = np.array([0, *(np.flatnonzero(~same) + 1)])
+            yield from groups(batch, edges[:-1], edges[1:])
+            rest = batch.iloc[edges[-1] :]
+        if rest is not None and len(rest) > 1:
+            yield from groups(rest.reset_index(drop=True), np.array([0]), np.array([len(rest)]))
 
     return compare
 
