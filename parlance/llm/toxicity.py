@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import fit_sparse, sigmoid
-from .shared import fold, small_batches
+from .shared import cut, fold, small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 _BITS = 20
@@ -128,7 +128,7 @@ def train(
     part = min(1_000_000, sample * 1_000_000 // max(1, n))
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part
     # About ``sample`` ids; the same hash keeps other documents out before the join.
-    texts = docs.select("doc_id", "text").filter(chosen).join(F.broadcast(known.filter(chosen)), "doc_id")
+    texts = cut(docs.select("doc_id", "text").filter(chosen).join(F.broadcast(known.filter(chosen)), "doc_id"), "sample")
     counts = texts.mapInPandas(_count, "f int, n long, bad long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     every = counts.filter("f = -1").first()
     rows, bad = (every["n"], every["bad"]) if every else (0, 0)

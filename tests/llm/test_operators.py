@@ -490,6 +490,31 @@ def test_toxicity_forgets_groups(spark):
     assert gaps[20.0] < 0.5 * gaps[0.0] or gaps[20.0] < 0.01
 
 
+def test_toxicity_of_neutral_mentions(spark):
+    """False positives on texts that only name a group, unseen in training, without and with the penalty."""
+    r = random.Random(12)
+    insults = ["".join(r.choice("vwxyzq") for _ in range(6)) for _ in range(150)]  # each rare
+
+    def text(k: int, bad: bool, named: bool) -> str:
+        words = prose(k, 30)
+        if bad:
+            words[5] = insults[k // 3 % 150]
+        if named:
+            words[9] = "muslim"
+        return " ".join(words)
+
+    rows = [(k, text(k, k % 3 == 0, r.random() < (0.9 if k % 3 == 0 else 0.02)), int(k % 3 == 0)) for k in range(900)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    marks = spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int")
+    wrong, caught = {}, {}
+    for pull in (0.0, 2.0, 20.0):
+        m = toxicity.train(docs, marks, pull=pull)
+        wrong[pull] = sum(m.score(text(k, False, True)) >= 0.3 for k in range(5000, 5300)) / 300
+        caught[pull] = sum(m.score(text(k, True, True)) >= 0.3 for k in range(5000, 5300)) / 300
+    print("false positives on neutral mentions by penalty:", wrong, "caught:", caught)
+    assert wrong[20.0] <= wrong[2.0] < 0.5 * wrong[0.0] and caught[2.0] - wrong[2.0] > caught[0.0] - wrong[0.0]
+
+
 def test_acceptable(spark, odd):
     docs, marks = labelled(spark)
     out = toxicity.acceptable(docs, marks)
