@@ -114,8 +114,8 @@ def _report(spark: SparkSession, tables: dict[str, DataFrame], conversation: Dat
     for r in per_chat.orderBy("chat_id").collect():
         print(f"        chat {r['chat_id']}  {r['messages']:,} msgs")
     for r in extract.union_report(records, per_chat).collect():
-        print(f"[union] {r['messages']:,} messages after union (Σ per-chat {r['sum_per_chat']:,}, {r['duplicates']:,} de-duped)")
-        print(f"[union] recovered {r['recovered']:,} message(s) beyond the largest single chat (chat {r['largest_chat']})")
+        print(f"[union] {r['messages']:,} distinct of {r['sum_per_chat']:,} in all chats, {r['duplicates']:,} seen twice")
+        print(f"[union] chat {r['largest_chat']} alone would lack {r['recovered']:,}")
     print("[union] by service: " + " · ".join(f"{r['service']} {r['messages']:,}" for r in extract.by_service(records).collect()))
     for r in records.filter("coalesce(service, 'iMessage') <> 'iMessage'").orderBy("date_ns", "message_rowid").limit(3).collect():
         print(f"        {r['date']} {r['speaker']} [{r['service']}]: {r['text'][:64]}")

@@ -3,7 +3,7 @@ from __future__ import annotations
 import sqlite3
 
 import pytest
-from fixtures import GROUPS, UNION, make
+from fixtures import AUTUMN, CHOIR, HARBOUR, SPRING, make, ns
 from pyspark.sql import functions as F
 
 from parlance import cli
@@ -13,91 +13,105 @@ from parlance.sources import sqlite, typedstream, vcard
 
 
 @pytest.fixture(scope="module")
-def union(spark, tmp_path_factory):
-    return sqlite.open_store(spark, make(tmp_path_factory.mktemp("u") / "chat.db", UNION))
+def harbour(spark, tmp_path_factory):
+    return sqlite.open_store(spark, make(tmp_path_factory.mktemp("h") / "chat.db", HARBOUR))
 
 
 @pytest.fixture(scope="module")
-def groups(spark, tmp_path_factory):
-    return sqlite.open_store(spark, make(tmp_path_factory.mktemp("g") / "chat.db", GROUPS, events=True), ranges=2)
+def choir(spark, tmp_path_factory):
+    return sqlite.open_store(spark, make(tmp_path_factory.mktemp("c") / "chat.db", CHOIR, events=True), ranges=2)
 
 
 def contacts(spark, rows=()):
     return spark.createDataFrame(list(rows), "handle string, name string")
 
 
-def names(spark):
-    return contacts(spark, [("+18160000003", "Alice Tan"), ("+18160000005", "Bob Vance"), ("+18160000007", "Carla Reed")])
+def singers(spark):
+    return contacts(spark, [("+33144550011", "Odile Brun"), ("+33144550012", "Yann Morel"), ("+33144550013", "Odile Petit")])
 
 
-def test_counts_and_bounds(union, groups, spark):
-    assert tuple(store.counts(union).first()) == (4, 2, 3)
-    assert tuple(store.date_bounds(groups["message"]).first()) == (50, 700)
-    assert store.watermark(groups["message"]).first()[0] == 112
-    none = spark.createDataFrame([], union["message"].schema)
+def test_counts_and_bounds(harbour, choir, spark):
+    assert tuple(store.counts(harbour).first()) == (6, 3, 4)
+    assert tuple(store.date_bounds(choir["message"]).first()) == (ns(AUTUMN), ns(AUTUMN + 80))
+    assert store.watermark(choir["message"]).first()[0] == 213
+    none = spark.createDataFrame([], harbour["message"].schema)
     assert tuple(store.date_bounds(none).first()) == (None, None) and store.watermark(none).first()[0] == 0
 
 
-def test_one_to_one(union, spark):
-    found = store.one_to_one_chats(union, spark.createDataFrame([(3,), (73,)], "handle_id long")).collect()
-    assert [r["chat_id"] for r in found] == [1, 2]
-    assert store.one_to_one_chats(union, spark.createDataFrame([], "handle_id long")).isEmpty()
-    s = store.summaries(union).collect()
-    assert {(r["chat_id"], r["message_count"]) for r in s} == {(1, 2), (2, 2)}
-    assert [(r["chat_id"], r["participant_handles"]) for r in store.group_summaries(union).collect()] == [(3, [3])]
+def test_chats_of_a_person(harbour, spark):
+    handles = lambda *h: spark.createDataFrame([(x,) for x in h], "handle_id long")
+    assert [r["chat_id"] for r in store.one_to_one_chats(harbour, handles(11, 12)).collect()] == [4, 9]
+    assert [r["chat_id"] for r in store.one_to_one_chats(harbour, handles(15)).collect()] == [6]
+    assert store.one_to_one_chats(harbour, handles()).isEmpty()
 
 
-def test_union_extraction(union, spark):
-    labels = store.handle_labels(union)
-    people = conversations.people(store.summaries(union), contacts(spark), labels)
-    p = people.first()
-    assert (p["chat_ids"], p["target_handles"], p["primary_identifier"], p["is_contact"]) == ([1, 2], [3, 73], "+18160000000", False)
-    rows = extract.extract(union, people, labels).orderBy("date_ns", "message_rowid").collect()
-    assert [(r["text"], r["speaker"], r["service"]) for r in rows] == [("look [photo]", "Them", "iMessage"), ("hi from sms", "Them", "SMS"), ("reply", "Me", "iMessage")]
-    assert rows[0]["had_attachment"] and rows[0]["date"] == 978307200
-    assert extract.extract(union, people.limit(0), labels).isEmpty()
+def test_summaries_are_newest_first(harbour):
+    got = [(r["chat_id"], r["message_count"]) for r in store.summaries(harbour).collect()]
+    assert got == [(6, 1), (4, 2), (9, 2)]  # the reaction is no message
+    assert [(r["chat_id"], r["participant_handles"]) for r in store.group_summaries(harbour).collect()] == [(2, [11, 15])]
 
 
-def test_retracted_and_odd_rows(spark, tmp_path):
-    more = "INSERT INTO chat VALUES (1, 45, 'x', 'iMessage', NULL); INSERT INTO chat_handle_join VALUES (1, 1); INSERT INTO handle VALUES (1, 'x');"
-    more += "INSERT INTO message (ROWID, guid, date, is_from_me, handle_id, text, date_retracted, item_type, associated_message_type) VALUES (10, 'kept', 1, NULL, NULL, 'still here', NULL, NULL, NULL), (11, 'unsent', 2, 0, 1, 'oops', 1700000000, 0, 0), (12, 'odd', 3, 0, 1, 'odd kind', 0, 0, 1000), (13, 'blank', 4, 0, 1, '  ', 0, 0, 0);"
-    more += "INSERT INTO chat_message_join VALUES (1, 10), (1, 11), (1, 12), (1, 13);"
+def test_one_person_over_two_services(harbour, spark):
+    labels = store.handle_labels(harbour)
+    people = {r["id"]: r for r in conversations.people(store.summaries(harbour), contacts(spark), labels).collect()}
+    p = people["+442079460018"]
+    assert set(people) == {"+442079460018", "nora@quay.example"}
+    assert (p["chat_ids"], p["target_handles"], p["is_contact"]) == ([4, 9], [11, 12], False)
+    everyone = conversations.people(store.summaries(harbour), contacts(spark), labels)
+    rows = extract.extract(harbour, everyone.filter("id = '+442079460018'"), labels).orderBy("date_ns", "message_rowid").collect()
+    assert [(r["guid"], r["speaker"], r["service"]) for r in rows] == [("h-21", "Them", "iMessage"), ("h-23", "Them", "SMS"), ("h-22", "Me", "iMessage")]
+    assert rows[2]["text"] == "Until Friday [pdf] see map" and rows[2]["had_attachment"] and rows[2]["date"] == 978307200 + SPRING + 60
+    assert [(x["by"], x["emoji"]) for x in rows[2]["reactions"]] == [("Them", "👍")] and not rows[0]["reactions"]
+    assert extract.extract(harbour, everyone.limit(0), labels).isEmpty()
+
+
+def test_rows_that_are_no_messages(spark, tmp_path):
+    """Null flags count as 0; unsent and blank messages go; an unknown kind of association is a message."""
+    from fixtures import sql_rows
+
+    more = sql_rows("handle", "ROWID, id", [(8, "q")]) + sql_rows("chat", "ROWID, style", [(3, 45)]) + sql_rows("chat_handle_join", "chat_id, handle_id", [(3, 8)])
+    more += sql_rows("message", "ROWID, guid, date, is_from_me, handle_id, text, date_retracted, item_type, associated_message_type", [
+        (70, "plain", ns(9), None, None, "no flags at all", None, None, None), (71, "unsent", ns(10), 0, 8, "never mind", ns(11), 0, 0),
+        (72, "sticker", ns(12), 0, 8, "a kind of its own", 0, 0, 1000), (73, "blank", ns(13), 0, 8, " \t ", 0, 0, 0), (74, "system", ns(14), 0, 8, "moved", 0, 4, 0),
+    ])
+    more += sql_rows("chat_message_join", "chat_id, message_id", [(3, k) for k in range(70, 75)])
     s = sqlite.open_store(spark, make(tmp_path / "r.db", more))
     people = conversations.people(store.summaries(s), contacts(spark), store.handle_labels(s))
     rows = extract.extract(s, people, store.handle_labels(s)).orderBy("message_rowid").collect()
-    assert [(r["guid"], r["speaker"]) for r in rows] == [("kept", "h0"), ("odd", "Them")]
-
-
-def test_groups(groups, spark):
-    labels = store.handle_labels(groups)
-    bare = conversations.groups(store.group_summaries(groups), labels, store.participant_counts(groups))
-    got = {tuple(r["chat_ids"]): r for r in bare.collect()}
-    assert set(got) == {(10, 11), (12,)}
-    r = got[10, 11]
-    assert (r["message_count"], r["display_name"], r["id"], [p["label"] for p in r["participants"]]) == (4, "Trip crew", "group:3,5", [None, None])
-    assert [p["handle_id"] for p in r["participants"]] == [3, 5]  # the most active first
-    named = conversations.groups(store.group_summaries(groups), labels, store.participant_counts(groups), names(spark))
-    rows = extract.extract(groups, named.filter("id = 'group:3,5'"), labels).orderBy("date_ns").collect()
-    assert [x["text"] for x in rows] == ["hey all", "Alice here", "Bob here", "from the fork"]
-    assert {x["speaker"] for x in rows} == {"Me", "Alice", "Bob"}
-    assert [(x["by"], x["emoji"]) for x in rows[0]["reactions"]] == [("Bob", "❤️")]
-    full = labels.withColumn("label", F.when(F.col("handle_id") == 7, "Carla Reed").otherwise(F.col("label")))
-    lines = [x["line"] for x in extract.system_events(groups, named.filter("id = 'group:3,5'"), full).orderBy("date_ns").collect()]
-    assert lines == ['Bob named the group "KC crew"', "Alice added Carla", "Alice left"]
-    lines = [x["line"] for x in extract.system_events(groups, bare.filter("id = 'group:3,5'"), labels).orderBy("date_ns").collect()]
-    assert lines[1] == "(816) 000-0003 added (816) 000-0007"
-    assert [r["chat_id"] for r in store.rosters(groups).orderBy("chat_id").collect()] == [10, 11, 12]
-
-
-def test_no_events_in_old_stores(union, spark):
-    people = conversations.people(store.summaries(union), contacts(spark), store.handle_labels(union))
-    assert extract.system_events(union, people, store.handle_labels(union)).isEmpty()
-
-
-def test_listing(groups, spark):
-    args = [store.summaries(groups), store.group_summaries(groups), store.handle_labels(groups), store.participant_counts(groups)]
+    assert [(r["guid"], r["speaker"]) for r in rows] == [("plain", "h0"), ("sticker", "Them")]
+
+
+def test_a_group_over_two_chats(choir, spark):
+    labels = store.handle_labels(choir)
+    args = store.group_summaries(choir), labels, store.participant_counts(choir)
+    bare = {r["id"]: r for r in conversations.groups(*args).collect()}
+    assert {k: r["chat_ids"] for k, r in bare.items()} == {"group:31,32,33": [50, 51], "group:31,34": [52]}
+    g = bare["group:31,32,33"]
+    assert (g["message_count"], g["display_name"], [p["handle_id"] for p in g["participants"]]) == (4, "Choir", [32, 33, 31])  # by volume
+    named = conversations.groups(*args, singers(spark)).filter("id = 'group:31,32,33'")
+    assert [(p["handle_id"], p["label"]) for p in named.first()["participants"]] == [(32, "Yann"), (33, "Odile P."), (31, "Odile B.")]
+    rows = extract.extract(choir, named, labels).orderBy("date_ns").collect()
+    assert [(r["speaker"], r["service"]) for r in rows] == [("Yann", "iMessage"), ("Odile P.", "iMessage"), ("Me", "iMessage"), ("Yann", "SMS")]
+    assert [(x["by"], x["emoji"]) for x in rows[0]["reactions"]] == [("Odile B.", "‼️")]  # the other one was taken back
+
+
+def test_events_of_a_group(choir, spark):
+    labels = store.handle_labels(choir)
+    args = store.group_summaries(choir), labels, store.participant_counts(choir)
+    lines = lambda groups: [x["line"] for x in extract.system_events(choir, groups.filter("id = 'group:31,32,33'"), labels).orderBy("date_ns").collect()]
+    assert lines(conversations.groups(*args, singers(spark))) == ['Odile B. named the group "Tuesday choir"', "Yann added lea@choir.example", "Odile P. left", "Me removed lea@choir.example"]
+    assert lines(conversations.groups(*args))[0] == '+33144550011 named the group "Tuesday choir"'
+
+
+def test_no_events_in_old_stores(harbour, spark):
+    people = conversations.people(store.summaries(harbour), contacts(spark), store.handle_labels(harbour))
+    assert extract.system_events(harbour, people, store.handle_labels(harbour)).isEmpty()
+
+
+def test_listing(choir, spark):
+    args = [store.summaries(choir), store.group_summaries(choir), store.handle_labels(choir), store.participant_counts(choir)]
     ids = [r["id"] for r in conversations.list_conversations(*args, contacts(spark)).collect()]
-    assert ids == ["+18160000009", "group:3,7", "group:3,5"]
+    assert ids == ["lea@choir.example", "group:31,34", "group:31,32,33"]
     with pytest.raises(ValueError, match="stitch"):
         conversations.list_conversations(*args, contacts(spark), stitch="loose")
 
@@ -158,17 +172,18 @@ def test_guard(spark, tmp_path):
 
 
 def test_live_reads(spark, tmp_path):
-    path = make(tmp_path / "live.db", GROUPS, events=True)
+    """What a writer has committed is seen, before and after it closes; a snapshot keeps it."""
+    path = make(tmp_path / "live.db", CHOIR, events=True)
     writer = sqlite3.connect(path)
     writer.execute("PRAGMA journal_mode=WAL")
-    assert sqlite.watermark(path) == 112
-    writer.execute("INSERT INTO message (ROWID, guid, date, text) VALUES (113, 'new', 800, 'more')")
+    before = sqlite.open_store(spark, path)["message"].count()
+    writer.execute("INSERT INTO message (ROWID, guid, date, text) VALUES (400, 'late', ?, 'encore')", (ns(AUTUMN + 500),))
+    assert sqlite.watermark(path) == 213
     writer.commit()
-    assert sqlite.watermark(path) == 113
-    assert sqlite.open_store(spark, path)["message"].count() == 11
+    assert sqlite.watermark(path) == 400 and sqlite.open_store(spark, path)["message"].count() == before + 1 == 14
     copy = sqlite.snapshot(spark, path, str(tmp_path / "copy"))
-    assert copy["message"].count() == 11 and copy["attachment"].count() == 0
-    few = spark.read.format("message_store").option("path", path).option("table", "message").option("where", "date > 600 AND guid IS NOT NULL")
+    assert copy["message"].count() == 14 and copy["attachment"].count() == 0
+    few = spark.read.format("message_store").option("path", path).option("table", "message").option("where", f"date >= {ns(AUTUMN + 70)}")
     assert few.load().count() == 3
     writer.close()
 
@@ -208,12 +223,13 @@ def test_vcard(spark, tmp_path):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    path = make(tmp_path / "chat.db", UNION)
-    cli.main([path, "--chat-id", "1", "--number", "+1 816 000 0000", "--target-handles", "3,73", "--union", "--out-dir", str(tmp_path / "out")], spark)
-    assert "3 messages after union (Σ per-chat 4, 1 de-duped)" in capsys.readouterr().out
-    assert (tmp_path / "out/union_8160000000.txt").read_text().endswith("Them: look [photo]\n18:00 Them: hi from sms\n18:00 Me: reply\n")
-    assert (tmp_path / "out/union_8160000000.jsonl").read_text().count("\n") == 3
-    cli.main(["export", path, "--chat-id", "1", "--number", "1", "--target-handles", "3", "--sample", "1"], spark)
-    assert "showed 1 of 2" in capsys.readouterr().out
+    path = make(tmp_path / "chat.db", HARBOUR)
+    cli.main([path, "--chat-id", "4", "--number", "+44 20 7946 0018", "--target-handles", "11,12", "--union", "--out-dir", str(tmp_path / "out")], spark)
+    said = capsys.readouterr().out
+    assert "3 distinct of 4 in all chats, 1 seen twice" in said and "iMessage 2 · SMS 1" in said
+    (txt,), (jsonl,) = (list((tmp_path / "out").glob(f"union_*.{kind}")) for kind in ("txt", "jsonl"))
+    assert "14:26 Them: Is the mooring free?\n14:27 Them: Texting from the water\n" in txt.read_text() and "Me: Until Friday [pdf] see map  [Them: 👍]" in txt.read_text() and jsonl.read_text().count("\n") == 3
+    cli.main(["export", path, "--chat-id", "6", "--number", "1", "--target-handles", "15", "--sample", "5"], spark)
+    assert "Them: The invoice is paid" in capsys.readouterr().out
     cli.main(["conversations", path], spark)
-    assert "chat-id 1,2" in capsys.readouterr().out
+    assert "chat-id 4,9" in capsys.readouterr().out

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import sqlite3
 
-from fixtures import GROUPS, make
+from fixtures import AUTUMN, CHOIR, make, ns
 
 from parlance.streaming import netting
 
@@ -45,18 +45,21 @@ def test_netting_by_aggregate(spark, tmp_path):
 
 
 def test_new_messages(spark, tmp_path):
-    path = make(tmp_path / "s.db", GROUPS, events=True)
+    """The stream goes on from the last row it has seen."""
+    path = make(tmp_path / "s.db", CHOIR, events=True)
     stream = netting.reaction_events(netting.message_stream(spark, path))
     q = stream.writeStream.format("memory").queryName("events").option("checkpointLocation", f"{tmp_path}/cp").start()
     q.processAllAvailable()
-    assert [(r["target_guid"], r["reactor"], r["emoji"]) for r in rows(spark, "events")] == [("gm0", "h5", "❤️")]
+    seen = {(r["target_guid"], r["reactor"], r["emoji"], r["is_remove"]) for r in rows(spark, "events")}
+    assert seen == {("ch-a", "h33", "😂", False), ("ch-a", "h33", "😂", True), ("ch-a", "h31", "‼️", False)}
     db = sqlite3.connect(path)
-    db.execute("INSERT INTO message (ROWID, guid, date, is_from_me, handle_id, associated_message_type, associated_message_guid, associated_message_emoji) VALUES (200, 'r2', 900, 1, 0, 3006, 'bp:gm1', '🎉')")
+    new = "INSERT INTO message (ROWID, guid, date, is_from_me, associated_message_type, associated_message_guid, associated_message_emoji) VALUES (500, 'ch-z', ?, 1, 2006, 'p:0/ch-b', '🎼')"
+    db.execute(new, (ns(AUTUMN + 900),))
     db.commit()
     db.close()
     q.processAllAvailable()
     q.stop()
-    assert [(r["target_guid"], r["by"], r["emoji"], r["is_remove"]) for r in rows(spark, "events")][1:] == [("gm1", "Me", "🎉", True)]
+    assert [(r["target_guid"], r["by"], r["emoji"], r["is_remove"]) for r in rows(spark, "events")][3:] == [("ch-b", "Me", "🎼", False)]
 
 
 def test_daily_volume(spark, tmp_path):
