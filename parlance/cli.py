@@ -53,9 +53,7 @@ def _one(spark: SparkSession, number: str, chats: list[int], handles: list[int])
 def labels(spark: SparkSession, tables: dict[str, DataFrame], vcards: str | None) -> tuple[DataFrame, DataFrame]:
     """Labels of all handles, a name where the contacts have one, and the contacts."""
     known = contacts(spark, vcards) if vcards else no_contacts(spark)
-    own = store.handle_labels(tables).withColumn("handle", conversations.normalize_handle(F.col("label")))
-    named = own.join(known.select("handle", "name"), "handle", "left")
-    return named.select("handle_id", F.coalesce("name", "label").alias("label"), F.col("name").isNotNull().alias("matched")), known
+    return conversations.resolved_labels(store.handle_labels(tables), known), known
 
 
 def export_command(spark: SparkSession, a: argparse.Namespace) -> None:

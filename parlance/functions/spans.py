@@ -154,6 +154,11 @@ def source_to_output(segs: Column, offset: Column) -> Column:
     return F.when(seg["fixed"], seg["out_start"]).otherwise(seg["out_start"] + at - seg["src_start"])
 
 
+def is_inside_redaction(segs: Column, offset: Column) -> Column:
+    """Is the offset of the source within a replaced span; its end is not."""
+    return F.exists(segs, lambda s: s["fixed"] & (s["src_start"] <= offset) & (offset < s["src_end"]))
+
+
 def output_to_source(segs: Column, offset: Column) -> Column:
     """Where an offset of the body comes from: within a token the start of its span, within an indent the line's."""
     before = F.filter(segs, lambda s: s["out_start"] <= offset)

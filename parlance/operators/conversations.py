@@ -234,3 +234,10 @@ def render_info(conversations: DataFrame) -> DataFrame:
         F.col("id").alias("conversation_id"), F.col("primary_identifier").alias("number"),
         F.when(F.col("is_group"), name).alias("group_name"), F.when(F.col("is_group"), labels).alias("participant_labels"),
     )
+
+
+def resolved_labels(labels: DataFrame, contacts: DataFrame) -> DataFrame:
+    """``(handle_id, label, matched)``: the name of each handle where the contacts ``(handle, name)`` have one, else the
+    label it has. One join for a whole session; persist it where many exports follow."""
+    named = labels.withColumn("handle", normalize_handle(F.col("label"))).join(contacts.select("handle", "name").dropDuplicates(["handle"]), "handle", "left")
+    return named.select("handle_id", F.coalesce("name", "label").alias("label"), F.col("name").isNotNull().alias("matched"))

@@ -93,10 +93,11 @@ def extract(store: dict[str, DataFrame], conversations: DataFrame, global_labels
         F.col("kind").between(*REMOVED).alias("is_remove"), "date", F.col("message_rowid").alias("seq"),
     )
     written = rows.filter(~kinds & (F.coalesce("item_type", F.lit(0)) == 0) & (F.coalesce("date_retracted", F.lit(0)) == 0))
-    raw = F.when(F.col("attributedBody").isNotNull(), F.coalesce(decode_body(F.col("attributedBody")), F.col("text"))).otherwise(F.col("text"))
+    # Only rich bodies pass through Python, each once; where there are none the join goes away.
+    rich = store["message"].filter("attributedBody IS NOT NULL").select(F.col("ROWID").alias("message_rowid"), decode_body(F.col("attributedBody")).alias("decoded"))
     text, had = body.render_text(F.col("raw"), F.col("placeholders"), F.col("balloon_bundle_id"))
     messages = (
-        written.join(attachments(store), "message_rowid", "left").withColumn("raw", raw)
+        written.drop("attributedBody").join(attachments(store), "message_rowid", "left").join(rich, "message_rowid", "left").withColumn("raw", F.coalesce("decoded", "text"))
         .select(
             "conversation_id", "message_rowid", F.col("date").alias("date_ns"), "guid", F.floor(seconds(F.col("date"))).cast("long").alias("date"), "speaker",
             (~F.col("is_from_me") & F.col("is_target")).alias("is_target"), "service", text.alias("text"), had.alias("had_attachment"),

@@ -431,3 +431,195 @@ def fuzzy_stitch(spark, sf_dir):
     return conversations.clusters(teams, conversations.fuzzy_pairs(teams))
 
 
+def _rules(*patterns: str) -> detect.Registry:
+    """Of all rules only those whose pattern holds one of these."""
+    some = detect.Registry()
+    some.rules = [x for x in some.rules if any(p in x.pattern for p in patterns)]
+    return some
+
+
+def _texts(table: str, key: str, text_column: str, spark, sf_dir) -> DataFrame:
+    """Any table of texts as messages of one conversation."""
+    none = F.array().cast("array<struct<by:string,emoji:string>>")
+    return adapter.table(spark, sf_dir, table).select(
+        F.lit("c").alias("conversation_id"), F.col(key).cast("long").alias("message_rowid"), F.col(key).cast("long").alias("date_ns"), F.col(key).cast("string").alias("guid"), F.lit(adapter.BASE).cast("long").alias("date"),
+        F.lit("Me").alias("speaker"), F.lit(False).alias("is_target"), F.lit("iMessage").alias("service"), F.col(text_column).alias("text"), F.lit(False).alias("had_attachment"), none.alias("reactions"),
+    )
+
+
+_FOUND = "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS guid, v AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '%s', %d)) AS v FROM documents)"
+
+
+def _said(spark, sf_dir, said, table: str = "customer", key: str = "c_custkey") -> DataFrame:
+    """A text made of each row's number, as messages."""
+    t = adapter.table(spark, sf_dir, table)
+    return t.select(F.lit("c").alias("conversation_id"), F.col(key).cast("string").alias("guid"), said(F.col(key)).alias("text"))
+
+
+def _padded(c, n: int):
+    return F.lpad((c % 10**n).cast("string"), n, "0")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS guid, 'otter-' || c_custkey AS value FROM customer WHERE c_custkey % 4 < 3")
+def detect_password(spark, sf_dir):
+    """Said in three ways that are found, and in one that is not."""
+    word = lambda k: F.concat(F.lit("otter-"), k.cast("string"))
+    r = _said(spark, sf_dir, lambda k: F.when(k % 4 == 0, F.concat(F.lit("the password is "), word(k), F.lit(", ok?"))).when(k % 4 == 1, F.concat(F.lit("PWD: "), word(k)))
+              .when(k % 4 == 2, F.concat(F.lit("my passcode was= "), word(k), F.lit(" then"))).otherwise(F.concat(F.lit("a swordpass "), word(k))))
+    return _values(r, detect.detect(r, ["password"]))
+
+
+@query("""WITH v AS (SELECT c_custkey, lpad(CAST(c_custkey * 37 % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST(c_custkey % 7 AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey % 5 AS VARCHAR), 4, '0') AS v FROM customer)
+SELECT CAST(c_custkey AS VARCHAR) AS guid, v AS value FROM v WHERE left(v, 3) NOT IN ('000', '666') AND left(v, 1) <> '9' AND c_custkey % 7 > 0 AND c_custkey % 5 > 0 AND c_custkey % 11 > 0""")
+def detect_ssn(spark, sf_dir):
+    """Numbers that were never given out don't count, and neither do parts of longer ones."""
+    value = lambda k: F.concat(_padded(k * 37, 3), F.lit("-"), F.lpad((k % 7).cast("string"), 2, "0"), F.lit("-"), F.lpad((k % 5).cast("string"), 4, "0"))
+    r = _said(spark, sf_dir, lambda k: F.concat(F.lit("number "), value(k), F.when(k % 11 == 0, F.lit("-7")).otherwise(F.lit(", yes"))))
+    return _values(r, detect.detect(r, ["ssn"]))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS guid, CASE c_custkey % 4 WHEN 0 THEN 'AKIA' || lpad(CAST(c_custkey AS VARCHAR), 16, '0') WHEN 1 THEN 'sk_live_' || lpad(CAST(c_custkey AS VARCHAR), 20, 'x')
+WHEN 2 THEN '-----BEGIN RSA PRIVATE KEY-----' ELSE 'glpat-' || lpad(CAST(c_custkey AS VARCHAR), 20, '_') END AS value FROM customer""")
+def detect_key(spark, sf_dir):
+    """Keys known by how they begin, and private keys."""
+    number = lambda k, n, fill: F.lpad(k.cast("string"), n, fill)
+    r = _said(spark, sf_dir, lambda k: F.concat(F.lit("use "), F.when(k % 4 == 0, F.concat(F.lit("AKIA"), number(k, 16, "0"))).when(k % 4 == 1, F.concat(F.lit("sk_live_"), number(k, 20, "x")))
+              .when(k % 4 == 2, F.lit("-----BEGIN RSA PRIVATE KEY-----")).otherwise(F.concat(F.lit("glpat-"), number(k, 20, "_"))), F.lit(" now")))
+    return _values(r, detect.detect(r, ["apiKey"]))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS guid, lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || CASE WHEN c_custkey % 2 = 0 THEN '#' ELSE '' END AS value FROM customer WHERE c_custkey % 3 < 2")
+def detect_standing_code(spark, sf_dir):
+    r = _said(spark, sf_dir, lambda k: F.concat(F.when(k % 3 == 0, F.lit("the door code is ")).when(k % 3 == 1, F.lit("Keypad: ")).otherwise(F.lit("order ")), _padded(k, 4), F.when(k % 2 == 0, F.lit("#")).otherwise(F.lit("")), F.lit(" ok")))
+    return _values(r, detect.detect(r, ["standingCode"]))
+
+
+@query(r"""WITH n AS (SELECT event_id, lpad(CAST(event_id * 104729 % 1000000000 AS VARCHAR), 9, '0') AS v FROM events)
+SELECT CAST(event_id AS VARCHAR) AS guid, v AS value FROM n
+WHERE v <> '000000000' AND list_sum(list_transform(range(1, 10), lambda i: CAST(v[i] AS INTEGER) * [3, 7, 1][CAST((i - 1) % 3 + 1 AS INTEGER)])) % 10 = 0""")
+def detect_routing(spark, sf_dir):
+    """Routing numbers, of which the check digit must hold."""
+    r = _said(spark, sf_dir, lambda k: F.concat(F.lit("Routing: "), _padded(k * 104729, 9), F.lit(" thanks")), "events", "event_id")
+    return _values(r, detect.detect(r, ["bankAccount"]))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS guid, c_custkey || CASE c_custkey % 3 WHEN 0 THEN ' Old Mill Lane' WHEN 1 THEN ' Bay St, Apt 4' ELSE ' North Quay Road, Harwich, MA 02645' END AS value FROM customer""")
+def scrub_address(spark, sf_dir):
+    r = _said(spark, sf_dir, lambda k: F.concat(F.lit("at "), k.cast("string"), F.when(k % 3 == 0, F.lit(" Old Mill Lane")).when(k % 3 == 1, F.lit(" Bay St, Apt 4")).otherwise(F.lit(" North Quay Road, Harwich, MA 02645")), F.lit(" by noon")))
+    return _values(r, detect.scrub(r, ["postalAddress"]))
+
+
+@query(_FOUND % (r"(?:^|[^\w+])((?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?:$|[^\w-])", 1))
+def scrub_phone(spark, sf_dir):
+    """Phone numbers with separators."""
+    r = _documents(spark, sf_dir)
+    return _values(r, detect.scrub(r, ["phone"], _rules("[ .-]?)?(?:"))).distinct()
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS guid, CASE event_id % 3 WHEN 0 THEN '#' ELSE '' END || CASE WHEN event_id % 3 = 1 THEN 'G-' ELSE '' END || lpad(CAST(event_id % 1000000 AS VARCHAR), 6, '0') AS value FROM events""")
+def scrub_otp(spark, sf_dir):
+    """One-time codes of all three kinds, one for each event."""
+    e = adapter.table(spark, sf_dir, "events")
+    code, kind = F.lpad((F.col("event_id") % 1_000_000).cast("string"), 6, "0"), F.col("event_id") % 3
+    said = F.when(kind == 0, F.concat(F.lit("use #"), code)).when(kind == 1, F.concat(F.lit("G-"), code, F.lit(" is it"))).otherwise(F.concat(F.lit("Your login code is "), code, F.lit(".")))
+    r = e.select(F.lit("c").alias("conversation_id"), F.col("event_id").cast("string").alias("guid"), said.alias("text"))
+    return _values(r, detect.scrub(r, ["otp"]))
+
+
+def _spliced_parts(spark, sf_dir) -> DataFrame:
+    """Names of parts with one redacted span each, as many segments."""
+    p = adapter.table(spark, sf_dir, "part").withColumn("a", (F.col("p_partkey") % 5).cast("int"))
+    found = F.array(F.struct(F.col("a").alias("start"), (F.col("a") + 3).alias("end")))
+    return p.withColumn("segments", spans.segments(F.col("p_name"), spans.body_replacements(F.col("p_name"), found)))
+
+
+@query("""SELECT p_partkey, CAST(o AS INTEGER) AS source, CAST(CASE WHEN o < p_partkey % 5 THEN o WHEN o < p_partkey % 5 + 3 THEN p_partkey % 5 ELSE least(o, length(p_name)) + 7 END AS INTEGER) AS output,
+o >= p_partkey % 5 AND o < p_partkey % 5 + 3 AS inside FROM part, (SELECT unnest(range(0, 10)) AS o)""")
+def offsets_to_output(spark, sf_dir):
+    """Where the first ten offsets of a text come out, and whether they lie in a redaction."""
+    p = _spliced_parts(spark, sf_dir).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    return p.select("p_partkey", F.col("o").alias("source"), spans.source_to_output(F.col("segments"), F.col("o")).cast("int").alias("output"), spans.is_inside_redaction(F.col("segments"), F.col("o")).alias("inside"))
+
+
+@query("""SELECT p_partkey, CAST(o AS INTEGER) AS output, CAST(CASE WHEN o < p_partkey % 5 THEN o WHEN o < p_partkey % 5 + 10 THEN p_partkey % 5 ELSE least(o - 7, length(p_name)) END AS INTEGER) AS source
+FROM part, (SELECT unnest(range(0, 16)) AS o)""")
+def offsets_to_source(spark, sf_dir):
+    p = _spliced_parts(spark, sf_dir).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    return p.select("p_partkey", F.col("o").alias("output"), spans.output_to_source(F.col("segments"), F.col("o")).cast("int").alias("source"))
+
+
+def _part_redactions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Of seven parts one is redacted as a whole, one by a span over its whole name, and the others in part."""
+    p = adapter.table(spark, sf_dir, "part")
+    kind, none = F.col("p_partkey") % 7, F.lit(None).cast("int")
+    r = p.select(
+        F.lit("c").alias("conversation_id"), F.col("p_partkey").cast("string").alias("guid"), F.when(kind == 0, none).when(kind == 1, 0).otherwise(2).cast("int").alias("start"),
+        F.when(kind == 0, none).when(kind == 1, F.length("p_name")).otherwise(6).cast("int").alias("end"),
+    )
+    return _texts("part", "p_partkey", "p_name", spark, sf_dir), r
+
+
+@query("""SELECT p_partkey AS message_rowid, CASE WHEN p_partkey % 7 = 1 THEN '[redacted]' ELSE left(p_name, 2) || '[redacted]' || substr(p_name, 7) END AS text FROM part WHERE p_partkey % 7 <> 0""")
+def redacted_texts(spark, sf_dir):
+    """A span over all of a text leaves the mark."""
+    return render.redacted_texts(*_part_redactions(spark, sf_dir)).select("message_rowid", "text")
+
+
+@query("""SELECT p_partkey AS message_rowid, left(p_name, 2) || '[redacted]' || substr(p_name, 7) AS text FROM part WHERE p_partkey % 7 > 1""")
+def rendered_bodies(spark, sf_dir):
+    """A span over all of a text takes the message away."""
+    return render.rendered_bodies(*_part_redactions(spark, sf_dir)).select("message_rowid", "text")
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS guid, CAST(3 + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS rows FROM part""")
+def redaction_edits(spark, sf_dir):
+    """Spans added to a set and taken out of it: three stay for every part, a fourth for those with even keys."""
+    p = adapter.table(spark, sf_dir, "part").select(F.lit("c").alias("conversation_id"), F.col("p_partkey").cast("string").alias("guid"), "p_partkey")
+    span = lambda a, df=p: df.select("conversation_id", "guid", F.lit(a).alias("start"), F.lit(a + 1).alias("end"))
+    every = redact.added(span(0).unionByName(span(4)), span(8).unionByName(span(12)))
+    left = redact.removed(every, span(12, p.filter("p_partkey % 2 = 1")))
+    return left.groupBy("guid").agg(F.count("*").cast("int").alias("rows"))
+
+
+@query("""SELECT c_custkey AS handle_id, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE '+1555' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') END AS label, c_custkey % 3 = 0 AS matched FROM customer""")
+def resolved_labels(spark, sf_dir):
+    """Customers as handles; every third is a contact."""
+    c = adapter.table(spark, sf_dir, "customer").withColumn("number", F.concat(F.lit("+1555"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")))
+    known = c.filter("c_custkey % 3 = 0").select(F.col("number").alias("handle"), F.col("c_name").alias("name"))
+    return conversations.resolved_labels(c.select(F.col("c_custkey").alias("handle_id"), F.col("number").alias("label")), known)
+
+
+@query(r"""SELECT p_partkey AS message_rowid, regexp_replace(regexp_replace(p_name, '\bBOLT\b', 'P2', 'gi'), '\bcold\b', 'P1', 'gi') AS text FROM part""")
+def names_in_texts(spark, sf_dir):
+    """Words of part names that are labels become their aliases, in any case."""
+    p = adapter.table(spark, sf_dir, "part")
+    aliases = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(alias).alias("alias")) for label, alias in (("BOLT", "P2"), ("cold", "P1"))])
+    return p.select(F.col("p_partkey").alias("message_rowid"), spans.splice(F.col("p_name"), spans.apart(spans.alias_replacements(F.col("p_name"), aliases))).alias("text"))
+
+
+def _customers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A summary per customer, two of them with one number, and every fourth number's name."""
+    c = adapter.table(spark, sf_dir, "customer")
+    number = F.concat(F.lit("+1555"), F.lpad(F.floor(F.col("c_custkey") / 2).cast("string"), 7, "0"))
+    each = c.select(
+        F.col("c_custkey").alias("chat_id"), number.alias("identifier"), F.lit("iMessage").alias("service"), F.col("c_custkey").alias("handle_id"),
+        (F.col("c_custkey") * 10).cast("double").alias("last_message_date"), (F.col("c_custkey") % 50 + 1).cast("long").alias("message_count"),
+    )
+    known = c.filter("c_custkey % 8 = 0").select(number.alias("handle"), F.concat(F.lit("Person "), F.col("c_custkey").cast("string")).alias("name"))
+    return each, known
+
+
+@query("""WITH s AS (SELECT c_custkey AS k, '+1555' || lpad(CAST(c_custkey // 2 AS VARCHAR), 7, '0') AS num FROM customer)
+SELECT num AS id, count(*) AS chats, max(k) * 10.0 AS last_message_date, CAST(sum(k % 50 + 1) AS BIGINT) AS message_count, bool_or(k % 8 = 0) AS is_contact,
+       max(CASE WHEN k % 8 = 0 THEN 'Person ' || k END) AS name
+FROM s GROUP BY num""")
+def listing(spark, sf_dir):
+    """People and groups in one list, with the names of those in the contacts."""
+    summaries, known = _customers(spark, sf_dir)
+    labels = summaries.select("handle_id", F.col("identifier").alias("label"))
+    groups = spark.createDataFrame([], "chat_id long, identifier string, service string, display_name string, participant_handles array<long>, last_message_date double, message_count long")
+    volumes = spark.createDataFrame([], "chat_id long, handle_id long, message_count long")
+    out = conversations.list_conversations(summaries, groups, labels, volumes, known)
+    return out.select(
+        F.col("primary_identifier").alias("id"), F.size("chat_ids").cast("long").alias("chats"), "last_message_date", "message_count", "is_contact", F.when(F.col("is_contact"), F.col("display_name")).alias("name")
+    )

@@ -207,6 +207,14 @@ def rendered_bodies(records: DataFrame, redactions: DataFrame | None = None, map
     return df.withColumn("text", splice(F.col("source"), F.col("reps")))
 
 
+def redacted_texts(records: DataFrame, redactions: DataFrame | None = None) -> DataFrame:
+    """``records`` with their redacted texts. Only a message redacted as a whole goes; where spans cover all of a text the
+    mark of what was redacted stays, unlike in ``rendered_bodies``."""
+    df = with_redactions(records, redactions).filter("guid IS NULL OR NOT whole")
+    cut = F.when(F.col("guid").isNotNull(), F.col("spans")).otherwise(F.slice("spans", 1, 0))
+    return df.withColumn("text", splice(F.col("text"), body_replacements(F.col("text"), cut))).select(*records.columns)
+
+
 def json_lines(records: DataFrame, redactions: DataFrame | None = None, anonymize: bool = False) -> DataFrame:
     """``(conversation_id, date_ns, message_rowid, json)``, one object per message: when, who, what, and where it differs
     the service and the reactions. Trims don't hold here. Order by date_ns and rowid within a conversation."""
