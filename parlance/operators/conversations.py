@@ -127,21 +127,24 @@ def fuzzy_pairs(conversations: DataFrame, rule: FuzzyRule = FuzzyRule()) -> Data
     rest = F.greatest(F.lit(rule.max_roster_delta), F.floor(F.size("r") * (1 - rule.min_jaccard) + 1e-9).cast("int"))
     short = (
         seen.join(rarity, "m").groupBy("id", "h", "group_name").agg(F.sort_array(F.collect_list(F.struct("f", "m"))).alias("r"))
-        .select("id", "h", "group_name", F.posexplode(F.slice("r", 1, rest + 1)).alias("p", "x"))
-        .select("id", "h", "group_name", F.col("x.m").alias("m"), (F.size("h") - F.col("p")).alias("k"))
+        .withColumn("r", F.transform(F.slice("r", 1, rest + 1), lambda x: x["m"]))
+        .select("id", "h", "group_name", "r", F.posexplode("r").alias("p", "m"))
+        .select("id", "h", "group_name", "r", "m", (F.size("h") - F.col("p")).alias("k"))
     )
-    side = lambda x: short.select("m", *[F.col(c).alias(n + x) for c, n in (("id", ""), ("h", "h"), ("group_name", "n"), ("k", "k"))])
+    side = lambda x: short.select("m", *[F.col(c).alias(n + x) for c, n in (("id", ""), ("h", "h"), ("group_name", "n"), ("k", "k"), ("r", "r"))])
     a, b = side("a"), side("b")
     # From the first member they share on, the rest of both rosters must suffice for either rule.
     larger, smaller = F.greatest(F.size("ha"), F.size("hb")), F.least(F.size("ha"), F.size("hb"))
     enough = F.least("ka", "kb") >= F.least(smaller.cast("double"), larger * rule.min_jaccard - 1e-9)
-    return a.join(b, "m").filter((F.col("a") < F.col("b")) & enough & fuzzy_match(F.col("ha"), F.col("hb"), F.col("na"), F.col("nb"), rule)).select("a", "b").distinct()
+    first = F.get(F.array_intersect("ra", "rb"), F.lit(0)) == F.col("m")  # so each pair comes once
+    return a.join(b, "m").filter((F.col("a") < F.col("b")) & enough & first & fuzzy_match(F.col("ha"), F.col("hb"), F.col("na"), F.col("nb"), rule)).select("a", "b")
 
 
 def fuzzy_match(ha: Column, hb: Column, na: Column, nb: Column, rule: FuzzyRule = FuzzyRule()) -> Column:
+    """Are two rosters, each without repeats, one group's."""
     shared, larger, smaller = F.size(F.array_intersect(ha, hb)), F.greatest(F.size(ha), F.size(hb)), F.least(F.size(ha), F.size(hb))
     holds = (shared == smaller) & (larger - smaller <= rule.max_roster_delta) & (smaller / larger >= rule.min_subset_ratio)
-    close = (shared / F.size(F.array_union(ha, hb)) >= rule.min_jaccard) & (na == nb) & (na != "")
+    close = (shared / (larger + smaller - shared) >= rule.min_jaccard) & (na == nb) & (na != "")
     return (smaller >= rule.min_roster_size) & ((shared == larger) | holds | F.coalesce(close, F.lit(False)))
 
 
