@@ -1,4 +1,8 @@
-"""From raw documents to token ids: toxic and nearly equal documents and benchmark passages go, sources are mixed."""
+"""From raw documents to token ids: toxic and nearly equal documents and benchmark passages go, sources are mixed.
+
+All stages keep every column of their input, whatever its name, and give an empty table for an empty one. Rows that share
+an id go or stay together; rows with a null id stay in the filtering stages. A null text is an empty one.
+"""
 
 from __future__ import annotations
 
