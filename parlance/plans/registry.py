@@ -610,7 +610,7 @@ def _customers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 @query("""WITH s AS (SELECT c_custkey AS k, '+1555' || lpad(CAST(c_custkey // 2 AS VARCHAR), 7, '0') AS num FROM customer)
-SELECT num AS id, count(*) AS chats, max(k) * 10.0 AS last_message_date, CAST(sum(k % 50 + 1) AS BIGINT) AS message_count, bool_or(k % 8 = 0) AS is_contact,
+SELECT num AS id, count(*) AS chats, CAST(max(k) * 10 AS DOUBLE) AS last_message_date, CAST(sum(k % 50 + 1) AS BIGINT) AS message_count, bool_or(k % 8 = 0) AS is_contact,
        max(CASE WHEN k % 8 = 0 THEN 'Person ' || k END) AS name
 FROM s GROUP BY num""")
 def listing(spark, sf_dir):
