@@ -118,16 +118,16 @@ def repeated_lines(docs: DataFrame, window: int = 3, min_words: int = 8, alone:
             F.transform("_u", lambda x, i: F.when(x.isNotNull() & ((F.get("_n", i) >= alone) | _chosen(x, i, window)), with_reach(x, i))),
             lambda x: x.isNotNull(),
         ).alias("_marks")),
-        "lines",
+        "lines", hashes=True,
     )
     # A place is a document's id and, in one number, the hash of its text and the line.
     place = lambda i: (F.shiftleft(F.col("_t").cast("long"), 32) + i).alias("_p")
     text_hash, line = F.shiftright("_p", 32).cast("int").alias("_t"), F.col("_p").bitwiseAND(0xFFFFFFFF).cast("int")
     places = table.select("_d", "_t", F.explode("_marks").alias("x")).select("x.u", "x.k", "_d", place(F.col("x.i")), "x.l", "x.m")
     several = lambda rows, key, *more: cut(rows.groupBy(key).agg(*more, F.count("*").alias("c")).filter("c > 1"), "several")
-    at = cut(join_spread(places, several(places, "u"), "u", "c", ("_d", "_p")), "places")
+    at = cut(join_spread(places, several(places, "u"), "u", "c", ("_d", "_p")), "places", hashes=True)
     # Where all lines are shared, the first place stands for all.
-    firsts = cut(at.groupBy("k").agg(F.min(F.struct("_d", "_p")).alias("f"), F.first("u").alias("u"), F.first("l").alias("l"), F.first("m").alias("m"), F.count("*").alias("c")), "firsts")
+    firsts = cut(at.groupBy("k").agg(F.min(F.struct("_d", "_p")).alias("f"), F.first("u").alias("u"), F.first("l").alias("l"), F.first("m").alias("m"), F.count("*").alias("c")), "firsts", hashes=True)
     same = join_spread(at.select("k", "_d", "_p"), firsts.filter("c > 1").select("k", "f", "m", "c"), "k", "c", ("_d", "_p")).filter(F.struct("_d", "_p") > F.col("f"))
     same = same.select("_d", text_hash, (line - F.least(line, F.lit(window - 1))).alias("a"), (line + F.col("m")).alias("b"))
     # The rest by each length.
@@ -138,7 +138,7 @@ def repeated_lines(docs: DataFrame, window: int = 3, min_words: int = 8, alone:
     runs = cut(
         by_doc.join(table.select("_d", "_t", "_h"), ["_d", "_t"]).select("_d", "_t", F.explode(_stretches(window)).alias("x"))
         .select("x.key", "_d", place(F.col("x.a")), (F.col("x.b") - F.col("x.a")).cast("short").alias("n")),
-        "runs",
+        "runs", hashes=True,
     )
     first = several(runs, "key", F.min(F.struct("_d", "_p")).alias("f"))
     parts = join_spread(runs, first, "key", "c", ("_d", "_p")).filter(F.struct("_d", "_p") > F.col("f")).select("_d", text_hash, line.alias("a"), (line + F.col("n")).alias("b"))

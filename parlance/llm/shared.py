@@ -34,11 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: the plan starts there, and lost executors cost nothing that came before."""
+def cut(df: DataFrame, name: str = "t", *, hashes: bool = False) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: the plan starts there, and lost executors cost nothing that came before.
+
+    ``hashes``: most of it is hashes, of which Parquet should not try to make a dictionary."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
     passing(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
