@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import display_number, first_token, last_initial, normalize_handle
 from ..schema import FuzzyRule
-from .lineage import cut
+from .components import components
 
 PARTICIPANTS = "array<struct<handle_id:bigint,identifier:string,label:string>>"
 CONVERSATION = (
@@ -33,18 +33,14 @@ def people(summaries: DataFrame, contacts: DataFrame, handles: DataFrame, region
     identifiers. The newest chat gives the primary identifier; of equally new ones the one with the largest id.
     """
     norm = normalize_handle(F.coalesce("identifier", F.concat(F.lit("h"), F.col("handle_id").cast("string"))), region)
-    named = summaries.withColumn("norm", norm).join(contacts.select(F.col("handle").alias("norm"), "name"), "norm", "left")
+    shared = handles.select(normalize_handle(F.col("label"), region).alias("norm"), "handle_id").groupBy("norm").agg(F.collect_set("handle_id").alias("more"))
+    named = summaries.withColumn("norm", norm).join(contacts.select(F.col("handle").alias("norm"), "name"), "norm", "left").join(shared, "norm", "left")
     folded = named.groupBy(F.coalesce("name", "norm").alias("id")).agg(
         F.max("name").alias("name"), _set("chat_id").alias("chat_ids"), F.collect_set("handle_id").alias("own"), _set("norm").alias("identifiers"),
         F.max("last_message_date").alias("last_message_date"), F.sum("message_count").alias("message_count"),
-        F.max_by("norm", F.struct("last_message_date", "chat_id")).alias("primary_identifier"),
-    )
-    shared = handles.select(normalize_handle(F.col("label"), region).alias("norm"), "handle_id").groupBy("norm").agg(F.collect_set("handle_id").alias("more"))
-    more = (
-        folded.select("id", F.explode("identifiers").alias("norm")).join(shared, "norm")
-        .groupBy("id").agg(F.flatten(F.collect_list("more")).alias("more"))
+        F.max_by("norm", F.struct("last_message_date", "chat_id")).alias("primary_identifier"), F.flatten(F.collect_set("more")).alias("more"),
     )
-    return folded.join(more, "id", "left").select(
+    return folded.select(
         "id", F.coalesce("name", "id").alias("display_name"), "chat_ids",
         F.sort_array(F.array_union("own", F.coalesce("more", F.array().cast("array<bigint>")))).alias("target_handles"),
         "identifiers", "last_message_date", "message_count", "primary_identifier", F.col("name").isNotNull().alias("is_contact"),
@@ -157,14 +153,7 @@ def clusters(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     ids = conversations.select("id", "last_message_date")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    part = both.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
-    while True:  # the least id spreads along the pairs; components are small, as weak chains of groups are
-        least = both.join(part.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        new = part.join(least, "id").select("id", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved"))
-        new = cut(new)
-        part = new.drop("moved")
-        if new.filter("moved").isEmpty():
-            break
+    part = components(pairs).withColumnRenamed("node", "id")
     edges = both.join(part.withColumnRenamed("id", "a"), "a").groupBy("component", "a").agg(F.collect_list("b").alias("near"))
     edges = edges.withColumnRenamed("a", "id").join(ids, "id")
 

@@ -9,6 +9,7 @@ from ..functions import body
 from ..functions.identity import speaker_label, system_event_label
 from ..schema import OPTIONAL, REACTIONS, has_columns
 from ..sources.typedstream import decode_body
+from .lineage import cut
 from .reactions import by_message, net
 from .store import seconds
 
@@ -21,6 +22,13 @@ def bridge(conversations: DataFrame) -> DataFrame:
     return conversations.select(F.col("id").alias("conversation_id"), F.explode("chat_ids").alias("chat_id"))
 
 
+def kept(conversations: DataFrame) -> DataFrame:
+    """What extraction needs of ``conversations``, as a table: it is read for every join, and has a row per conversation only."""
+    if hasattr(conversations, "cut_path"):
+        return conversations
+    return cut(conversations.select("id", "chat_ids", "target_handles", "is_group", "participants"), "conversations")
+
+
 def label_dimension(conversations: DataFrame, global_labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Labels that hold in one conversation, and those that hold in all.
 
@@ -75,6 +83,7 @@ def extract(store: dict[str, DataFrame], conversations: DataFrame, global_labels
     system events, retracted messages and those without text. A reaction goes to the last message that has its guid,
     in the order of (date, rowid); those that find none are dropped. Their guids are compared among the messages left.
     """
+    conversations = kept(conversations)
     labels = label_dimension(conversations, global_labels)
     rows = _labelled(
         _in_conversations(store, bridge(conversations)).withColumns({
@@ -104,13 +113,12 @@ def extract(store: dict[str, DataFrame], conversations: DataFrame, global_labels
         )
         .filter("text <> ''")
     )
-    last = Window.partitionBy("conversation_id", "guid").orderBy(F.desc("date_ns"), F.desc("message_rowid"))
-    targets = messages.filter("guid IS NOT NULL").select("conversation_id", "guid", "message_rowid", F.row_number().over(last).alias("k")).filter("k = 1")
-    reactions = (
-        by_message(net(events)).withColumnRenamed("target_guid", "guid").join(targets, ["conversation_id", "guid"])
-        .select("conversation_id", "message_rowid", "reactions")
-    )
-    out = messages.join(reactions, ["conversation_id", "message_rowid"], "left")
+    # Messages without a guid are no group of equals. The join finds the rows as the window left them, dealt and sorted.
+    last = Window.partitionBy("conversation_id", "_key").orderBy(F.desc("date_ns"), F.desc("message_rowid"))
+    messages = messages.withColumn("_key", F.coalesce("guid", F.concat(F.lit("\0"), F.col("message_rowid").cast("string")))).withColumn("_k", F.row_number().over(last))
+    reactions = by_message(net(events)).select(F.col("conversation_id").alias("_of"), "target_guid", "reactions")
+    met = (F.col("conversation_id") == F.col("_of")) & (F.col("_key") == F.col("target_guid")) & F.col("guid").isNotNull() & (F.col("_k") == 1)
+    out = messages.join(reactions, met, "left").drop("_key", "_k", "_of", "target_guid")
     none = F.array().cast(REACTIONS)
     return out.withColumn("had_attachment", F.coalesce("had_attachment", F.lit(False))).withColumn("reactions", F.coalesce("reactions", none))
 
@@ -119,6 +127,7 @@ def system_events(store: dict[str, DataFrame], conversations: DataFrame, global_
     """``(conversation_id, message_rowid, date_ns, date, line)``: who added, removed, renamed or left. Older stores have none."""
     if not has_columns(store["message"], OPTIONAL):
         return conversations.sparkSession.createDataFrame([], "conversation_id string, message_rowid long, date_ns long, date long, line string")
+    conversations = kept(conversations)
     labels = label_dimension(conversations, global_labels)
     rows = _in_conversations(store, bridge(conversations)).filter(F.col("item_type").isin(1, 2, 3)).withColumns({
         "handle_id": F.coalesce("handle_id", F.lit(0)), "other_handle": F.coalesce("other_handle", F.lit(0)),

@@ -11,6 +11,7 @@ from ..functions.body import strip_placeholders
 from ..operators.conversations import render_info
 from ..operators.detect import Registry, detect, scrub
 from ..operators.extract import extract, system_events
+from ..operators.lineage import cut
 from ..operators.redact import added, aliases_by_conversation, anonymization_map
 from ..schema import REACTIONS, Scope
 from . import render as r
@@ -63,8 +64,10 @@ class Exported:
 def export(
     records: DataFrame, info: DataFrame, scope: Scope = Scope(), redactions: DataFrame | None = None, events: DataFrame | None = None, registry: Registry | None = None
 ) -> Exported:
-    """Filter, detect on what is left, redact, render. Conversations without messages in range have no rows at all."""
-    own = in_range(records, scope)
+    """Filter, detect on what is left, redact, render. Conversations without messages in range have no rows at all.
+
+    The records in range are written once, into the shared folder, as every output reads them."""
+    own = cut(in_range(records, scope), "records")
     found = detect(own, scope.enabled_detectors, registry)
     effective = effective_redactions(redactions, own, scope, registry)
     shown = in_range(events, scope) if events is not None and scope.show_system_events else None

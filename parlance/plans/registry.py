@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import body, identity, spans, text
 from ..operators import conversations, detect, extract, reactions, redact, store
+from ..operators.lineage import cut
 from ..schema import Scope, TrimOptions
 from ..sources import adapter
 from . import export, render
@@ -30,7 +31,7 @@ def _conversations(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFram
     s = adapter.conversation_store(spark, sf_dir)
     labels = store.handle_labels(s)
     contacts = spark.createDataFrame([], "handle string, name string")
-    return s, conversations.people(store.summaries(s), contacts, labels), labels
+    return s, cut(conversations.people(store.summaries(s), contacts, labels), "people"), labels
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +153,7 @@ SELECT w.conversation_id, w.messages, CAST(sum(m.messages) AS BIGINT) AS sum_per
 FROM whole w JOIN mine m USING (conversation_id) GROUP BY w.conversation_id, w.messages""")
 def union_report(spark, sf_dir):
     s, people, labels = _conversations(spark, sf_dir)
-    records = extract.extract(s, people, labels)
+    records = cut(extract.extract(s, people, labels), "records")
     links = extract.bridge(people).join(s["chat_message_join"].withColumnRenamed("message_id", "message_rowid"), "chat_id")
     per_chat = links.join(records.select("conversation_id", "message_rowid"), ["conversation_id", "message_rowid"]).groupBy("conversation_id", "chat_id").agg(F.count("*").alias("messages"))
     return extract.union_report(records, per_chat)
@@ -179,13 +180,13 @@ UNION ALL SELECT conversation_id, 0, '# iMessage transcript with ' || conversati
  || '# Attachments shown as typed placeholders: [photo] [video] [gif] [audio] [pdf] [contact] [shared location].' || chr(10) || '# Times are local, 24h. Section headers are calendar days.' || chr(10) || chr(10) FROM head""")
 def render_txt_lines(spark, sf_dir):
     s, people, labels = _conversations(spark, sf_dir)
-    return render.transcript(extract.extract(s, people, labels), conversations.render_info(people)).lines
+    return render.transcript(cut(extract.extract(s, people, labels), "records"), conversations.render_info(people)).lines
 
 
 @query(_STORE + """SELECT conversation_id, label, 'P' || row_number() OVER (PARTITION BY conversation_id ORDER BY label <> 'Me') AS alias FROM (SELECT DISTINCT conversation_id, speaker AS label FROM record WHERE text <> ''
  UNION SELECT n.conversation_id, n.by FROM netted n JOIN record r ON r.conversation_id = n.conversation_id AND r.guid = n.guid WHERE text <> '')""")
 def anonymize_map(spark, sf_dir):
-    return redact.anonymization_map(_records(spark, sf_dir))
+    return redact.anonymization_map(cut(_records(spark, sf_dir), "records"))
 
 
 @query("""SELECT k AS target_guid, user_id, emoji FROM (SELECT CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, user_id, arg_max(struct_pack(e := event_type), (ts, event_id)).e AS emoji FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2) WHERE emoji = 'click'""")

@@ -34,26 +34,22 @@ def conversation_store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
     when = (F.lit(BASE - STORE_EPOCH) + F.col("conv_id") * 3600 + F.col("turn") * 60) * F.lit(1_000_000_000).cast("long")
     mine = (F.col("role") == "user").cast("long")
     zero = F.lit(0).cast("long")
-    text = c.select(
-        row.alias("ROWID"), F.concat(F.lit("m"), row.cast("string")).alias("guid"), when.alias("date"), mine.alias("is_from_me"),
-        F.when(F.col("role") == "user", zero).otherwise(F.col("conv_id")).alias("handle_id"), service.alias("service"),
-        F.when(row % 7 == 0, F.concat("text", F.lit("￼"))).otherwise(F.col("text")).alias("text"), _null("attributedBody", "binary"),
-        F.when(F.col("role") == "system", 2).otherwise(0).cast("long").alias("item_type"), zero.alias("associated_message_type"),
-        _null("associated_message_guid"), _null("associated_message_emoji"), _null("balloon_bundle_id"), zero.alias("date_retracted"),
-        zero.alias("group_action_type"), F.when(F.col("role") == "system", F.substring("text", 1, 20)).alias("group_title"), zero.alias("other_handle"),
+    kinds = F.when(row % 10 == 0, F.array(F.lit(0), F.lit(2000), F.lit(3000))).when(row % 5 == 0, F.array(F.lit(0), F.lit(2000))).otherwise(F.array(F.lit(0)))
+    every = c.withColumn("kind", F.explode(kinds))  # 0: the message itself
+    own, user, later = F.col("kind") == 0, F.col("role") == "user", (F.col("kind") >= 3000).cast("long")
+    rowid = F.when(own, row).otherwise(F.lit(10**12) + row * 2 + later)
+    messages = every.select(
+        rowid.alias("ROWID"), F.when(own, F.concat(F.lit("m"), row.cast("string"))).otherwise(F.concat(F.lit("r"), row.cast("string"), F.lit("-"), F.col("kind").cast("string"))).alias("guid"),
+        F.when(own, when).otherwise(when + 1 + later).alias("date"), F.when(own, mine).otherwise(1 - mine).alias("is_from_me"),
+        F.when(own == user, zero).otherwise(F.col("conv_id")).alias("handle_id"), service.alias("service"),
+        F.when(own, F.when(row % 7 == 0, F.concat("text", F.lit("￼"))).otherwise(F.col("text"))).alias("text"), _null("attributedBody", "binary"),
+        F.when(own & (F.col("role") == "system"), 2).otherwise(0).cast("long").alias("item_type"),
+        F.when(own, 0).otherwise(F.col("kind") + F.col("turn") % 6).cast("long").alias("associated_message_type"),
+        F.when(~own, F.concat(F.lit("p:0/m"), row.cast("string"))).alias("associated_message_guid"), _null("associated_message_emoji"), _null("balloon_bundle_id"),
+        zero.alias("date_retracted"), zero.alias("group_action_type"), F.when(own & (F.col("role") == "system"), F.substring("text", 1, 20)).alias("group_title"), zero.alias("other_handle"),
     )
-    kinds = F.explode(F.when(row % 10 == 0, F.array(F.lit(2000), F.lit(3000))).when(row % 5 == 0, F.array(F.lit(2000))))
-    reacted = c.withColumn("kind", kinds).select(
-        (F.lit(10**12) + row * 2 + (F.col("kind") >= 3000).cast("long")).alias("ROWID"), F.concat(F.lit("r"), row.cast("string"), F.lit("-"), F.col("kind").cast("string")).alias("guid"),
-        (when + 1 + (F.col("kind") >= 3000).cast("long")).alias("date"), (1 - mine).alias("is_from_me"),
-        F.when(F.col("role") == "user", F.col("conv_id")).otherwise(zero).alias("handle_id"), service.alias("service"), _null("text"), _null("attributedBody", "binary"),
-        zero.alias("item_type"), (F.col("kind") + F.col("turn") % 6).cast("long").alias("associated_message_type"),
-        F.concat(F.lit("p:0/m"), row.cast("string")).alias("associated_message_guid"), _null("associated_message_emoji"), _null("balloon_bundle_id"),
-        zero.alias("date_retracted"), zero.alias("group_action_type"), _null("group_title"), zero.alias("other_handle"),
-    )
-    messages = text.unionByName(reacted)
-    links = messages.select(F.when(F.col("ROWID") >= 10**12, F.floor((F.col("ROWID") - 10**12) / 2000)).otherwise(F.floor(F.col("ROWID") / 1000)).cast("long").alias("chat_id"), F.col("ROWID").alias("message_id"))
-    both = links.unionByName(links.filter("chat_id % 9 = 0").select((F.col("chat_id") + 40).alias("chat_id"), "message_id"))
+    chats = F.when(F.col("conv_id") % 9 == 0, F.array(F.col("conv_id"), F.col("conv_id") + 40)).otherwise(F.array("conv_id"))
+    both = every.select(F.explode(chats).alias("chat_id"), rowid.alias("message_id"))
     tail = c.filter(row % 7 == 0).select(row.alias("m"))
     mime = F.element_at(F.array(*[F.lit(x) for x in ("image/jpeg", "image/gif", "video/mp4", "application/pdf", "audio/mp3")]), (F.col("m") % 5 + 1).cast("int"))
     return {
