@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.components import components
 from .shared import cut, join_spread
 
 _BLOCK = 512  # members of a bucket that are compared at once

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.components import components
 from .shared import cut, discard, join_spread, small_batches
 from .shingles import set_id, shingle_set, signature
 

@@ -26,7 +26,7 @@ from parlance.llm import (
     toxicity,
     training_pages,
 )
-from parlance.llm.components import components
+from parlance.operators.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Nulls, blanks, ties, repeated rows, a long text, and columns whose names clash with inner ones.
