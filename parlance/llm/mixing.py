@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD
+from .shared import WORD, cut
 
 
 def targets(
@@ -18,37 +18,44 @@ def targets(
     above. Clamping again and again ends where the sources with the smallest size per weight are clamped, so one
     ordered pass over the sources finds the same fixed point: in the order of cap per weight a source is clamped
     exactly if its part of what the ones before leave reaches its cap. All sums are integers; each target is one
-    division. Holds one row per source.
+    division. Sources may be as many as hosts: both orders are dealt to tasks by range (``_running``), and only sums
+    per task meet in one place.
     """
-    everyone = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    by_cap = Window.orderBy(F.col("_cap") / F.col("_w"), "_pos")
     w = F.array(*[F.lit(int(x)).cast("long") for x in weights])
     num, den = share
-    return (
-        sizes.withColumn("_pos", F.row_number().over(by_name))
-        .withColumn("_w", F.element_at(w, ((F.col("_pos") - 1) % len(weights) + 1).cast("int")))
+    placed = _running(sizes.withColumn("_null", F.col("source").isNull()), ("_null", "source"), _pos=F.lit(1).cast("long"))
+    weighed = (
+        placed.withColumn("_w", F.element_at(w, (F.col("_pos") % len(weights) + 1).cast("int")))
         .withColumn("_cap", F.col("source_size") * max_epochs)
-        .withColumn("_before", F.coalesce(F.sum("_cap").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_rest", F.sum("_w").over(by_cap.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("_all", F.sum("source_size").over(everyone))
-        .withColumn(
-            "_clamped",
-            (F.col("_all") * num - F.col("_before") * den) * F.col("_w") >= F.col("_cap") * F.col("_rest") * den,
-        )
-        .withColumn("_capped", F.coalesce(F.sum(F.when(F.col("_clamped"), F.col("_cap"))).over(everyone), F.lit(0)))
-        .withColumn("_open", F.sum(F.when(~F.col("_clamped"), F.col("_w"))).over(everyone))
-        .select(
-            "source",
-            "source_size",
-            F.when(F.col("_clamped"), F.col("_cap").cast("double"))
-            .otherwise(
-                (F.col("_w") * (F.col("_all") * num - F.col("_capped") * den)).cast("double")
-                / (F.col("_open") * den).cast("double")
-            )
-            .alias("target"),
-        )
+        .withColumn("_ratio", F.col("_cap") / F.col("_w"))
+        .drop("_null")
     )
+    filled = _running(weighed, ("_ratio", "_pos"), _before=F.col("_cap"), _lighter=F.col("_w"))
+    total = filled.agg(F.sum("source_size").alias("size"), F.sum("_w").alias("weight")).first()
+    left = F.lit(total["size"] or 0) * num - F.col("_before") * den
+    clamped = left * F.col("_w") >= F.col("_cap") * (F.lit(total["weight"] or 0) - F.col("_lighter")) * den
+    filled = cut(filled.withColumn("_clamped", clamped), "filled")
+    ends = filled.agg(F.sum(F.when(F.col("_clamped"), F.col("_cap"))).alias("capped"), F.sum(F.when(~F.col("_clamped"), F.col("_w"))).alias("open")).first()
+    free, weight = (total["size"] or 0) * num - (ends["capped"] or 0) * den, (ends["open"] or 1) * den
+    shared = (F.col("_w") * F.lit(free).cast("long")).cast("double") / F.lit(weight).cast("double")
+    return filled.select("source", "source_size", F.when(F.col("_clamped"), F.col("_cap").cast("double")).otherwise(shared).alias("target"))
+
+
+def _running(rows: DataFrame, order: tuple[str, ...], **columns: Column) -> DataFrame:
+    """``rows`` with the sum of each of ``columns`` over all rows before, in an order without ties.
+
+    Rows are dealt to tasks by ranges of the order and written, so that the ranges stay as they are; sums run within each,
+    and what the ranges before add is one row per range."""
+    values = {f"_v{k}": c for k, c in enumerate(columns.values())}
+    dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).withColumns(values)
+    dealt = cut(dealt, "dealt")
+    ranges = dealt.groupBy("_range").agg(*[F.sum(v).alias(f"{v}_sum") for v in values])
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    over_ranges, within = ahead(Window.orderBy("_range")), ahead(Window.partitionBy("_range").orderBy(*order))
+    bases = ranges.select("_range", *[F.coalesce(F.sum(f"{v}_sum").over(over_ranges), F.lit(0)).alias(f"{v}_base") for v in values])
+    out = dealt.join(F.broadcast(bases), "_range")  # a row per shuffle partition at most
+    sums = {name: F.col(f"{v}_base") + F.coalesce(F.sum(v).over(within), F.lit(0)) for name, v in zip(columns, values, strict=True)}
+    return out.withColumns(sums).select(*rows.columns, *columns)
 
 
 def mix(
@@ -78,7 +85,7 @@ def mix(
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_order"),
     ).withColumn("_bucket", F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") % buckets)
     key = ["_null", "_source", "_bucket"]
-    sums = rows.groupBy(*key).agg(F.sum("size").alias("_sum"))
+    sums = cut(rows.groupBy(*key).agg(F.sum("size").alias("_sum")), "sums")
     of_source = Window.partitionBy("_null", "_source")
     plan = targets(
         sums.groupBy(F.when(~F.col("_null"), F.col("_source")).alias("source")).agg(F.sum("_sum").alias("source_size")),

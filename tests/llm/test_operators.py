@@ -95,6 +95,14 @@ def test_mixing(spark):
     assert mixed.columns == docs.columns and mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] == 2
 
 
+def test_mixing_of_many_sources(spark):
+    r = random.Random(12)
+    sizes = {f"host{k}": r.choice((0, 1, 1, 3, 10, 400)) for k in range(700)}
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5))
+    want = fill(sizes)
+    assert {x["source"]: x["target"] for x in got.collect()} == pytest.approx(want)
+
+
 def test_mixing_oracle(spark):
     import duckdb
     import pandas as pd
