@@ -32,8 +32,10 @@ def targets(
     )
     filled = _running(weighed, ("_ratio", "_pos"), _before=F.col("_cap"), _lighter=F.col("_w"))
     total = filled.agg(F.sum("source_size").alias("size"), F.sum("_w").alias("weight")).first()
-    left = F.lit(total["size"] or 0) * num - F.col("_before") * den
-    clamped = left * F.col("_w") >= F.col("_cap") * (F.lit(total["weight"] or 0) - F.col("_lighter")) * den
+    # A literal below 2**31 is an int, whose products overflow, and those of many words and many sources a long.
+    size, weight = (F.lit(total[c] or 0).cast("decimal(38,0)") for c in ("size", "weight"))
+    left = size * num - F.col("_before") * den
+    clamped = left * F.col("_w") >= F.col("_cap") * (weight - F.col("_lighter")) * den
     filled = cut(filled.withColumn("_clamped", clamped), "filled")
     ends = filled.agg(F.sum(F.when(F.col("_clamped"), F.col("_cap"))).alias("capped"), F.sum(F.when(~F.col("_clamped"), F.col("_w"))).alias("open")).first()
     free, weight = (total["size"] or 0) * num - (ends["capped"] or 0) * den, (ends["open"] or 1) * den

@@ -103,6 +103,13 @@ def test_mixing_of_many_sources(spark):
     assert {x["source"]: x["target"] for x in got.collect()} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("words", [715_827_883, 1_500_000_000, 2_147_483_647, 10**13, 10**18])
+def test_mixing_of_many_words(spark, words):
+    sizes = {"a": words // 10, "b": words // 2, "c": words - words // 10 - words // 2}
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    assert {x["source"]: x["target"] for x in got.collect()} == pytest.approx(fill(sizes))
+
+
 def test_mixing_oracle(spark):
     import duckdb
     import pandas as pd
