@@ -163,3 +163,9 @@ def detect(records: DataFrame, enabled: Iterable[str] = DETECTORS, registry: Reg
 def scrub(records: DataFrame, enabled: Iterable[str], registry: Registry | None = None) -> DataFrame:
     """The spans that enabled scrubbers redact, as ``schema.REDACTIONS``."""
     return _found(records, enabled, SCRUBBERS, registry or Registry()).drop("category")
+
+
+def values(records: DataFrame, category: str, registry: Registry | None = None) -> DataFrame:
+    """``(guid, value)``: what is found in each text, cut out of its own row; ids may be null or stand for several texts."""
+    found = records.select("guid", "text", F.explode((registry or Registry()).spans(F.col("text"), category)).alias("x"))
+    return found.select("guid", utf16_slice(F.col("text"), F.col("x.start"), F.col("x.end")).alias("value"))
